@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, packing, quantiles, split
+from . import encode, knn, neardup, packing, quantiles, split
 from .sql import SQL
 
 
@@ -24,6 +24,18 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.pieces_table(cut)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.similar_pairs(_table(spark, folder, "chunk_records"))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.nearest(_table(spark, folder, "chunk_records"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.alike_pairs(_table(spark, folder, "chunks"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.slow_weeks(_table(spark, folder, "query_results"), _table(spark, folder, "latency_targets"))
 
@@ -45,7 +57,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p5_found, p5_quantiles, p6_ids, p7_containers]
+    own = [p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_quantiles, p6_ids, p7_containers]
     return {f.__name__: f for f in own}
 
 

@@ -38,4 +38,34 @@ WITH last AS (
 )
 SELECT collection, strftime(week, '%Y-%m-%d') AS week_start, quantile_name FROM counted
 WHERE n >= 20 AND below < ceil(round(quantile * n, 9))""",
+    "p3_found": """
+WITH u AS (
+  SELECT chunk_id, any_value(CAST(dense_vector AS DOUBLE[])) AS v FROM chunk_records
+  WHERE dense_vector IS NOT NULL AND len(dense_vector) = 64 AND chunk_id IS NOT NULL
+    AND len(list_filter(dense_vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(dense_vector, lambda x: x <> 0)) > 0
+  GROUP BY chunk_id
+), s AS (
+  SELECT a.chunk_id AS x, b.chunk_id AS y, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.chunk_id <> b.chunk_id
+), r AS (
+  SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS place FROM s WHERE c >= 0.9
+)
+SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM r WHERE place <= 10""",
+    "p4_found": r"""
+WITH spaced AS (
+  SELECT DISTINCT chunk_id, text, regexp_replace(regexp_replace(lower(text), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g') AS s
+  FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL
+), words AS (
+  SELECT chunk_id, text, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM spaced
+), runs AS (
+  SELECT DISTINCT text, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS run
+  FROM words WHERE len(w) >= 60
+), sizes AS (
+  SELECT text, count(*) AS n FROM runs GROUP BY text
+), common AS (
+  SELECT a.text AS x, b.text AS y, count(*) AS c FROM runs a JOIN runs b ON a.run = b.run AND a.text <= b.text GROUP BY ALL
+), alike AS (
+  SELECT x, y FROM common JOIN sizes p ON p.text = x JOIN sizes q ON q.text = y WHERE c >= 0.5 * (p.n + q.n - c)
+)
+SELECT DISTINCT least(a.chunk_id, b.chunk_id) AS chunk_id_a, greatest(a.chunk_id, b.chunk_id) AS chunk_id_b
+FROM alike JOIN words a ON a.text = x JOIN words b ON b.text = y WHERE a.chunk_id <> b.chunk_id""",
 }
