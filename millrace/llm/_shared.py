@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,12 +39,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once a session, so that they need no copy of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    place = tempfile.mkdtemp(prefix="millrace-package-")
+    name = os.path.basename(package)
+    sc.addPyFile(shutil.make_archive(os.path.join(place, name), "zip", os.path.dirname(package), name))
+    sc._millrace_shipped = True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that has fewer partitions than the cluster has cores.
 
     Single-file tables arrive as one partition; large tables already have many
-    and are returned as they are, without a shuffle.
+    and are returned as they are, without a shuffle.  What runs on them may use this
+    package: it is sent along.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_rows, cut_lineage
+from ._shared import bounded_rows, cut_lineage, ship
 
 BITS = 16
 #: Values whose ranks one call can ask for; they become literals of the plan.
@@ -128,6 +128,7 @@ def digests(values: DataFrame, keys: list[str], value_col: str, *, error: float
     not by its rows.  Groups without usable values have no digest.
     """
     v = F.col(value_col)
+    ship(values.sparkSession)
     leaves = (
         values.where(v.isNotNull() & ~F.isnan(v) & (v >= 0))
         .groupBy(*keys, leaf_of(v).alias("node"))
@@ -234,6 +235,7 @@ def slow_weeks(results: DataFrame, targets: DataFrame, *, least: int = 20, error
     latencies give no row; a null collection is a group of its own; targets
     with nulls are left out.
     """
+    ship(results.sparkSession)
     values = cut_lineage(latest_latencies(results))
     marks = targets.where("quantile_name IS NOT NULL AND quantile IS NOT NULL AND limit_ms IS NOT NULL").select("quantile_name", "quantile", "limit_ms").distinct()
     daily = digests(values, ["collection", "day"], "latency_ms", error=error)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import encode, knn, neardup, packing, quantiles, split
+from . import encode, knn, neardup, packing, quantiles, split, subjects
 from .sql import SQL
 
 
@@ -56,8 +57,22 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, _table(spark, folder, "context_windows"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects_of(_table(spark, folder, "documents"), _table(spark, folder, "subjects"), _table(spark, folder, "subject_labels"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each collection and how many of them are about each subject."""
+    documents = _table(spark, folder, "documents")
+    found = p8_found(spark, folder).join(documents.select("doc_id", "collection"), "doc_id")
+    sizes = documents.groupBy("collection").agg(F.count("*").alias("documents"))
+    counts = found.groupBy("collection", "subject").agg(F.count("*").alias("about"))
+    same = F.col("c.collection").eqNullSafe(F.col("s.collection"))
+    return counts.alias("c").join(sizes.alias("s"), same).select("c.collection", "subject", "about", "documents", (F.col("about") / F.col("documents")).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_quantiles, p6_ids, p7_containers]
+    own = [p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_quantiles, p6_ids, p7_containers, p8_found, p8_shares]
     return {f.__name__: f for f in own}
 
 
