@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, knn, neardup, packing, quantiles, split, subjects
+from . import encode, knn, neardup, packing, quantiles, scans, split, subjects
 from .sql import SQL
 
 
@@ -25,6 +25,14 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.pieces_table(cut)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noisy_lines(_table(spark, folder, "documents"))
+
+
+def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired_texts(_table(spark, folder, "documents"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return knn.similar_pairs(_table(spark, folder, "chunk_records"))
 
@@ -72,7 +80,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p5_found, p5_quantiles, p6_ids, p7_containers, p8_found, p8_shares]
+    own = [p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_neighbours, p4_found, p5_found, p5_quantiles, p6_ids, p7_containers, p8_found, p8_shares]
     return {f.__name__: f for f in own}
 
 
