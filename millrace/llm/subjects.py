@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ LANGUAGE_TERMS = 1 << 13
 TERMS = LANGUAGE_TERMS * len(LANGUAGES)
 #: Singular vectors kept for each language.
 RANK = 32
-PASSES = 3
+PASSES = 2
 #: Rounds of moving the centroids.
-ROUNDS = 3
+ROUNDS = 2
 #: Labelled documents used as seeds at most (those with the smallest ids).
 MAX_LABELS = 50_000
 #: Least cosine of a sentence to its subject, and least lead over the next subject.
@@ -39,6 +40,8 @@ LEAST_LEAD = 0.08
 RUN = 3
 #: Terms of a sentence; stretches without an end that are twice as long are cut to this length.
 LONG_SENTENCE = 16
+#: Documents packed together.
+BLOCK_ROWS = 256
 
 # Frequent function words that tell the languages apart.
 _FUNCTION_WORDS = {
@@ -51,104 +54,149 @@ _LANGUAGE_OF = {w: i for i, k in enumerate(("en", "de", "es")) for w in _FUNCTIO
 _BREAK = re.compile(r"(?<=[.!?])[ \t\r\n]+|(?<=[。！？])[ \t\r\n]*|\n[ \t\r]*\n\s*|\n(?=[ \t]*(?:[-*#•]|[QA]:|\d+[.)]))")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _JOINED = re.compile(r"(?<=\w)[-­¬‐]\r?\n[ \t]*(?=[a-zäöüßáéíóúñ])")
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\d+")
+_TOKEN = re.compile(r"(?<![^\W_])[^\W\d_一-鿿]+(?![^\W_一-鿿])")
+_ASCII_TOKEN = re.compile(r"(?<![a-z0-9])[a-z]+(?![a-z0-9])")
 _CJK = re.compile(r"[一-鿿]+")
 
 
-class Terms:
-    """Hashed terms of the sentences of a text."""
+class _Numbers(dict):
+    """Number of each word: its hashed term, -1 for words that don't count, -2 - language for function words."""
 
-    def __init__(self):
-        self._known: dict[str, int] = {}
-
-    def _number(self, word: str) -> int:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        n = self._known.get(word)
-        if n is None:
-            if len(self._known) > 500_000:
-                self._known.clear()
-            n = self._known[word] = xxhash.xxh64_intdigest(word) % LANGUAGE_TERMS
+        if len(self) > 500_000:
+            self.clear()
+        if word in _LANGUAGE_OF:
+            n = -2 - _LANGUAGE_OF[word]
+        elif len(word) < 3 or len(word) >= 30:
+            n = -1
+        else:
+            n = xxhash.xxh64_intdigest(word) % LANGUAGE_TERMS
+        self[word] = n
         return n
 
-    def __call__(self, text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-        """(terms of all sentences, sentence lengths, paragraph numbers, languages)."""
-        terms, lengths, paragraphs, languages = [], [], [], []
-        number = self._number
-        for p, paragraph in enumerate(_PARAGRAPH.split(_JOINED.sub("", text))):
-            for sentence in _BREAK.split(paragraph):
-                low = sentence.lower()
-                own, votes = [], [0, 0, 0, 0]
-                for run in _CJK.findall(low) if not low.isascii() else ():
-                    votes[3] += len(run)
-                    own += [number(run[i : i + 2]) for i in range(len(run) - 1)]
-                for w in _TOKEN.findall(low):
-                    v = _LANGUAGE_OF.get(w)
-                    if v is not None:
-                        votes[v] += 1
-                    elif len(w) > 2 and w.isalpha() and len(w) < 30 and not _CJK.match(w):
-                        own.append(number(w))
-                if own:
-                    # text without punctuation goes in stretches of about a sentence's length
-                    parts = max(1, round(len(own) / LONG_SENTENCE)) if len(own) > 2 * LONG_SENTENCE else 1
-                    terms += own
-                    lengths += [len(own) * (i + 1) // parts - len(own) * i // parts for i in range(parts)]
-                    paragraphs += [p] * parts
-                    languages += [int(np.argmax(votes)) if max(votes) else -1] * parts
-        return terms, lengths, paragraphs, languages
+
+class Block(NamedTuple):
+    """Sentences of some documents, one after the other."""
+
+    ids: list
+    document: np.ndarray  # of each sentence, a position in ids
+    terms: np.ndarray  # of all sentences
+    lengths: np.ndarray  # of each sentence
+    paragraph: np.ndarray
+    language: np.ndarray
 
 
-def _pack(terms, lengths, paragraphs, languages) -> bytes:
-    head = np.array([len(terms), len(lengths)], np.int32).tobytes()
-    body = np.array(terms, np.uint16).tobytes() + np.array(lengths, np.int32).tobytes() + np.array(paragraphs, np.int32).tobytes() + np.array(languages, np.int8).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+_ZH = LANGUAGES.index("zh")
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+def read_block(ids: list, texts: list[str], number) -> Block:
+    """Sentences, hashed terms and languages of texts; ``number`` maps a word to its number."""
+    words: list[str] = []
+    counts, documents, paragraphs, cjk = [], [], [], []
+    for d, text in enumerate(texts):
+        text = text.lower()
+        if "\n" in text:
+            text = _JOINED.sub("", text)
+        ascii_only = text.isascii()
+        for p, paragraph in enumerate(_PARAGRAPH.split(text)):
+            for sentence in _BREAK.split(paragraph):
+                chars = 0
+                if ascii_only:
+                    own = _ASCII_TOKEN.findall(sentence)
+                else:
+                    own = _TOKEN.findall(sentence)
+                    for run in _CJK.findall(sentence):
+                        chars += len(run)
+                        own += [run[i : i + 2] + "  " for i in range(len(run) - 1)]  # as long as a word that counts
+                if own:
+                    words += own
+                    counts.append(len(own)), documents.append(d), paragraphs.append(p), cjk.append(chars)
+    count, document, paragraph = np.array(counts, np.int64), np.array(documents, np.int64), np.array(paragraphs, np.int64)
+    code = np.fromiter(map(number, words), np.int64, len(words))
+    sentence = np.repeat(np.arange(len(count)), count)
+    votes = np.zeros((len(count), len(LANGUAGES)), np.int64)
+    function = code <= -2
+    np.add.at(votes, (sentence[function], -2 - code[function]), 1)
+    votes[:, _ZH] = cjk
+    language = np.where(votes.max(1) > 0, votes.argmax(1), -1) if len(count) else np.empty(0, np.int64)
+    keep = code >= 0
+    code, sentence = code[keep], sentence[keep]
+    length = np.bincount(sentence, minlength=len(count))
+    # text without punctuation goes in stretches of about a sentence's length
+    parts = np.where(length > 2 * LONG_SENTENCE, np.round(length / LONG_SENTENCE), (length > 0) * 1).astype(np.int64)
+    which = np.repeat(np.arange(len(count)), parts)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    lengths = length[which] * (turn + 1) // np.maximum(parts[which], 1) - length[which] * turn // np.maximum(parts[which], 1)
+    return _with_languages(ids, document[which], code, lengths, paragraph[which], language[which])
+
+
+def _with_languages(ids, document, terms, lengths, paragraph, language) -> Block:
+    """Sentences without a telling word get the language of their text, and terms the range of their language."""
+    n = np.zeros((len(ids), len(LANGUAGES)), np.int64)
+    known = language >= 0
+    np.add.at(n, (document[known], language[known]), 1)
+    language = np.where(known, language, n.argmax(1)[document]) if len(language) else language
+    return Block(ids, document, terms + np.repeat(language, lengths) * LANGUAGE_TERMS, lengths, paragraph, language)
+
+
+def _pack(b: Block) -> bytes:
+    head = np.array([len(b.terms), len(b.lengths)], np.int64).tobytes()
+    body = [b.terms.astype(np.uint16), b.document.astype(np.int32), b.lengths.astype(np.int32), b.paragraph.astype(np.int32), b.language.astype(np.int32)]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in body))
+
+
+def _unpack(ids: list, data: bytes) -> Block:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n, s = np.frombuffer(raw[:8], np.int32)
-    at = 8 + 2 * n
-    terms = np.frombuffer(raw[8:at], np.uint16).astype(np.int64)
-    lengths, paragraphs = np.frombuffer(raw[at : at + 4 * s], np.int32), np.frombuffer(raw[at + 4 * s : at + 8 * s], np.int32)
-    languages = np.frombuffer(raw[at + 8 * s :], np.int8).astype(np.int64)
-    if s:  # sentences without a telling word have the language of the text
-        known = languages[languages >= 0]
-        main = int(np.bincount(known).argmax()) if len(known) else 0
-        languages = np.where(languages < 0, main, languages)
-        terms = terms + np.repeat(languages, lengths) * LANGUAGE_TERMS
-    return terms, lengths.astype(np.int64), paragraphs.astype(np.int64), languages
+    n, s = np.frombuffer(raw[:16], np.int64)
+    at = 16 + 2 * n
+    terms = np.frombuffer(raw[16:at], np.uint16).astype(np.int64)
+    document, lengths, paragraph, language = np.frombuffer(raw[at:], np.int32).reshape(4, s).astype(np.int64)
+    return Block(ids, document, terms, lengths, paragraph, language)
 
 
 def _sentences(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``ids, packed``: blocks of documents."""
     rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL"))
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Terms()
-        for b in batches:
-            packed = [_pack(*make(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
+        number = _Numbers().__getitem__
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                b = whole.slice(at, BLOCK_ROWS)
+                packed = _pack(read_block(b.column(0).to_pylist(), b.column(1).to_pylist(), number))
+                ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([packed], pa.binary())], names=["ids", "packed"])
 
-    return cut_lineage(rows.mapInArrow(run, f"id {kind}, packed binary"))
+    return cut_lineage(rows.mapInArrow(run, f"ids array<{kind}>, packed binary"))
 
 
-def _document_frequencies(sentences: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with each term, and documents with each language."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        for ids, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield _unpack(ids, data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(TERMS + len(LANGUAGES), np.int64)
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                terms, _, _, languages = _unpack(data)
-                n[np.unique(terms)] += 1
-                n[TERMS + np.unique(languages)] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
 
-    rows = sentences.select("packed").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(TERMS + len(LANGUAGES), np.int64)
-    n[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
-    return n[:TERMS], n[TERMS:]
+def _statistics(sentences: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents with each term; documents and sentences of each language; the terms' weights in all sentences together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, TERMS + len(LANGUAGES)))
+        for b in _blocks(batches):
+            owner = np.repeat(b.document, b.lengths)
+            n[0, :TERMS] += np.bincount(np.unique(owner * TERMS + b.terms) % TERMS, minlength=TERMS)
+            n[0, TERMS:] += np.bincount(np.unique(b.document * len(LANGUAGES) + b.language) % len(LANGUAGES), minlength=len(LANGUAGES))
+            n[1, :TERMS] += np.bincount(b.terms, np.repeat(b.lengths**-0.5, b.lengths), TERMS)
+            n[1, TERMS:] += np.bincount(b.language, minlength=len(LANGUAGES))
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["term", "n", "w"])
+
+    rows = sentences.mapInArrow(run, "term long, n double, w double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    n = np.zeros((2, TERMS + len(LANGUAGES)))
+    n[:, rows.column("term").to_numpy()] = rows.column("n").to_numpy(), rows.column("w").to_numpy()
+    return n[0, :TERMS], n[0, TERMS:], n[1, TERMS:], n[1, :TERMS]
 
 
 def _orthonormal(y: np.ndarray) -> np.ndarray:
@@ -174,30 +222,20 @@ def _singular_vectors(sentences: DataFrame, weight: np.ndarray) -> np.ndarray:
             q = basis.value
             out = np.zeros((TERMS, RANK), np.float32)
 
-            def add(held) -> None:
-                term, value = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                ends = np.cumsum([0] + [len(h[0]) for h in held])[:-1]
-                image = np.add.reduceat(q[term] * value[:, None], ends, axis=0)
-                doc = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+            for b in _blocks(batches):
+                pair, n = np.unique(np.repeat(b.document, b.lengths) * TERMS + b.terms, return_counts=True)
+                if not len(pair):
+                    continue
+                term = pair % TERMS
+                value = (1 + np.log(n)) * weight[term]
+                # a row of the matrix: the terms of one language of one document, at length 1
+                edge = np.flatnonzero(np.r_[True, np.diff(pair // LANGUAGE_TERMS) != 0])
+                row = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(pair)]))
+                value = (value / np.maximum(np.sqrt(np.add.reduceat(value * value, edge)), 1e-9)[row]).astype(np.float32)[:, None]
+                image = np.add.reduceat(q[term] * value, edge, axis=0)
                 order = np.argsort(term, kind="stable")
-                term, doc, value = term[order], doc[order], value[order]
-                first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-                out[term[first]] += np.add.reduceat(image[doc] * value[:, None], first, axis=0)
-
-            held = []
-            for b in batches:
-                for data in b.column(0).to_pylist():
-                    u, n = np.unique(_unpack(data)[0], return_counts=True)
-                    for part in np.split(np.arange(len(u)), np.flatnonzero(np.diff(u // LANGUAGE_TERMS)) + 1):
-                        v = (1 + np.log(n[part])) * weight[u[part]]
-                        norm = np.linalg.norm(v)
-                        if norm > 0:
-                            held.append((u[part], (v / norm).astype(np.float32)))
-                    if len(held) >= 512:
-                        add(held)
-                        held = []
-            if held:
-                add(held)
+                first = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
+                out[term[order][first]] += np.add.reduceat((image[row] * value)[order], first, axis=0)
             parts = [out[i : i + rows_of_block].astype(np.float16).tobytes() for i in range(0, TERMS, rows_of_block)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
 
@@ -205,7 +243,7 @@ def _singular_vectors(sentences: DataFrame, weight: np.ndarray) -> np.ndarray:
             added = sum(np.frombuffer(p, np.float16).astype(np.float32) for p in table.column("part").to_pylist())
             return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([added.tobytes()], pa.binary())})
 
-        parts = sentences.select("packed").mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(total, "block int, part binary")
+        parts = sentences.mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(total, "block int, part binary")
         rows = sorted((r[0], r[1]) for r in parts.collect())
         y = np.concatenate([np.frombuffer(p, np.float32).reshape(-1, RANK) for _, p in rows]) if rows else q
         q = _orthonormal(y)
@@ -222,11 +260,11 @@ class Model:
         self.centroid: np.ndarray | None = None
         self.usable: np.ndarray | None = None
 
-    def embed(self, terms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        if not len(lengths):
+    def embed(self, b: Block) -> np.ndarray:
+        if not len(b.lengths):
             return np.zeros((0, RANK), np.float32)
-        x = np.add.reduceat(self.project[terms], np.cumsum(np.r_[0, lengths[:-1]]), axis=0)
-        return x / lengths[:, None] ** 0.5
+        x = np.add.reduceat(self.project[b.terms], np.cumsum(b.lengths) - b.lengths, axis=0)
+        return x / (b.lengths[:, None] ** 0.5).astype(np.float32)
 
     def score(self, x: np.ndarray, language: np.ndarray) -> np.ndarray:
         """Cosine of each sentence to each subject; -1 where the language has no centroid."""
@@ -236,49 +274,40 @@ class Model:
         return np.where(self.usable[language], c, -1.0)
 
 
-def _gather(sentences: DataFrame, model: Model, work, width: int) -> np.ndarray:
-    """Sum over all documents of the (groups x width) arrays that ``work`` makes of each; one row for each group and task is shuffled."""
+def _gather(sentences: DataFrame, model: Model, work) -> np.ndarray:
+    """Sum over all blocks of the arrays that ``work`` makes; one small array for each task reaches the driver's sum."""
     shared = sentences.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for b in batches:
-            labels = b.column(1).to_pylist() if b.num_columns > 1 else [None] * b.num_rows
-            for data, label in zip(b.column(0).to_pylist(), labels, strict=True):
-                part = work(shared.value, *_unpack(data), label)
-                out = part if out is None else out + part
-        if out is not None:
-            g = np.arange(len(out))
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["g", "v"])
-
-    columns = [c for c in ("packed", "subjects") if c in sentences.columns]
-    parts = sentences.select(*columns).mapInArrow(run, "g long, v array<double>")
-    added = parts.groupBy("g").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(width)]).alias("v")).collect()
-    out = np.zeros((max((r[0] for r in added), default=-1) + 1, width))
-    for g, v in added:
-        out[g] = v
-    return out
-
-
-def _shortest_runs(label: np.ndarray, paragraph: np.ndarray, subjects: int) -> set[int]:
-    """Subjects with a run of RUN sentences, or a shorter paragraph all of their own.
+        out = 0
+        for b in _blocks(batches):
+            out = out + work(shared.value, b)
+        if not np.isscalar(out):
+            yield pa.RecordBatch.from_arrays([pa.array(range(out.size), pa.int32()), pa.array(out.ravel())], names=["i", "v"])
+
+    parts = sentences.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(parts.num_rows)
+    out[parts.column("i").to_numpy()] = parts.column("v").to_numpy()
+    return out.reshape(-1, RANK + 1)
+
+
+def _shortest_runs(label: np.ndarray, paragraph: np.ndarray) -> set[int]:
+    """Subjects with a run of RUN sentences, or a shorter paragraph of two or more all of their own.
 
     Sentences without a subject (-1) neither make nor break a run.
     """
-    found: set[int] = set()
-    last, n = -1, 0
-    for s in label.tolist():
-        if s < 0:
-            continue
-        n = n + 1 if s == last else 1
-        last = s
-        if n >= RUN:
-            found.add(s)
-    for p in np.unique(paragraph):
-        own = label[paragraph == p]
-        known = own[own >= 0]
-        if len(known) and (known == known[0]).all() and len(known) >= 2 and 2 * len(known) > len(own):
-            found.add(int(known[0]))
+    known = label >= 0
+    s, p = label[known], paragraph[known]
+    if len(s) < 2:
+        return set()
+    edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+    long = np.diff(edge) >= RUN
+    found = set(s[edge[:-1][long]].tolist())
+    edge = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True])
+    sizes = np.bincount(paragraph - paragraph[0])
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if j - i >= 2 and s[i] not in found and 2 * (j - i) > sizes[p[i] - paragraph[0]] and (s[i:j] == s[i]).all():
+            found.add(int(s[i]))
     return found
 
 
@@ -309,45 +338,40 @@ def subjects_of(
     kind = documents.schema[id_col].dataType.simpleString()
     spark = documents.sparkSession
     sentences = _sentences(documents, id_col, text_col)
-    df, total = _document_frequencies(sentences)
+    df, total, counted, together = _statistics(sentences)
     if not total.any() or not low:
         return spark.createDataFrame([], f"{id_col} {kind}, subject string")
     documents_of = np.repeat(np.maximum(total, 2), LANGUAGE_TERMS)
     weight = np.where(df > 0, np.log(documents_of / np.maximum(df, 1)), 0).clip(0).astype(np.float32)
-    basis = _singular_vectors(sentences, weight)
-    model = Model((basis * weight[:, None]).astype(np.float32))
+    model = Model((_singular_vectors(sentences, weight) * weight[:, None]).astype(np.float32))
+    added = (model.project * together[:, None]).reshape(len(LANGUAGES), LANGUAGE_TERMS, RANK).sum(1)
+    model.mean = (added / np.maximum(counted, 1)[:, None]).astype(np.float32)
     count = len(low)
 
-    def means(m: Model, terms, lengths, paragraphs, languages, _):
-        out = np.zeros((len(LANGUAGES), RANK + 1))
-        x = m.embed(terms, lengths)
-        np.add.at(out, languages, np.c_[x, np.ones(len(x))]) if len(x) else None
-        return out
-
-    added = _gather(sentences, model, means, RANK + 1)
-    model.mean = (added[:, :RANK] / np.maximum(added[:, RANK:], 1)).astype(np.float32)
-
     usable = labels.select(F.col(id_col).alias("id"), F.lower(F.trim("subject")).alias("s")).where(F.col("id").isNotNull() & F.col("s").isin(low))
-    seeds = usable.groupBy("id").agg(F.collect_set("s").alias("subjects")).orderBy("id").limit(MAX_LABELS)
-    labelled = sentences.join(F.broadcast(seeds), "id").select("packed", "subjects")  # at most MAX_LABELS short rows
+    chosen = usable.groupBy("id").agg(F.collect_set("s").alias("subjects")).orderBy("id").limit(MAX_LABELS).collect()
+    seeds = spark.sparkContext.broadcast({r[0]: [low.index(x) for x in sorted(r[1])] for r in chosen})
 
-    def first(m: Model, terms, lengths, paragraphs, languages, label):
+    def first(m: Model, b: Block) -> np.ndarray:
         out = np.zeros((len(LANGUAGES) * count, RANK + 1))
-        x = m.embed(terms, lengths) - m.mean[languages]
-        for s in label:
-            np.add.at(out, languages * count + low.index(s), np.c_[x, np.ones(len(x))] / len(label)) if len(x) else None
+        labelled = [d for d, i in enumerate(b.ids) if i in seeds.value]
+        if labelled:
+            x = m.embed(b) - m.mean[b.language]
+            for d in labelled:
+                own, subjects = b.document == d, seeds.value[b.ids[d]]
+                for s in subjects:
+                    np.add.at(out, b.language[own] * count + s, np.c_[x[own], np.ones(int(own.sum()))] / len(subjects))
         return out
 
-    def nearest(m: Model, terms, lengths, paragraphs, languages, _):
+    def nearest(m: Model, b: Block) -> np.ndarray:
+        x = m.embed(b)
+        c = m.score(x, b.language)
+        best = c.argmax(1)
+        ok = _certain(c, best, least_cosine, least_lead)
+        v = x[ok] - m.mean[b.language[ok]]
+        v = np.c_[v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.ones(len(v))]
         out = np.zeros((len(LANGUAGES) * count, RANK + 1))
-        if len(lengths):
-            x = m.embed(terms, lengths)
-            c = m.score(x, languages)
-            best = c.argmax(1)
-            ok = _certain(c, best, least_cosine, least_lead)
-            v = x - m.mean[languages]
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            np.add.at(out, (languages * count + best)[ok], np.c_[v, np.ones(len(v))][ok])
+        np.add.at(out, (b.language * count + best)[ok], v)
         return out
 
     def settle(added: np.ndarray, before: np.ndarray | None) -> None:
@@ -361,26 +385,27 @@ def subjects_of(
             filled = filled | model.usable
         model.centroid, model.usable = c.astype(np.float32), filled
 
-    settle(_gather(labelled, model, first, RANK + 1), None)
+    settle(_gather(sentences, model, first), None)
     for _ in range(ROUNDS):
-        settle(_gather(sentences, model, nearest, RANK + 1), model.centroid)
+        settle(_gather(sentences, model, nearest), model.centroid)
 
     shared = spark.sparkContext.broadcast(model)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            take, names = [], []
-            for i, data in enumerate(b.column(1).to_pylist()):
-                terms, lengths, paragraphs, languages = _unpack(data)
-                if not len(lengths):
-                    continue
-                c = m.score(m.embed(terms, lengths), languages)
+        m, id_type = shared.value, None
+        for batch in batches:
+            id_type = id_type or batch.column(0).type.value_type
+            for b in _blocks(iter([batch])):
+                c = m.score(m.embed(b), b.language)
                 best = c.argmax(1)
                 label = np.where(_certain(c, best, least_cosine, least_lead), best, -1)
-                for s in sorted(_shortest_runs(label, paragraphs, count)):
-                    take.append(i), names.append(proper[s])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(names, pa.string())], names=["id", "subject"])
+                edge = np.flatnonzero(np.r_[True, np.diff(b.document) != 0]) if len(label) else []
+                found = [
+                    (b.ids[b.document[i]], proper[s])
+                    for i, j in zip(edge, [*edge[1:], len(label)], strict=True)
+                    for s in sorted(_shortest_runs(label[i:j], b.paragraph[i:j]))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_type), pa.array([f[1] for f in found], pa.string())], names=["id", "subject"])
 
     return sentences.mapInArrow(assign, f"id {kind}, subject string").distinct().withColumnRenamed("id", id_col)
 
