@@ -12,8 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +27,12 @@ LIST_ROWS = 6_000
 SLICE_FACTOR = 3
 #: Lists searched for each vector.
 PROBES = 4
-SUBSPACES = 8
+SUBSPACES = 16
 CODES = 256
+#: Steps of a distance table's entries for 1. Residuals are at most 2 long, so sums stay below 2**15.
+SCALE = 12_000
 #: Candidates of each list that are expected to be reranked for each query.
-RERANK = 48
+RERANK = 56
 _MAX_CONFLICTS = 100_000
 
 
@@ -75,9 +77,12 @@ class Model:
         return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Products of each query with each code: SUBSPACES x CODES x queries."""
+        """Products of each query with each code, SUBSPACES x CODES x queries, as 16-bit integers.
+
+        All are scaled alike, so that no sum over the subspaces of unit vectors overflows.
+        """
         width = q.shape[1] // SUBSPACES
-        return np.stack([book @ q[:, m * width : (m + 1) * width].T for m, book in enumerate(self.books)])
+        return np.stack([np.rint(book @ q[:, m * width : (m + 1) * width].T * SCALE) for m, book in enumerate(self.books)]).astype(np.int16)
 
 
 def search_list(model: Model, near: int, data: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,17 +105,17 @@ def search_list(model: Model, near: int, data: np.ndarray, queries: np.ndarray,
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
         tables = model.tables(q)
-        some = sum(tables[m][codes[probe, m]] for m in range(SUBSPACES))
+        some = sum((tables[m][codes[probe, m]] for m in range(SUBSPACES)), np.zeros((), np.int16))
         least = np.partition(some, kth, axis=0)[kth]
         rows, cols = [], []
-        score = np.empty((512, len(q)), np.float32)
+        score = np.empty((512, len(q)), np.int16)
         part = np.empty_like(score)
         for low in range(0, n, 512):
             c = codes[low : low + 512]
             acc, tmp = score[: len(c)], part[: len(c)]
-            np.take(tables[0], c[:, 0], axis=0, out=acc)
+            np.take(tables[0], c[:, 0], axis=0, out=acc, mode="clip")
             for m in range(1, SUBSPACES):
-                np.take(tables[m], c[:, m], axis=0, out=tmp)
+                np.take(tables[m], c[:, m], axis=0, out=tmp, mode="clip")
                 acc += tmp
             hit = np.flatnonzero(acc >= least)
             r, j = np.divmod(hit, len(q))
@@ -164,14 +169,25 @@ def usable_vectors(records: DataFrame, *, id_col: str, vector_col: str, time_col
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
             flat /= np.abs(flat).max(1, keepdims=True)  # keeps the squares of extreme values finite
             x = (flat / np.linalg.norm(flat, axis=1, keepdims=True)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(x)], names=["id", "vec"])
 
     kind = records.schema[id_col].dataType.simpleString()
     return rows.select("id", "v").mapInArrow(unit, f"id {kind}, vec binary")
 
 
 def _matrix(column: pa.Array, width: int, kind=np.float32) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+    """The vectors of a binary column without nulls."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) else np.empty(0, np.uint8)
+    return data.view(kind).reshape(-1, width)
+
+
+def _binary(*matrices: np.ndarray) -> pa.Array:
+    """A binary column of the rows of matrices."""
+    sizes = np.concatenate([np.full(len(m), m.shape[1] * m.itemsize) for m in matrices])
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = b"".join(np.ascontiguousarray(m).tobytes() for m in matrices)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
 
 
 def nearest(
@@ -227,7 +243,7 @@ def nearest(
                 own = score.argmax(1)
                 ids = b.column(0)
                 # rows of the index: slice by id, so that equal repeats of an id meet
-                name = np.array([hash_id(i) for i in ids.to_pylist()], np.uint64)
+                name = b.column(2).to_numpy().view(np.uint64)
                 home = first_slice[own] + (name % slices[own].astype(np.uint64)).astype(np.int64)
                 # queries: every slice of every near list, in half precision
                 rows, lots = [], []
@@ -241,17 +257,16 @@ def nearest(
                 half = x.astype(np.float16)
                 foreign = lot != home[r]  # in its own slice the row of the index is the query too
                 r, lot = r[foreign], lot[foreign]
-                vec = [v.tobytes() for v in x] + [half[i].tobytes() for i in r]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([home, lot]), pa.int64()),
                         pa.concat_arrays([ids, ids.take(pa.array(r))]),
-                        pa.array(vec, pa.binary()),
+                        _binary(x, half[r]),
                     ],
                     names=["slice", "id", "vec"],
                 )
 
-    routed = vectors.mapInArrow(route, f"slice long, id {kind}, vec binary")
+    routed = vectors.select("id", "vec", F.xxhash64("id")).mapInArrow(route, f"slice long, id {kind}, vec binary")
     list_of = np.repeat(np.arange(len(slices)), slices)
 
     def search(table: pa.Table) -> pa.Table:
@@ -260,7 +275,7 @@ def nearest(
         near = int(list_of[table.column("slice")[0].as_py()])
         ids = table.column("id").combine_chunks() if table.num_rows else table.column("id")
         raw = table.column("vec").combine_chunks()
-        size = np.array([len(v) for v in raw.to_pylist()])
+        size = pc.binary_length(raw).to_numpy()
         is_data = size == width * 4
         names = np.array(ids.to_pylist(), object)
         d, h = np.flatnonzero(is_data), np.flatnonzero(~is_data)
@@ -299,13 +314,6 @@ def nearest(
     return merged.select("id", F.posexplode("best").alias("p", "b")).select("id", F.col("b.n").alias("neighbour"), (-F.col("b.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
 
 
-def hash_id(value) -> int:
-    """A number that spreads ids over slices, the same in every process."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(str(value))
-
-
 def _exact_similarity(pairs: DataFrame, vectors: DataFrame, kind: str, width: int) -> DataFrame:
     """Similarity of pairs recomputed in double precision from the vectors of both sides."""
     wanted = pairs.select("id").union(pairs.select("neighbour")).distinct()
