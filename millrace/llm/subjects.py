@@ -34,8 +34,8 @@ ROUNDS = 2
 #: Labelled documents used as seeds at most (those with the smallest ids).
 MAX_LABELS = 50_000
 #: Least cosine of a sentence to its subject, and least lead over the next subject.
-LEAST_COSINE = 0.30
-LEAST_LEAD = 0.08
+LEAST_COSINE = 0.20
+LEAST_LEAD = 0.06
 #: Sentences in a row that make a subject of a document; a shorter paragraph counts if all of it is on the subject.
 RUN = 3
 #: Terms of a sentence; stretches without an end that are twice as long are cut to this length.
