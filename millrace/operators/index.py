@@ -79,9 +79,13 @@ def remove(index: Index, doomed: DataFrame) -> Index:
     return Index(index.lengths.join(ids, keys, "left_anti"), index.postings.join(ids, keys, "left_anti"), index.k1, index.b)
 
 
-def weights(index: Index) -> DataFrame:
-    """``collection, chunk_id, term, weight`` with weight > 0: the chunks' sparse vectors, one entry a row."""
-    p = index.postings.join(index.terms, ["collection", "term"]).join(index.corpus, "collection")
+def weights(index: Index, only: DataFrame | None = None) -> DataFrame:
+    """``collection, chunk_id, term, weight`` with weight > 0: the chunks' sparse vectors, one entry a row.
+
+    ``only`` (collection, term) restricts the postings to some terms.
+    """
+    postings = index.postings if only is None else index.postings.join(only, ["collection", "term"], "left_semi")
+    p = postings.join(index.terms, ["collection", "term"]).join(index.corpus, "collection")
     w = F.col("idf") * tf_norm(F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
     return p.select("collection", "chunk_id", "term", w.alias("weight")).where("weight > 0")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .index import Index, tf_norm
+from .index import Index, weights
 
 RESULT = ["query_id", "chunk_id", "rank", "score", "source"]
 
@@ -34,9 +34,11 @@ def sparse(index: Index, queries: DataFrame, top_k: int, stop_words: list[str] |
         .groupBy("query_id", "collection", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    # only the terms that queries ask for get their statistics joined
-    hits = index.postings.join(terms, ["collection", "term"]).join(index.terms, ["collection", "term"]).join(index.corpus, "collection")
-    part = F.col("idf") * tf_norm(F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b) * F.col("qtf")
+    # postings get their weights before they meet the queries: a posting is weighted once, not once a query
+    asked = terms.select("collection", "term").distinct()
+    weighted = weights(index, asked)
+    part = F.col("weight") * F.col("qtf")
+    hits = weighted.join(terms, ["collection", "term"])
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 8).alias("score")).where("score > 0")
     return _top(scored, top_k, "sparse").select(*RESULT)
 

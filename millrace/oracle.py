@@ -170,7 +170,9 @@ k AS (SELECT *, coalesce(first, CASE WHEN row_number() OVER (PARTITION BY collec
 SELECT collection, CASE WHEN code IS NOT NULL THEN 'rejected' WHEN EXISTS (SELECT 1 FROM t WHERE t.status = 'succeeded' AND attempt > 0 AND t.collection_id = k.collection AND t.document_id = k.h) THEN 'skipped' ELSE 'accepted' END AS status, code, count(*) AS n
 FROM k GROUP BY ALL""",
     "access_filter": """SELECT key_id, count(*) AS documents FROM documents d JOIN (SELECT DISTINCT api_key_id AS key_id, collection FROM query_results WHERE api_key_id IS NOT NULL) g ON g.collection = d.collection GROUP BY key_id""",
-    "eval_batch": f"""WITH {_IDX}, {_ASKED}, {_sparse('asked', 10)}, g AS (SELECT DISTINCT query_id, chunk_id FROM asked a JOIN c ON c.collection = a.collection AND contains(c.text, a.query_text)),
+    "eval_batch": f"""WITH {_IDX}, {_ASKED}, {_sparse('asked', 10)}, qc AS (SELECT query_id, collection, unnest(list_distinct(regexp_extract_all(query_text, '[A-Z]{{2}}-[0-9]+'))) AS code FROM asked),
+cc AS (SELECT chunk_id, collection, unnest(list_distinct(regexp_extract_all(text, '[A-Z]{{2}}-[0-9]+'))) AS code FROM c),
+g AS (SELECT DISTINCT query_id, chunk_id FROM qc JOIN cc USING (collection, code)),
 n AS (SELECT query_id, count(*) AS golden FROM g GROUP BY query_id), e AS (SELECT s.query_id, count(*) AS n, count(g.chunk_id) AS hits, min(CASE WHEN g.chunk_id IS NOT NULL THEN rank END) AS first FROM sparse s LEFT JOIN g ON g.query_id = s.query_id AND g.chunk_id = s.chunk_id GROUP BY s.query_id)
 SELECT coalesce(e.query_id, n.query_id) AS query_id, CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_rate, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(hits::DOUBLE / e.n, 0), 6) AS precision, round(coalesce(hits::DOUBLE / golden, 0), 6) AS recall
 FROM e FULL JOIN n ON n.query_id = e.query_id""",

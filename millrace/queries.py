@@ -357,11 +357,12 @@ def access_filter(spark, d):
 
 @_query
 def eval_batch(spark, d):
-    """Golden chunks of a query: those of its collection's document whose text holds it."""
+    """Golden chunks of a query: those of its collection that have a code (two capitals and a number) of the query."""
     c = _chunks(spark, d)
     asked = _asked(spark, d)
-    golden = asked.join(c.select("chunk_id", "collection", "text"), "collection").where(F.contains("text", "query_text")).select("query_id", "chunk_id")
-    return _r(evaluate.evaluate(retrieval.sparse(index.build(c), asked, TOP_K), golden), "mrr", "precision", "recall")
+    codes = lambda x: F.explode(F.array_distinct(F.regexp_extract_all(x, F.lit("[A-Z]{2}-[0-9]+"), F.lit(0)))).alias("code")
+    golden = asked.select("query_id", "collection", codes(F.col("query_text"))).join(c.select("chunk_id", "collection", codes(F.col("text"))), ["collection", "code"])
+    return _r(evaluate.evaluate(retrieval.sparse(index.build(c), asked, TOP_K), golden.select("query_id", "chunk_id")), "mrr", "precision", "recall")
 
 
 @_query
