@@ -284,18 +284,33 @@ def nearest(
         if len(h):
             _, one = np.unique(names[h], return_index=True)
             h = h[one]
-        data = _matrix(raw.take(pa.array(d)), width)
+        # equal vectors are searched for once and stand in the list once, with the smallest ids that hold them
+        data, member_of = _distinct(_matrix(raw.take(pa.array(d)), width))
+        half, half_of = _distinct(_matrix(raw.take(pa.array(h)), width, np.float16))
         asked_names = np.concatenate([names[d], names[h]])
-        queries = np.concatenate([data, _matrix(raw.take(pa.array(h)), width, np.float16).astype(np.float32)])
-        code, order = np.arange(len(d)), names[d]  # np.unique sorted them by name
+        asked_of = np.concatenate([member_of, half_of + len(data)])
+        queries = np.concatenate([data, half.astype(np.float32)])
+        order = names[d]  # np.unique sorted them by name
+        members = np.argsort(member_of, kind="stable")  # by vector, then by name
+        first_member = np.searchsorted(member_of[members], np.arange(len(data) + 1))
+        holders = np.minimum(np.diff(first_member), k + 1)
+        by_query = np.argsort(asked_of, kind="stable")
+        first_query = np.searchsorted(asked_of[by_query], np.arange(len(queries) + 1))
         found = []
-        for q, r, s in search_list(model, near, data, queries, k + 1) if len(d) else []:
-            other = asked_names[q] != order[r]
+        for q, r, s in search_list(model, near, data, queries, k + 1) if len(data) else []:
             if least_similarity is not None:
-                other &= s >= least_similarity - 2e-3
-            q, r, s = q[other], r[other], s[other]
-            best = _best(q, r, s, code, k)
-            found.append((q[best], r[best], s[best]))
+                keep = s >= least_similarity - 2e-3
+                q, r, s = q[keep], r[keep], s[keep]
+            best = _best(q, r, s, first_member, k + 1)
+            q, r, s = q[best], r[best], s[best]
+            # from vectors to the ids that hold them, on both sides
+            q, r, s = np.repeat(q, holders[r]), members[_ranges(first_member[r], holders[r])], np.repeat(s, holders[r])
+            n = np.diff(first_query)[q]
+            i, r, s = by_query[_ranges(first_query[q], n)], np.repeat(r, n), np.repeat(s, n)
+            other = asked_names[i] != order[r]
+            i, r, s = i[other], r[other], s[other]
+            best = _best(i, r, s, np.arange(len(order)), k)
+            found.append((i[best], r[best], s[best]))
         if found:
             q, r, s = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
@@ -314,6 +329,21 @@ def nearest(
     return merged.select("id", F.posexplode("best").alias("p", "b")).select("id", F.col("b.n").alias("neighbour"), (-F.col("b.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and, for each row, its position among them."""
+    if not len(x):
+        return x, np.empty(0, np.int64)
+    x = np.ascontiguousarray(x)
+    _, first, of = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return x[first], of.ravel()
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, one range after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
 def _exact_similarity(pairs: DataFrame, vectors: DataFrame, kind: str, width: int) -> DataFrame:
     """Similarity of pairs recomputed in double precision from the vectors of both sides."""
     wanted = pairs.select("id").union(pairs.select("neighbour")).distinct()

@@ -49,6 +49,18 @@ def test_pairs_of_a_hot_vector(spark):
     assert knn.similar_pairs(df.where("false")).count() == 0
 
 
+def test_a_third_of_all_rows_alike(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal(64).tolist()
+    rows = [(f"h{i:05d}", v, 0) for i in range(2000)] + [(f"r{i:05d}", rng.standard_normal(64).tolist(), 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "chunk_id string, dense_vector array<float>, embedded_at int")
+    got = {}
+    for r in knn.nearest(df, list_rows=300).where("id like 'h%'").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    # all are equally similar: which ten of them come out is a matter of rounding between slices
+    assert len(got) == 2000 and all(len(set(n)) == 10 and i not in n and all(x[0] == "h" for x in n) for i, n in got.items())
+
+
 def shingles(text, n=3):
     w = neardup.words_of(text)
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= 60 else set()
