@@ -22,13 +22,13 @@ RESULT = ["query_id", "chunk_id", "rank", "score", "source"]
 def _top(scored: DataFrame, top_k: int, source: str, order: list[Column] | None = None) -> DataFrame:
     order = order or [F.col("score").desc(), F.col("chunk_id")]
     w = Window.partitionBy("query_id").orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("source", F.lit(source))
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k).withColumn("source", F.lit(source))
 
 
 def sparse(index: Index, queries: DataFrame, top_k: int, stop_words: list[str] | None = None) -> DataFrame:
     """BM25 over an index; queries are ``query_id, collection, query_text``. A term repeated in a query counts as often."""
     if top_k <= 0:
-        return queries.sparkSession.createDataFrame([], "query_id string, chunk_id string, rank int, score double, source string")
+        return queries.sparkSession.createDataFrame([], "query_id string, chunk_id string, rank long, score double, source string")
     terms = (
         queries.select("query_id", "collection", F.explode(T.index_tokens(F.col("query_text"), stop_words)).alias("term"))
         .groupBy("query_id", "collection", "term")
@@ -128,7 +128,7 @@ def rerank(results: DataFrame, scores: DataFrame, top_m: int) -> DataFrame:
     return placed.withColumn("__part", part).select(
         "query_id",
         "chunk_id",
-        (F.row_number().over(order) - 1).alias("rank"),
+        (F.row_number().over(order) - 1).cast("long").alias("rank"),
         F.when(F.col("__part") == 0, new).otherwise(F.col("score")).alias("score"),
         F.when(F.col("__part") == 0, F.lit("rerank")).otherwise(F.col("source")).alias("source"),
     )
@@ -150,7 +150,7 @@ def citations(results: DataFrame, chunks: DataFrame, most: int = 200) -> DataFra
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
     return rows.select(
         "query_id",
-        F.row_number().over(w).alias("number"),
+        F.row_number().over(w).cast("long").alias("number"),
         "chunk_id",
         "rank",
         "score",
