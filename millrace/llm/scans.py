@@ -4,7 +4,9 @@ Page numbers that count up along a text show where its pages end; lines next to
 them that come again on other pages are running headers and footers.  Words of
 all other texts make the lexicon.  A word of a scanned page that the lexicon
 lacks is linked to words it has by plausible glyph edits; skip-gram vectors of
-the words around it choose among them.  Then furniture goes, words hyphenated
+the words around it choose among them.  They also tell where a word that the
+lexicon has is a misread one: a glyph edit of it fits clearly better there.
+Then furniture goes, words hyphenated
 by the layout are joined and lines reflowed into paragraphs.
 """
 
@@ -15,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,16 @@ HYPHENS = "-­¬‐"
 #: A word is in the lexicon if so many unscanned documents have it, at least the given share of them.
 LEAST_DOCUMENTS = 2
 LEAST_SHARE = 5e-5
-#: Words with a skip-gram vector, the most frequent ones on scanned pages; their number bounds the model.
 VECTOR_WORDS = 2048
 DIMENSIONS = 32
 WINDOW = 3
+#: Rounds over the counted pairs, pairs a step, negatives that a step shares, size of the first steps.
+ROUNDS = 2
+STEP_PAIRS = 8192
+NEGATIVES = 64
+RATE = 0.1
+#: Log-odds by which a glyph edit must go better with the words around than a word of the lexicon does.
+LEAST_LEAD = 3.0
 
 # Glyphs as they are misread (left) and what they may have been.
 GLYPHS = {
@@ -240,10 +249,20 @@ def edits(word: str, lexicon, depth: int = 1) -> list[tuple[str, int]]:
     return []
 
 
+def _step(rows: np.ndarray, squares: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
+    """Move rows along the sum of their gradients, by less the more they have moved already."""
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    total, row = np.add.reduceat(gradient[order], first, axis=0), at[order][first]
+    squares[row] += (total * total).mean(1)
+    rows[row] += RATE * total / np.sqrt(squares[row])[:, None]
+
+
 class Vectors:
     """Skip-gram vectors with negative sampling, trained on counted pairs of neighbours."""
 
-    def __init__(self, words: list[str], left: np.ndarray, right: np.ndarray, counts: np.ndarray, rounds: int = 2, seed: int = 3):
+    def __init__(self, words: list[str], left: np.ndarray, right: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, seed: int = 3):
+        """Pairs are unordered; each is met in both directions."""
         rng = np.random.default_rng(seed)
         n = len(words)
         self.number = {w: i for i, w in enumerate(words)}
@@ -251,19 +270,21 @@ class Vectors:
         self.outer = np.zeros((n, DIMENSIONS), np.float32)
         if not len(left):
             return
-        noise = np.bincount(right, counts, n) ** 0.75
+        noise = (np.bincount(left, counts, n) + np.bincount(right, counts, n)) ** 0.75
         noise = np.cumsum(noise / noise.sum())
-        chance = np.sqrt(counts / counts.sum())
+        chance = np.sqrt(counts)
         chance = np.cumsum(chance / chance.sum())
-        for step in range(rounds * max(1, len(left) // 2048)):
-            rate = 0.05 * (1 - step / (rounds * max(1, len(left) // 2048) + 1))
-            pick = np.minimum(np.searchsorted(chance, rng.random(2048)), len(left) - 1)
-            a = left[pick]
-            for b, sign in ((right[pick], 1.0), *((np.minimum(np.searchsorted(noise, rng.random(2048)), n - 1), 0.0) for _ in range(4))):
-                x, y = self.inner[a], self.outer[b]
-                g = (rate * (sign - 1 / (1 + np.exp(-np.clip((x * y).sum(1), -15, 15)))))[:, None].astype(np.float32)
-                np.add.at(self.inner, a, g * y)
-                np.add.at(self.outer, b, g * x)
+        squares = np.full((2, n), 1e-8, np.float32)
+        for _ in range(rounds * max(50, 2 * len(left) // STEP_PAIRS)):
+            pick = np.minimum(np.searchsorted(chance, np.sort(rng.random(STEP_PAIRS))), len(left) - 1)
+            turned = rng.random(STEP_PAIRS) < 0.5
+            a, b = np.where(turned, right[pick], left[pick]), np.where(turned, left[pick], right[pick])
+            away = np.minimum(np.searchsorted(noise, rng.random(NEGATIVES)), n - 1)
+            x, y, z = self.inner[a], self.outer[b], self.outer[away]
+            g = (1 / (1 + np.exp(np.clip((x * y).sum(1), -15, 15))))[:, None]
+            h = (-4 / NEGATIVES) / (1 + np.exp(-np.clip(x @ z.T, -15, 15)))  # as if each pair had four of its own
+            _step(self.inner, squares[0], a, g * y + h @ z)
+            _step(self.outer, squares[1], np.r_[b, away], np.r_[g * x, h.T @ x])
 
     def fit(self, word: str, around: list[str]) -> float:
         """How well a word goes with those around it: the mean log-odds of its skip-grams."""
@@ -271,6 +292,16 @@ class Vectors:
         near = [self.number[w] for w in around if w in self.number]
         return float((self.outer[near] @ self.inner[i]).mean()) if i is not None and near else 0.0
 
+    @cached_property
+    def most(self) -> float:
+        """Length of the longest vector of a word around."""
+        return float(np.linalg.norm(self.outer, axis=1).max(initial=0))
+
+
+def _around(line: str, m: re.Match) -> list[str]:
+    """Words next to one of a line."""
+    return [w.lower() for w in _WORD.findall(line[: m.start()])[-WINDOW:] + _WORD.findall(line[m.end() :])[:WINDOW]]
+
 
 class Reader:
     """Finds hyphens, misread words and their corrections on scanned pages."""
@@ -278,6 +309,7 @@ class Reader:
     def __init__(self, lexicon: dict[str, int], vectors: Vectors):
         self.lexicon, self.vectors = lexicon, vectors
         self._known: dict[str, list[tuple[str, int]] | None] = {}
+        self._rivals: dict[str, tuple[list[tuple[str, int]], np.ndarray, np.ndarray] | None] = {}
 
     def readings(self, word: str) -> list[tuple[str, int]] | None:
         """None if the word is as it should be, else what it may have been (perhaps nothing known) with the edit's position."""
@@ -305,6 +337,51 @@ class Reader:
         self._known[word] = out
         return out
 
+    def rivals(self, word: str) -> tuple[list[tuple[str, int]], np.ndarray, np.ndarray] | None:
+        """Words one glyph edit away from a word of the lexicon; the differences of their vectors and of their frequency."""
+        if word in self._rivals:
+            return self._rivals[word]
+        out, number, inner = None, self.vectors.number, self.vectors.inner
+        i = number.get(word)
+        found = [r for r in edits(word, self.lexicon) if r[0] in number] if i is not None and word in self.lexicon else []
+        if found:
+            apart = inner[[number[r[0]] for r in found]] - inner[i]
+            prior = np.log([(1 + self.lexicon[r[0]]) / (1 + self.lexicon[word]) for r in found])
+            # what no words around could make fit clearly better need not be tried
+            can = np.linalg.norm(apart, axis=1) * self.vectors.most * 2 * WINDOW + prior >= LEAST_LEAD
+            if can.any():
+                out = [r for r, c in zip(found, can, strict=True) if c], apart[can], prior[can]
+        if len(self._rivals) > 200_000:
+            self._rivals.clear()
+        self._rivals[word] = out
+        return out
+
+    def misfits(self, lines: list[str]) -> list[dict[int, list[tuple[str, int]]]]:
+        """For each line, by the start of a word of the lexicon: the words one glyph edit away that fit clearly better there."""
+        number, gap = self.vectors.number, [-1] * WINDOW
+        at, tried = list(gap), []
+        for i, line in enumerate(lines):
+            for m in _WORD.finditer(line):
+                low = m[0].lower()
+                rivals = self.rivals(low)
+                if rivals:
+                    tried.append((len(at), i, m.start(), rivals))
+                at.append(number.get(low, -1))
+            at += gap
+        out: list[dict[int, list[tuple[str, int]]]] = [{} for _ in lines]
+        if tried:
+            outer = np.where((np.array(at) >= 0)[:, None], self.vectors.outer[at], 0)
+            n = [len(t[3][0]) for t in tried]
+            place = np.array([t[0] for t in tried])
+            near = sum(outer[place + d] for d in range(-WINDOW, WINDOW + 1) if d)
+            lead = np.einsum("ij,ij->i", np.concatenate([t[3][1] for t in tried]), np.repeat(near, n, axis=0))
+            better = (lead > 0) & (lead + np.concatenate([t[3][2] for t in tried]) >= LEAST_LEAD)
+            first = np.cumsum(n) - n
+            for k in np.unique(np.repeat(np.arange(len(tried)), n)[better]).tolist():
+                _, i, start, rivals = tried[k]
+                out[i][start] = [r for r, ok in zip(rivals[0], better[first[k] : first[k] + n[k]], strict=True) if ok]
+        return out
+
     def edge(self, word: str) -> bool:
         """Whether a mark at a word's start or end is a misread letter: without it there is no such word, or it is no bracket."""
         bare = word.strip("!|(").lower()
@@ -360,6 +437,7 @@ class Reader:
         special = any(lines[i].rstrip()[-1:] in HYPHENS[1:] for i in body)
         bad: set[int] = set()
         skip: dict[int, int] = {}  # characters at a line's start that belong to the line before
+        misfits = self.misfits([lines[i] for i in body])
         for k, i in enumerate(body):
             line = lines[i]
             tail = _BROKEN.search(line)
@@ -373,7 +451,11 @@ class Reader:
                         hyphen[i] = True
                         found.append((i + 1, "hyphen"))
                         skip[nxt] = head.end()
-                        choices = self.readings(tail[1] + head[1])
+                        whole = tail[1] + head[1]
+                        choices = self.readings(whole)
+                        if choices is None:
+                            before = line[: tail.start()]
+                            choices = self.misfits([before + whole + lines[nxt][head.end() :]])[0].get(len(before)) if self.rivals(whole.lower()) else None
                         if choices:
                             bad.add(i if choices[0][1] < len(tail[1]) else nxt)
                             if not kinds_only:
@@ -388,14 +470,15 @@ class Reader:
                 if any(a <= m.start() and m.end() <= b for a, b in codes) or _PREFIX.match(line, m.start()):
                     continue
                 choices = self.readings(m[0])
+                if choices is None:
+                    choices = misfits[k].get(m.start())
                 if choices is not None:
                     wrong.append((m, choices))
             if wrong:
                 bad.add(i)
             if not kinds_only:
                 for m, choices in sorted(wrong, key=lambda w: -w[0].start()):
-                    around = [w.lower() for w in _WORD.findall(line[: m.start()])[-WINDOW:] + _WORD.findall(line[m.end() :])[:WINDOW]]
-                    fixed[i] = fixed[i][: m.start()] + self.best(m[0], choices, around) + fixed[i][m.end() :]
+                    fixed[i] = fixed[i][: m.start()] + self.best(m[0], choices, _around(line, m)) + fixed[i][m.end() :]
                 if word_end:
                     whole, choices, _, _ = word_end
                     new = self.best(whole, choices, [w.lower() for w in _WORD.findall(line[: tail.start()])[-WINDOW:]])
@@ -405,6 +488,7 @@ class Reader:
                     nxt, head = word_end[2], word_end[3]
                     lines[nxt] = lines[nxt][: head.start(1)] + new[cut:] + lines[nxt][head.end() :]
                     fixed[nxt] = lines[nxt]
+                    misfits[k + 1] = self.misfits([lines[nxt]])[0]
                     skip[nxt] = head.start(1) + len(new) - cut
         found += [(i + 1, "misread") for i in sorted(bad)]
         return found, fixed, gone, hyphen
@@ -492,39 +576,49 @@ def _lexicon(read: DataFrame) -> dict[str, int]:
     return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
 
 
-def _vectors(pages: DataFrame, lexicon: dict[str, int]) -> Vectors:
-    """Skip-gram vectors of the most frequent words, from all scanned pages."""
-    spark = pages.sparkSession
-    words = [w for w, _ in sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:VECTOR_WORDS] if w.isalpha()]
-    number = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+def _vectors(documents: DataFrame, text_col: str, lexicon: dict[str, int]) -> Vectors:
+    """Skip-gram vectors of all words of the lexicon, from all texts."""
+    words = sorted(lexicon, key=lambda w: (-lexicon[w], w))[:VECTOR_WORDS]
+    size = max(1, len(words))
+    number = documents.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    texts = spread(documents.select(F.col(text_col).alias("text")).where("text IS NOT NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: Counter[int] = Counter()
-        known, size = number.value, len(words)
+        known, keys, held = number.value, [], 0
+
+        def counted() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate(keys), return_counts=True)
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["pair", "n"])
+
         for b in batches:
-            for t in b.column(1).to_pylist():
-                x = np.array([known.get(w, -1) for w in _WORD.findall(t.lower())], np.int64)
+            for t in b.column(0).to_pylist():
+                found = _WORD.findall(t.lower())
+                x = np.fromiter((known.get(w, -1) for w in found), np.int64, len(found))
                 for d in range(1, WINDOW + 1):
-                    ok = (x[:-d] >= 0) & (x[d:] >= 0)
-                    k, n = np.unique(x[:-d][ok] * size + x[d:][ok], return_counts=True)
-                    for key, c in zip(k.tolist(), n.tolist(), strict=True):
-                        pairs[key] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.int64()), pa.array(list(pairs.values()), pa.int64())], names=["pair", "n"])
-
-    # at most VECTOR_WORDS squared pairs; those met once or twice say little and stay away
-    rows = pages.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 2").toArrow()
+                    one, other = x[:-d], x[d:]
+                    ok = (one >= 0) & (other >= 0)
+                    one, other = one[ok], other[ok]
+                    keys.append(np.minimum(one, other) * size + np.maximum(one, other))
+                    held += len(one)
+                if held > 4_000_000:  # added up after the shuffle
+                    yield counted()
+                    held = 0
+        if keys:
+            yield counted()
+
+    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 2").toArrow()
     pair, n = rows.column("pair").to_numpy(), rows.column("n").to_numpy()
     order = np.argsort(pair)
     pair, n = pair[order], n[order]
-    left, right = pair // max(1, len(words)), pair % max(1, len(words))
-    return Vectors(words, np.r_[left, right], np.r_[right, left], np.r_[n, n].astype(np.float64))
+    return Vectors(words, (pair // size).astype(np.int32), (pair % size).astype(np.int32), n)
 
 
 def _reader(documents: DataFrame, id_col: str, text_col: str):
     read = _read(documents, id_col, text_col)
     pages = read.where("text IS NOT NULL").select("id", "text", "furniture")
     lexicon = _lexicon(read)
-    return pages, documents.sparkSession.sparkContext.broadcast(Reader(lexicon, _vectors(pages, lexicon)))
+    return pages, documents.sparkSession.sparkContext.broadcast(Reader(lexicon, _vectors(documents, text_col, lexicon)))
 
 
 def noisy_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

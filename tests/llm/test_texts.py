@@ -87,3 +87,16 @@ def test_edits():
     assert ("winter", 2) in scans.edits("wirter", {"winter": 1}, 1) or scans.edits("wiriter", lexicon)
     assert scans.edits("liave", lexicon)[0][0] == "have"
     assert scans.edits("zzzz", lexicon) == []
+
+
+def test_a_misread_that_is_another_word(spark):
+    rng = random.Random(4)
+    animals = [f"The {rng.choice(['grey', 'small', 'young'])} bat flew {rng.choice(['silently', 'quickly'])} out of its cave at dusk {i}." for i in range(150)]
+    clothes = [f"Her {rng.choice(['woollen', 'straw', 'felt'])} hat sat upon {rng.choice(['his', 'her'])} head and scarf {i}." for i in range(150)]
+    page = ["Yearly Report Tinvel", "Her straw bat sat upon his head and scarf.", "The small bat flew silently out of its cave.", "Her felt hat sat upon her head and scarf.", "", "— {} —"]
+    text = "\n".join("\n".join(page).format(n) for n in (7, 8, 9))
+    docs = spark.createDataFrame([*enumerate(animals + clothes), (900, text)], "doc_id int, text string")
+    got = {(r.line_no, r.kind) for r in scans.noisy_lines(docs).where("kind = 'misread'").collect()}
+    assert got == {(2, "misread"), (8, "misread"), (14, "misread")}
+    repaired = scans.repaired_texts(docs).where("doc_id = 900").first().text
+    assert repaired.count("straw hat sat") == 3 and repaired.count("small bat flew") == 3
