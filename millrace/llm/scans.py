@@ -30,11 +30,10 @@ HYPHENS = "-­¬‐"
 #: A word is in the lexicon if so many unscanned documents have it, at least the given share of them.
 LEAST_DOCUMENTS = 2
 LEAST_SHARE = 5e-5
-VECTOR_WORDS = 2048
 DIMENSIONS = 32
 WINDOW = 3
 #: Rounds over the counted pairs, pairs a step, negatives that a step shares, size of the first steps.
-ROUNDS = 2
+ROUNDS = 4
 STEP_PAIRS = 8192
 NEGATIVES = 64
 RATE = 0.1
@@ -578,7 +577,7 @@ def _lexicon(read: DataFrame) -> dict[str, int]:
 
 def _vectors(documents: DataFrame, text_col: str, lexicon: dict[str, int]) -> Vectors:
     """Skip-gram vectors of all words of the lexicon, from all texts."""
-    words = sorted(lexicon, key=lambda w: (-lexicon[w], w))[:VECTOR_WORDS]
+    words = sorted(lexicon, key=lambda w: (-lexicon[w], w))
     size = max(1, len(words))
     number = documents.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     texts = spread(documents.select(F.col(text_col).alias("text")).where("text IS NOT NULL"))
@@ -607,7 +606,7 @@ def _vectors(documents: DataFrame, text_col: str, lexicon: dict[str, int]) -> Ve
         if keys:
             yield counted()
 
-    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 2").toArrow()
+    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, n = rows.column("pair").to_numpy(), rows.column("n").to_numpy()
     order = np.argsort(pair)
     pair, n = pair[order], n[order]

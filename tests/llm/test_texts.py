@@ -100,3 +100,11 @@ def test_a_misread_that_is_another_word(spark):
     assert got == {(2, "misread"), (8, "misread"), (14, "misread")}
     repaired = scans.repaired_texts(docs).where("doc_id = 900").first().text
     assert repaired.count("straw hat sat") == 3 and repaired.count("small bat flew") == 3
+
+
+def test_every_lexicon_word_has_a_vector(spark):
+    words = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(3000)]
+    docs = spark.createDataFrame([(" ".join(words[i : i + 100]),) for i in range(0, 3000, 100)], "text string")
+    vectors = scans._vectors(docs, "text", dict.fromkeys(words, 2))
+    assert set(vectors.number) == set(words)
+    assert (abs(vectors.outer).max(1) > 0).mean() > 0.99  # each pair is seen only once
