@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from ._shared import cut_lineage, spread
 
 HYPHENS = "-­¬‐"
-#: A word is in the lexicon if so many unscanned documents have it, at least the given share of them.
+#: A word is in the lexicon if so many unscanned documents have it.
 LEAST_DOCUMENTS = 2
-LEAST_SHARE = 5e-5
 DIMENSIONS = 32
 WINDOW = 3
 #: Rounds over the counted pairs, pairs a step, negatives that a step shares, size of the first steps.
@@ -524,7 +523,7 @@ class Reader:
 def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over all texts: ``id, text, furniture`` of those from scanned pages, ``word, n`` counted in the others.
 
-    Words are counted by task here; the row of the empty word counts documents.
+    Words are counted by task here.
     """
     kind = documents.schema[id_col].dataType.simpleString()
     rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL"))
@@ -549,7 +548,6 @@ def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     take.append(i), lines.append(found)
                 elif t:
                     counts.update(words_of(t))
-                    counts[""] += 1
             at = pa.array(take, pa.int64())
             k = len(take)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lines, pa.list_(pa.int32())), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
@@ -561,17 +559,61 @@ def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, f"id {kind}, text string, furniture array<int>, word string, n long"))
 
 
+def sought(text: str, furniture_lines: list[int]) -> set[str]:
+    """Words of a scanned text, with those its line ends may make, whose glyph edits a Reader looks up."""
+    gone = set(furniture_lines)
+    lines = [x for i, x in enumerate(text.split("\n")) if i not in gone and x.strip()]
+    body = "\n".join(lines)
+    out = set(_WORD.findall(body))
+    for m in _EDGES.finditer(body):
+        out |= {m[0], m[0].strip("!|(")}
+    for line, after in zip(lines, lines[1:], strict=False):
+        if line.rstrip()[-1:] in HYPHENS and (tail := _BROKEN.search(line)) and (head := _GOES_ON.match(after)):
+            out |= {tail[1], head[1], tail[1] + head[1]}
+    return {w.lower() for w in out}
+
+
+class _All:
+    """Stands for a lexicon that has every word."""
+
+    def __contains__(self, word: str) -> bool:
+        return True
+
+
 def _lexicon(read: DataFrame) -> dict[str, int]:
-    """Words of unscanned documents with the number of such documents.
+    """Words of unscanned documents with the number of such documents: those on scanned pages or one glyph edit from a word there.
 
-    Its size is bounded: a document of w distinct words adds w to the counts, so
-    at most w / LEAST_SHARE words reach the share.
+    A compound is there if both its parts are.
     """
-    counted = cut_lineage(read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_DOCUMENTS} OR word = ''"))
-    documents = counted.where("word = ''").first()
-    least = max(LEAST_DOCUMENTS, math.ceil(LEAST_SHARE * (documents["n"] if documents else 0)))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[str] = set()
+        for b in batches:
+            for t, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out |= sought(t, gone)
+            if len(out) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], names=["word"])
+                out.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], names=["word"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, out = _All(), set()
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                out.add(w)
+                out.update(e for e, _ in edits(w, every))
+                if len(out) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], names=["word"])
+                    out.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], names=["word"])
+
+    asked = cut_lineage(read.where("text IS NOT NULL").select("text", "furniture").mapInArrow(words, "word string").distinct().mapInArrow(near, "word string").distinct())
+    counted = read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
     # a number is right as it is: only words are of use
-    rows = counted.where((F.col("n") >= least) & (F.col("word") != "") & ~F.col("word").rlike("^[0-9]+$|[ﬀ-ﬆ]")).toArrow()
+    rows = counted.where(~F.col("word").rlike("^[0-9]+$|[ﬀ-ﬆ]")).toDF("word", "n")
+    for part in (1, -1):
+        rows = rows.withColumn("part", F.substring_index("word", "-", part)).join(asked.withColumnRenamed("word", "part"), "part", "left_semi").select("word", "n")
+    rows = rows.toArrow()
     return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
 
 

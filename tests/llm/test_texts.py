@@ -108,3 +108,12 @@ def test_every_lexicon_word_has_a_vector(spark):
     vectors = scans._vectors(docs, "text", dict.fromkeys(words, 2))
     assert set(vectors.number) == set(words)
     assert (abs(vectors.outer).max(1) > 0).mean() > 0.99  # each pair is seen only once
+
+
+def test_lexicon_keeps_rare_words(spark):
+    """Two documents are enough, however many there are; other words than those sought on scanned pages stay away."""
+    text = page_text()
+    rows = [(None, text, scans.scanned(text), None, None), *((None, None, None, w, n) for w, n in [("register", 2), ("supplier", 60_000), ("cornmittee", 1), ("zebra", 9), ("hand-written", 3), ("hand-made", 3)])]
+    rows += [(None, None, None, "the", 60_000)] * 2
+    read = spark.createDataFrame(rows, "id int, text string, furniture array<int>, word string, n long")
+    assert scans._lexicon(read) == {"register": 2, "supplier": 60_000, "hand-written": 3, "the": 120_000}
