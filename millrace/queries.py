@@ -52,6 +52,15 @@ def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
     return first.select(F.col("collection").alias("query_id"), "collection", "query_vector")
 
 
+def _every_fiftieth(df: DataFrame) -> DataFrame:
+    """Rows whose chunk_id has a CRC-32 divisible by 50: queries in proportion to the data."""
+    return df.where(F.crc32(F.col("chunk_id").cast("binary")) % 50 == 0).withColumn("query_id", F.col("chunk_id"))
+
+
+def _every_vector_query(spark: SparkSession, d: str) -> DataFrame:
+    return _every_fiftieth(_vectors(spark, d)).select("query_id", "collection", F.col("dense_vector").alias("query_vector"))
+
+
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "tasks").distinct()
 
@@ -121,6 +130,41 @@ def _legs(spark, d):
     return retrieval.sparse(index.build(c), text, 2 * TOP_K), retrieval.dense(_vectors(spark, d), v, 2 * TOP_K)
 
 
+def _every_legs(spark, d):
+    """Both legs: every fiftieth chunk asks with its text and its vector."""
+    c = _chunks(spark, d)
+    text = _every_fiftieth(c).select("query_id", "collection", F.col("text").alias("query_text"))
+    return retrieval.sparse(index.build(c), text, 2 * TOP_K), retrieval.dense(_vectors(spark, d), _every_vector_query(spark, d), 2 * TOP_K)
+
+
+@_query
+def dense_topk_every(spark, d):
+    return retrieval.dense(_vectors(spark, d), _every_vector_query(spark, d), TOP_K)
+
+
+@_query
+def dense_topk_cosine_every(spark, d):
+    return retrieval.dense(_vectors(spark, d), _every_vector_query(spark, d), TOP_K, "cosine")
+
+
+@_query
+def rrf_fusion_every(spark, d):
+    return retrieval.fuse(list(_every_legs(spark, d)))
+
+
+@_query
+def hybrid_search_every(spark, d):
+    s, v = _every_legs(spark, d)
+    return retrieval.hybrid(s, v, TOP_K)
+
+
+@_query
+def hybrid_postfilter_every(spark, d):
+    s, v = _every_legs(spark, d)
+    c = _chunks(spark, d)
+    return retrieval.hybrid(s, v, TOP_K, post_filter=lambda r: retrieval.metadata_filter(r, c, {"doc_type": "md"}))
+
+
 @_query
 def rrf_fusion(spark, d):
     s, v = _legs(spark, d)

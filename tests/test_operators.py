@@ -165,3 +165,21 @@ def test_streams(spark, tmp_path):
     u = streams.upsert_stream(events, str(tmp_path / "out"), ["id"], str(tmp_path / "cp"))
     u.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out" / "v0")).count() == 2
+
+
+def test_every_fiftieth_chunk_asks(spark):
+    """The queries grow with the data; each has the nearest vectors of its collection."""
+    from zlib import crc32
+
+    from millrace import queries
+
+    d = "/root/testdata/sf0.001"
+    v = {r.chunk_id: r for r in queries._vectors(spark, d).collect()}
+    asked = {i for i in v if crc32(i.encode()) % 50 == 0}
+    got = {}
+    for r in queries.queries()["dense_topk_every"](spark, d).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
+    assert asked and set(got) == asked
+    for q in asked:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v[q].dense_vector, x.dense_vector, strict=True)), 5), i) for i, x in v.items() if x.collection == v[q].collection)
+        assert {i for _, i in got[q]} == {i for _, i in near[:10]}
