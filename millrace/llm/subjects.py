@@ -28,9 +28,14 @@ LANGUAGE_TERMS = 1 << 13
 TERMS = LANGUAGE_TERMS * len(LANGUAGES)
 #: Singular vectors kept for each language.
 RANK = 32
-PASSES = 2
-#: Rounds of moving the centroids.
-ROUNDS = 2
+#: Columns iterated beside them, so that the last ones settle soon.
+OVERSAMPLE = 16
+#: Passes go on until less than this share of a language's weight on its singular vectors moves; most passes.
+SETTLED = 1e-3
+MOST_PASSES = 30
+#: The centroids move until none turns by more than this (1 - cosine); most rounds.
+STILL = 1e-4
+MOST_ROUNDS = 50
 #: Labelled documents used as seeds at most (those with the smallest ids).
 MAX_LABELS = 50_000
 #: Least cosine of a sentence to its subject, and least lead over the next subject.
@@ -201,10 +206,29 @@ def _statistics(sentences: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _orthonormal(y: np.ndarray) -> np.ndarray:
     """Orthonormal columns for each language's block of rows."""
-    blocks = y.reshape(len(LANGUAGES), LANGUAGE_TERMS, RANK).astype(np.float64)
+    blocks = y.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1).astype(np.float64)
     return np.concatenate([np.linalg.qr(b)[0] for b in blocks]).astype(np.float32)
 
 
+def _turned(q: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products ``y`` of the matrices with ``q``, turned so that the leading singular vectors come first; their squared singular values."""
+    out, values = [], []
+    for a, b in zip(q.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1).astype(np.float64), y.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1).astype(np.float64), strict=True):
+        inner = a.T @ b
+        value, turn = np.linalg.eigh((inner + inner.T) / 2)
+        out.append(b @ turn[:, ::-1])
+        values.append(np.maximum(value[::-1][:RANK], 0))
+    return np.concatenate(out), np.array(values)
+
+
+def _moved(before: np.ndarray, after: np.ndarray, values: np.ndarray) -> float:
+    """Largest share, over the languages, of the weight on the leading vectors that lies outside of those before."""
+    shares = []
+    for a, b, v in zip(before.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1)[..., :RANK], after.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1)[..., :RANK], values, strict=True):
+        shares.append(float((v * (1 - ((a.T @ b) ** 2).sum(0))).sum() / max(v.sum(), 1e-9)))
+    return max(shares)
+
+
 def _singular_vectors(sentences: DataFrame, weight: np.ndarray) -> np.ndarray:
     """Leading right singular vectors of each language's document-term matrix by subspace iteration over all documents.
 
@@ -212,15 +236,15 @@ def _singular_vectors(sentences: DataFrame, weight: np.ndarray) -> np.ndarray:
     are added up by term, so no more than one such matrix reaches the driver.
     """
     spark = sentences.sparkSession
-    q = _orthonormal(np.random.default_rng(5).standard_normal((TERMS, RANK)))
+    q = _orthonormal(np.random.default_rng(5).standard_normal((TERMS, RANK + OVERSAMPLE)))
     rows_of_block = 4096
 
-    for _ in range(PASSES):
+    for _ in range(MOST_PASSES):
         basis = spark.sparkContext.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
             q = basis.value
-            out = np.zeros((TERMS, RANK), np.float32)
+            out = np.zeros((TERMS, q.shape[1]), np.float32)
 
             for b in _blocks(batches):
                 pair, n = np.unique(np.repeat(b.document, b.lengths) * TERMS + b.terms, return_counts=True)
@@ -245,10 +269,13 @@ def _singular_vectors(sentences: DataFrame, weight: np.ndarray) -> np.ndarray:
 
         parts = sentences.mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(total, "block int, part binary")
         rows = sorted((r[0], r[1]) for r in parts.collect())
-        y = np.concatenate([np.frombuffer(p, np.float32).reshape(-1, RANK) for _, p in rows]) if rows else q
-        q = _orthonormal(y)
-        basis.unpersist()
-    return q
+        y = np.concatenate([np.frombuffer(p, np.float32).reshape(-1, RANK + OVERSAMPLE) for _, p in rows]) if rows else q
+        y, values = _turned(q, y)
+        before, q = q, _orthonormal(y)
+        basis.destroy()
+        if _moved(before, q, values) < SETTLED:
+            break
+    return np.ascontiguousarray(q[:, :RANK])
 
 
 class Model:
@@ -286,6 +313,7 @@ def _gather(sentences: DataFrame, model: Model, work) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(out.size), pa.int32()), pa.array(out.ravel())], names=["i", "v"])
 
     parts = sentences.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    shared.destroy()
     out = np.zeros(parts.num_rows)
     out[parts.column("i").to_numpy()] = parts.column("v").to_numpy()
     return out.reshape(-1, RANK + 1)
@@ -386,8 +414,11 @@ def subjects_of(
         model.centroid, model.usable = c.astype(np.float32), filled
 
     settle(_gather(sentences, model, first), None)
-    for _ in range(ROUNDS):
-        settle(_gather(sentences, model, nearest), model.centroid)
+    for _ in range(MOST_ROUNDS):
+        before = model.centroid
+        settle(_gather(sentences, model, nearest), before)
+        if (1 - (model.centroid * before).sum(2))[model.usable].max(initial=0) < STILL:
+            break
 
     shared = spark.sparkContext.broadcast(model)
 

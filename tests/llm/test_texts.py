@@ -117,3 +117,23 @@ def test_lexicon_keeps_rare_words(spark):
     rows += [(None, None, None, "the", 60_000)] * 2
     read = spark.createDataFrame(rows, "id int, text string, furniture array<int>, word string, n long")
     assert scans._lexicon(read) == {"register": 2, "supplier": 60_000, "hand-written": 3, "the": 120_000}
+
+
+def test_singular_vectors_settle(spark):
+    """The subspace holds as much of the matrix as the leading singular vectors do."""
+    import numpy as np
+
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}x" for a in "bcdfg" for b in "aeiou" for c in "klmnprst"]
+    docs = spark.createDataFrame([(i, "The " + " ".join(rng.choices(words, k=40)) + ".") for i in range(400)], "doc_id int, text string")
+    packed = subjects._sentences(docs, "doc_id", "text")
+    weight = np.ones(subjects.TERMS, np.float32)
+    q = subjects._singular_vectors(packed, weight)
+    a = np.zeros((400, subjects.LANGUAGE_TERMS))
+    for r in packed.collect():
+        b = subjects._unpack(r.ids, bytes(r.packed))
+        np.add.at(a, (np.array(r.ids)[np.repeat(b.document, b.lengths)], b.terms), 1)
+    a = np.where(a > 0, 1 + np.log(np.maximum(a, 1)), 0)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    best = (np.linalg.svd(a, compute_uv=False)[: subjects.RANK] ** 2).sum()
+    assert ((a @ q[: subjects.LANGUAGE_TERMS]) ** 2).sum() >= 0.98 * best
