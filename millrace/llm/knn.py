@@ -25,8 +25,10 @@ SAMPLE_ROWS = 20_000
 LIST_ROWS = 6_000
 #: A list with more than this many times LIST_ROWS is cut into slices.
 SLICE_FACTOR = 3
-#: Lists searched for each vector.
+#: Lists searched for each vector at least; more where a sample of queries finds a smaller share of its neighbours in them.
 PROBES = 4
+LIST_RECALL = 0.97
+SAMPLE_QUERIES = 256
 SUBSPACES = 16
 CODES = 256
 #: Steps of a distance table's entries for 1. Residuals are at most 2 long, so sums stay below 2**15.
@@ -212,7 +214,8 @@ def nearest(
     are more similar still, so the rest need not be shuffled.
 
     Centroids and codebooks are fitted on ``sample_rows`` vectors.  Lists hold
-    about ``list_rows``; longer ones (one vector repeated by a third of all
+    about ``list_rows``; ``probes`` of them are searched, or as many as a sample
+    of queries needs, see :func:`_probes`. Longer ones (one vector repeated by a third of all
     rows) are cut into slices which every query of the list visits.
     """
     spark = records.sparkSession
@@ -230,6 +233,8 @@ def nearest(
     slices = np.maximum(1, np.ceil(model.share * total / (SLICE_FACTOR * list_rows))).astype(np.int64)
     first_slice = np.concatenate([[0], np.cumsum(slices)])
     asked = min(probes, len(model.centroids))
+    if asked < len(model.centroids):
+        asked = max(asked, _probes(vectors, model, sample[:SAMPLE_QUERIES], k))
     shared = spark.sparkContext.broadcast(model)  # a function of sample_rows and the number of lists
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +334,35 @@ def nearest(
     return merged.select("id", F.posexplode("best").alias("p", "b")).select("id", F.col("b.n").alias("neighbour"), (-F.col("b.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
 
 
+def _probes(vectors: DataFrame, model: Model, queries: np.ndarray, k: int) -> int:
+    """Lists to search so that LIST_RECALL of the k nearest of the queries, found among all vectors, are in them.
+
+    Vectors equal to a query are in its own list anyhow and don't count.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast((model.centroids, queries))
+    width = queries.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, q = shared.value
+        best, home = np.full((len(q), k), -2, np.float32), np.zeros((len(q), k), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                x = _matrix(whole.slice(at, 4096).column(0), width)
+                s = q @ x.T
+                s = np.concatenate([best, np.where(s > 1 - 1e-5, -2, s)], axis=1)
+                own = np.concatenate([home, np.broadcast_to((x @ centroids.T).argmax(1), (len(q), len(x)))], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, home = np.take_along_axis(s, top, 1), np.take_along_axis(own, top, 1)
+        i, j = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[i, j].astype(np.float64)), pa.array(home[i, j])], names=["q", "s", "list"])
+
+    top = vectors.select("vec").mapInArrow(run, "q long, s double, list long").groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "list")), asc=False), 1, k).alias("best"))
+    rows = top.select("q", F.explode("best.list").alias("list")).toArrow()
+    order = np.argsort(np.argsort(-(queries @ model.centroids.T), axis=1), axis=1)
+    places = np.sort(order[rows.column("q").to_numpy(), rows.column("list").to_numpy()])
+    return int(places[max(0, int(np.ceil(LIST_RECALL * len(places))) - 1)]) + 1 if len(places) else 1
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and, for each row, its position among them."""
     if not len(x):

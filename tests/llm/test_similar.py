@@ -107,3 +107,16 @@ def test_dual_traversal_loses_no_pair():
             if both >= 0.5 * (len(a) + len(b) - both):
                 assert (i, j) in found
     assert len(found) < len(sets) ** 2 / 4
+
+
+def test_probes_grow_with_the_lists(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], "chunk_id string, dense_vector array<float>, embedded_at int")
+    want = brute(ids, x.astype(np.float64), 10)
+    got = {}
+    for r in knn.nearest(df, list_rows=50).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert sum(len(got[i] & set(want[i])) for i in ids) / (10 * len(ids)) >= 0.9
