@@ -63,10 +63,23 @@ class _Lengths:
             two = self.pair(gap)
             if two:
                 return list(two)
+        firsts = self._firsts(gap)
+        if len(firsts) > 64:  # try some; if their marks are all stale, mark anew before trying every one
+            found = self._triple(gap, firsts[:64])
+            if found:
+                return found
+            self._resum()
+            firsts = self._firsts(gap)
+        return self._triple(gap, firsts)
+
+    def _firsts(self, gap: int) -> np.ndarray:
+        """Available lengths, the largest first, that leave a sum marked as one of two lengths."""
         firsts = self.lengths[self.lengths < gap]
         firsts = firsts[self.left[firsts] > 0]
-        firsts = firsts[self.pair_sums[gap - firsts]][::-1]
-        for a in firsts[:64].tolist() if len(firsts) else []:
+        return firsts[self.pair_sums[gap - firsts]][::-1]
+
+    def _triple(self, gap: int, firsts: np.ndarray) -> list[int] | None:
+        for a in firsts.tolist():
             self.left[a] -= 1
             two = self.pair(gap - a)
             self.left[a] += 1

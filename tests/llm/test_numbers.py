@@ -113,3 +113,11 @@ def test_percentile_bounds(spark):
         q = {"p50": 0.5, "p99": 0.99, "max": 1.0}[r.quantile_name]
         assert r.n == 3000 and r.low <= values[math.ceil(q * 3000) - 1] <= r.high
         assert r.high <= values[min(2999, math.ceil((q + 0.005) * 3000))] * 1.02 + 1e-6
+
+
+def test_triples_behind_stale_marks():
+    counts = {a: 1 for a in range(1000, 1101)} | {1: 1, 250: 2} | {a: 1 for a in range(399, 499)}
+    items = packing._Lengths(counts, 2000)
+    for a in [1, *range(399, 499)]:
+        items.left[a] = 0
+    assert sorted(items.exact(1500) or []) == [250, 250, 1000]
