@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -69,3 +71,20 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of a small dimension table, or None if it has more than ``limit``."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def zipped(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, packed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unzipped(data: bytes, kinds: list) -> list[np.ndarray]:
+    """The arrays of :func:`zipped`, given their types."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        size = n * np.dtype(k).itemsize
+        out.append(np.frombuffer(raw[at : at + size], k))
+        at += size
+    return out

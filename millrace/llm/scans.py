@@ -17,25 +17,34 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut_lineage, spread
+from ._shared import cut_lineage, spread, unzipped as _unzip, zipped as _zip
 
 HYPHENS = "-­¬‐"
 #: A word is in the lexicon if so many unscanned documents have it.
 LEAST_DOCUMENTS = 2
+#: Words a lexicon holds at most; the pages of a larger one are read in two halves, each with a lexicon of its own.
+LEXICON_WORDS = 250_000
+#: Halvings at most.
+MOST_BITS = 30
 DIMENSIONS = 32
 WINDOW = 3
-#: Rounds over the counted pairs, pairs a step, negatives that a step shares, size of the first steps.
+#: Rounds over the counted pairs, pairs a step, least steps of a block in a round, negatives that a step shares, size of the first steps.
 ROUNDS = 4
-STEP_PAIRS = 8192
+STEP_PAIRS = 4096
+LEAST_STEPS = 50
 NEGATIVES = 64
 RATE = 0.1
+#: Rows of a table of vectors that are added up together.
+CHUNK_ROWS = 4096
 #: Log-odds by which a glyph edit must go better with the words around than a word of the lexicon does.
 LEAST_LEAD = 3.0
 
@@ -60,11 +69,13 @@ _DIGITS = re.compile(r"\d+")
 _NUMBER_LAST = re.compile(r"^\s*(\S.{2,70}?)\s{2,}(\d{1,4})\s*$")
 _NUMBER_FIRST = re.compile(r"^\s*(\d{1,4})\s{2,}(\S.{2,70}?)\s*$")
 _WORD = re.compile(r"[^\W_]+(?:[!|(](?=[^\W\d_])[^\W_]+)*")
+_MARKED = re.compile(r"[a-z0-9][!|(][a-z]")
+_TO_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 _EDGES = re.compile(r"(?<![^\s(\"'])[!|(][a-zà-ÿ]{2,}(?:[!|(][a-zà-ÿ]+)*|[a-zà-ÿ]{2,}\((?=[\s.,;:?]|$)")
 _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]{2,}-[^\W\d_]{2,}(?![\w-])")
 _BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[!|])*)([{HYPHENS}])[ \t\r]*$")
-_CODE = re.compile(r"[A-Z]{2}-\d+")
-_PREFIX = re.compile(r"[A-Z]{2}-[ \t\r]*$")
+#: Identifiers, whose letters are spelt by no dictionary; one may end its line after the hyphen.
+_IDENTIFIER = re.compile(r"(?<![^\W_])[^\W\d_]+-(?:\d+(?![^\W_])|[ \t\r]*$)")
 _GOES_ON = re.compile(r"\s*([^\W_](?:[^\W_]|[!|])*)")
 
 
@@ -109,8 +120,11 @@ def _laid_out(lines: list[str]) -> bool:
 
 def _alike(a: str, b: str) -> bool:
     a, b = a.strip().casefold(), b.strip().casefold()
-    if a == b:
-        return True
+    return a == b or _nearly(a, b)
+
+
+@lru_cache(maxsize=50_000)
+def _nearly(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 0.25 * max(len(a), len(b)):
         return False
     if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 0.1 * len(a):
@@ -219,10 +233,23 @@ def scanned(text: str) -> list[int] | None:
     return sorted(gone) if gone or _laid_out(lines) else None
 
 
+def tokens(low: str) -> list[str]:
+    """Words of a lower-case text, as _WORD finds them."""
+    if low.isascii():
+        return _WORD.findall(low) if _MARKED.search(low) else low.translate(_TO_BLANKS).split()
+    out: list[str] = []
+    for line in low.split("\n"):  # no word goes on in the next one
+        out += tokens(line) if line.isascii() else _WORD.findall(line)
+    return out
+
+
 def words_of(text: str) -> set[str]:
     """Words of a text as the lexicon counts them, with the compounds spelt with a hyphen."""
     low = text.lower()
-    return set(_WORD.findall(low)) | set(_COMPOUND.findall(low))
+    out = set(tokens(low))
+    if "-" in low:
+        out.update(_COMPOUND.findall(low))
+    return out
 
 
 def edits(word: str, lexicon, depth: int = 1) -> list[tuple[str, int]]:
@@ -249,40 +276,56 @@ def edits(word: str, lexicon, depth: int = 1) -> list[tuple[str, int]]:
 
 def _step(rows: np.ndarray, squares: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
     """Move rows along the sum of their gradients, by less the more they have moved already."""
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-    total, row = np.add.reduceat(gradient[order], first, axis=0), at[order][first]
+    if len(at) > 1 and (at[1:] < at[:-1]).any():
+        order = np.argsort(at, kind="stable")
+        at, gradient = at[order], gradient[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    total, row = np.add.reduceat(gradient, first, axis=0), at[first]
     squares[row] += (total * total).mean(1)
     rows[row] += RATE * total / np.sqrt(squares[row])[:, None]
 
 
+class Training:
+    """State of skip-gram training with negative sampling: a word's own vectors, those of words around, and how far each has moved."""
+
+    def __init__(self, totals: np.ndarray, mean_weight: float, seed: int = 3):
+        n = len(totals)
+        self.inner = ((np.random.default_rng(seed).random((n, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
+        self.outer = np.zeros((n, DIMENSIONS), np.float32)
+        self.squares = np.full((2, n), 1e-8, np.float32)
+        noise = np.maximum(totals, 1) ** 0.75
+        self.noise = np.cumsum(noise / noise.sum())
+        self.mean_weight = mean_weight
+
+    def over(self, block: int, turn: int, centre: np.ndarray, other: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of both kinds and their movement after training once over the pairs of one block. A pair weighs as the root of its count."""
+        rng = np.random.default_rng([block, turn])
+        inner, outer, squares = self.inner.copy(), self.outer.copy(), self.squares.copy()
+        mixed = np.tile(rng.permutation(len(centre)), max(1, round(LEAST_STEPS * STEP_PAIRS / max(len(centre), STEP_PAIRS))))
+        weight = (np.sqrt(counts) / self.mean_weight).astype(np.float32)
+        step = min(STEP_PAIRS, len(centre))
+        for at in range(0, len(mixed), step):
+            pick = np.sort(mixed[at : at + step])  # pairs lie by centre
+            a, b, w = centre[pick], other[pick], weight[pick][:, None]
+            away = np.minimum(np.searchsorted(self.noise, rng.random(NEGATIVES)), len(outer) - 1)
+            x, y, z = inner[a], outer[b], outer[away]
+            g = w / (1 + np.exp(np.clip(np.einsum("ij,ij->i", x, y), -15, 15)))[:, None]
+            # negatives meet each centre once, as if each of its pairs had four of its own
+            first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            mine, own = np.add.reduceat(w, first, axis=0), x[first]
+            h = (-4 / NEGATIVES) * mine / (1 + np.exp(-np.clip(own @ z.T, -15, 15)))
+            move = np.add.reduceat(g * y, first, axis=0) + h @ z
+            _step(outer, squares[1], np.r_[b, away], np.concatenate([g * x, h.T @ own]))
+            _step(inner, squares[0], a[first], move)
+        return inner, outer, squares
+
+
 class Vectors:
-    """Skip-gram vectors with negative sampling, trained on counted pairs of neighbours."""
+    """Trained vectors of words: their own and those they have as words around."""
 
-    def __init__(self, words: list[str], left: np.ndarray, right: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, seed: int = 3):
-        """Pairs are unordered; each is met in both directions."""
-        rng = np.random.default_rng(seed)
-        n = len(words)
+    def __init__(self, words: list[str], inner: np.ndarray, outer: np.ndarray):
         self.number = {w: i for i, w in enumerate(words)}
-        self.inner = ((rng.random((n, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
-        self.outer = np.zeros((n, DIMENSIONS), np.float32)
-        if not len(left):
-            return
-        noise = (np.bincount(left, counts, n) + np.bincount(right, counts, n)) ** 0.75
-        noise = np.cumsum(noise / noise.sum())
-        chance = np.sqrt(counts)
-        chance = np.cumsum(chance / chance.sum())
-        squares = np.full((2, n), 1e-8, np.float32)
-        for _ in range(rounds * max(50, 2 * len(left) // STEP_PAIRS)):
-            pick = np.minimum(np.searchsorted(chance, np.sort(rng.random(STEP_PAIRS))), len(left) - 1)
-            turned = rng.random(STEP_PAIRS) < 0.5
-            a, b = np.where(turned, right[pick], left[pick]), np.where(turned, left[pick], right[pick])
-            away = np.minimum(np.searchsorted(noise, rng.random(NEGATIVES)), n - 1)
-            x, y, z = self.inner[a], self.outer[b], self.outer[away]
-            g = (1 / (1 + np.exp(np.clip((x * y).sum(1), -15, 15))))[:, None]
-            h = (-4 / NEGATIVES) / (1 + np.exp(-np.clip(x @ z.T, -15, 15)))  # as if each pair had four of its own
-            _step(self.inner, squares[0], a, g * y + h @ z)
-            _step(self.outer, squares[1], np.r_[b, away], np.r_[g * x, h.T @ x])
+        self.inner, self.outer = inner, outer
 
     def fit(self, word: str, around: list[str]) -> float:
         """How well a word goes with those around it: the mean log-odds of its skip-grams."""
@@ -301,14 +344,37 @@ def _around(line: str, m: re.Match) -> list[str]:
     return [w.lower() for w in _WORD.findall(line[: m.start()])[-WINDOW:] + _WORD.findall(line[m.end() :])[:WINDOW]]
 
 
+class _Memo(dict):
+    """Results of a function of a word, kept up to a number."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, word: str):
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = self.function(word)
+        return out
+
+
 class Reader:
     """Finds hyphens, misread words and their corrections on scanned pages."""
 
     def __init__(self, lexicon: dict[str, int], vectors: Vectors):
         self.lexicon, self.vectors = lexicon, vectors
         self._known: dict[str, list[tuple[str, int]] | None] = {}
+        self._right, self._single, self._number = _Memo(self._is_right), _Memo(self._is_single), _Memo(self._number_of)
         self._rivals: dict[str, tuple[list[tuple[str, int]], np.ndarray, np.ndarray] | None] = {}
 
+    def _is_right(self, word: str) -> bool:
+        return self.readings(word) is None
+
+    def _is_single(self, word: str) -> bool:
+        return self.rivals(word.lower()) is None
+
+    def _number_of(self, word: str) -> int:
+        return self.vectors.number.get(word.lower(), -1)
+
     def readings(self, word: str) -> list[tuple[str, int]] | None:
         """None if the word is as it should be, else what it may have been (perhaps nothing known) with the edit's position."""
         if word in self._known:
@@ -354,30 +420,28 @@ class Reader:
         self._rivals[word] = out
         return out
 
-    def misfits(self, lines: list[str]) -> list[dict[int, list[tuple[str, int]]]]:
-        """For each line, by the start of a word of the lexicon: the words one glyph edit away that fit clearly better there."""
-        number, gap = self.vectors.number, [-1] * WINDOW
-        at, tried = list(gap), []
-        for i, line in enumerate(lines):
-            for m in _WORD.finditer(line):
-                low = m[0].lower()
-                rivals = self.rivals(low)
-                if rivals:
-                    tried.append((len(at), i, m.start(), rivals))
-                at.append(number.get(low, -1))
-            at += gap
-        out: list[dict[int, list[tuple[str, int]]]] = [{} for _ in lines]
-        if tried:
-            outer = np.where((np.array(at) >= 0)[:, None], self.vectors.outer[at], 0)
-            n = [len(t[3][0]) for t in tried]
-            place = np.array([t[0] for t in tried])
-            near = sum(outer[place + d] for d in range(-WINDOW, WINDOW + 1) if d)
-            lead = np.einsum("ij,ij->i", np.concatenate([t[3][1] for t in tried]), np.repeat(near, n, axis=0))
-            better = (lead > 0) & (lead + np.concatenate([t[3][2] for t in tried]) >= LEAST_LEAD)
-            first = np.cumsum(n) - n
-            for k in np.unique(np.repeat(np.arange(len(tried)), n)[better]).tolist():
-                _, i, start, rivals = tried[k]
-                out[i][start] = [r for r, ok in zip(rivals[0], better[first[k] : first[k] + n[k]], strict=True) if ok]
+    def misfits(self, words: list[list[str]]) -> list[dict[int, list[tuple[str, int]]]]:
+        """For the words of each line, by place: those one glyph edit away from a word of the lexicon that fit clearly better there."""
+        out: list[dict[int, list[tuple[str, int]]]] = [{} for _ in words]
+        flat = list(chain.from_iterable(words))
+        tried = np.flatnonzero(~np.fromiter(map(self._single.__getitem__, flat), bool, len(flat)))
+        if not len(tried):
+            return out
+        sizes = np.array([len(w) for w in words])
+        line = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(flat)) + WINDOW * (line + 1)  # a gap between lines
+        at = np.full(len(flat) + WINDOW * (len(words) + 1), -1)
+        at[place] = np.fromiter(map(self._number.__getitem__, flat), np.int64, len(flat))
+        rivals = [self.rivals(flat[i].lower()) for i in tried.tolist()]
+        n = np.array([len(r[0]) for r in rivals])
+        around = at[place[tried][:, None] + np.array([d for d in range(-WINDOW, WINDOW + 1) if d])]
+        near = (self.vectors.outer[around] * (around >= 0)[:, :, None]).sum(1)
+        lead = np.einsum("ij,ij->i", np.concatenate([r[1] for r in rivals]), np.repeat(near, n, axis=0))
+        better = (lead > 0) & (lead + np.concatenate([r[2] for r in rivals]) >= LEAST_LEAD)
+        first, start = np.cumsum(n) - n, np.cumsum(sizes) - sizes
+        for k in np.unique(np.repeat(np.arange(len(tried)), n)[better]).tolist():
+            i = int(line[tried[k]])
+            out[i][int(tried[k] - start[i])] = [r for r, ok in zip(rivals[k][0], better[first[k] : first[k] + n[k]], strict=True) if ok]
         return out
 
     def edge(self, word: str) -> bool:
@@ -404,8 +468,6 @@ class Reader:
         """Whether layout put the hyphen between the parts of a word."""
         if not second[:1].isalpha() or not first[-1:].isalpha() and first[-1:] not in "!|0156":
             return False
-        if re.fullmatch(r"[A-Z]{2}", first) and second[:1].isdigit():
-            return False
         if second[:1].isupper() and not first.isupper():
             return False
         if hyphen != "-":  # words are spelt with a plain one
@@ -435,10 +497,11 @@ class Reader:
         special = any(lines[i].rstrip()[-1:] in HYPHENS[1:] for i in body)
         bad: set[int] = set()
         skip: dict[int, int] = {}  # characters at a line's start that belong to the line before
-        misfits = self.misfits([lines[i] for i in body])
+        words, right = [_WORD.findall(lines[i]) for i in body], self._right.__getitem__
+        misfits = self.misfits(words)
         for k, i in enumerate(body):
             line = lines[i]
-            tail = _BROKEN.search(line)
+            tail = _BROKEN.search(line) if line.rstrip()[-1:] in HYPHENS else None
             end, word_end = len(line), None
             if tail and k + 1 < len(body):
                 nxt = body[k + 1]
@@ -452,8 +515,8 @@ class Reader:
                         whole = tail[1] + head[1]
                         choices = self.readings(whole)
                         if choices is None:
-                            before = line[: tail.start()]
-                            choices = self.misfits([before + whole + lines[nxt][head.end() :]])[0].get(len(before)) if self.rivals(whole.lower()) else None
+                            before = _WORD.findall(line[: tail.start()])
+                            choices = None if self._single[whole] else self.misfits([[*before, whole, *_WORD.findall(lines[nxt][head.end() :])]])[0].get(len(before))
                         if choices:
                             bad.add(i if choices[0][1] < len(tail[1]) else nxt)
                             if not kinds_only:
@@ -461,17 +524,22 @@ class Reader:
                     else:
                         end = len(line)
             start = skip.get(i, 0)
-            spans = list(_WORD.finditer(line, start, end)) + [m for m in _EDGES.finditer(line, start, end) if self.edge(m[0])]
-            codes = [m.span() for m in _CODE.finditer(line)]
             wrong = []
-            for m in spans:
-                if any(a <= m.start() and m.end() <= b for a, b in codes) or _PREFIX.match(line, m.start()):
-                    continue
-                choices = self.readings(m[0])
-                if choices is None:
-                    choices = misfits[k].get(m.start())
-                if choices is not None:
-                    wrong.append((m, choices))
+            if misfits[k] or not all(map(right, words[k] if not start and end == len(line) else _WORD.findall(line, start, end))):
+                skipped = len(_WORD.findall(line, 0, start)) if start else 0
+                for place, m in enumerate(_WORD.finditer(line, start, end), skipped):
+                    choices = self.readings(m[0])
+                    if choices is None:
+                        choices = misfits[k].get(place)
+                    if choices is not None:
+                        wrong.append((m, choices))
+            if "!" in line or "|" in line or "(" in line:
+                for m in _EDGES.finditer(line, start, end):
+                    if self.edge(m[0]) and (choices := self.readings(m[0])) is not None:
+                        wrong.append((m, choices))
+            if wrong:
+                named = [m.span() for m in _IDENTIFIER.finditer(line)]
+                wrong = [w for w in wrong if not any(a <= w[0].start() and w[0].end() <= b for a, b in named)]
             if wrong:
                 bad.add(i)
             if not kinds_only:
@@ -486,7 +554,8 @@ class Reader:
                     nxt, head = word_end[2], word_end[3]
                     lines[nxt] = lines[nxt][: head.start(1)] + new[cut:] + lines[nxt][head.end() :]
                     fixed[nxt] = lines[nxt]
-                    misfits[k + 1] = self.misfits([lines[nxt]])[0]
+                    words[k + 1] = _WORD.findall(lines[nxt])
+                    misfits[k + 1] = self.misfits([words[k + 1]])[0]
                     skip[nxt] = head.start(1) + len(new) - cut
         found += [(i + 1, "misread") for i in sorted(bad)]
         return found, fixed, gone, hyphen
@@ -562,15 +631,17 @@ def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sought(text: str, furniture_lines: list[int]) -> set[str]:
     """Words of a scanned text, with those its line ends may make, whose glyph edits a Reader looks up."""
     gone = set(furniture_lines)
-    lines = [x for i, x in enumerate(text.split("\n")) if i not in gone and x.strip()]
+    lines = [x for i, x in enumerate(text.lower().split("\n")) if i not in gone and x.strip()]
     body = "\n".join(lines)
-    out = set(_WORD.findall(body))
-    for m in _EDGES.finditer(body):
-        out |= {m[0], m[0].strip("!|(")}
+    out = set(tokens(body))
+    for line in lines:
+        if "(" in line or "|" in line or "!" in line:
+            for m in _EDGES.finditer(line):
+                out |= {m[0], m[0].strip("!|(")}
     for line, after in zip(lines, lines[1:], strict=False):
         if line.rstrip()[-1:] in HYPHENS and (tail := _BROKEN.search(line)) and (head := _GOES_ON.match(after)):
             out |= {tail[1], head[1], tail[1] + head[1]}
-    return {w.lower() for w in out}
+    return out
 
 
 class _All:
@@ -580,10 +651,11 @@ class _All:
         return True
 
 
-def _lexicon(read: DataFrame) -> dict[str, int]:
-    """Words of unscanned documents with the number of such documents: those on scanned pages or one glyph edit from a word there.
+def _lexicon(read: DataFrame, pages: DataFrame) -> DataFrame:
+    """``word, n``: words of unscanned documents with the number of such documents: those on the pages or one glyph edit from a word there.
 
-    A compound is there if both its parts are.
+    A compound is there if both its parts are.  Candidates travel as hashes; a
+    collision only lets one more word in.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -597,69 +669,173 @@ def _lexicon(read: DataFrame) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], names=["word"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, out = _All(), set()
+        from xxhash import xxh64_intdigest
+
+        every = _All()
         for b in batches:
+            out: set[int] = set()
             for w in b.column(0).to_pylist():
-                out.add(w)
-                out.update(e for e, _ in edits(w, every))
-                if len(out) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], names=["word"])
-                    out.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], names=["word"])
+                if not (w.isdigit() and w.isascii()):  # a number is right as it is
+                    out.add(xxh64_intdigest(w, 42))
+                    out.update(xxh64_intdigest(e, 42) for e, _ in edits(w, every))
+            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(out, np.uint64, len(out)).view(np.int64))], names=["h"])
 
-    asked = cut_lineage(read.where("text IS NOT NULL").select("text", "furniture").mapInArrow(words, "word string").distinct().mapInArrow(near, "word string").distinct())
+    asked = pages.select("text", "furniture").mapInArrow(words, "word string").distinct().mapInArrow(near, "h long").distinct()
     counted = read.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    # a number is right as it is: only words are of use
-    rows = counted.where(~F.col("word").rlike("^[0-9]+$|[ﬀ-ﬆ]")).toDF("word", "n")
-    for part in (1, -1):
-        rows = rows.withColumn("part", F.substring_index("word", "-", part)).join(asked.withColumnRenamed("word", "part"), "part", "left_semi").select("word", "n")
-    rows = rows.toArrow()
-    return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    rows = counted.where(~F.col("word").rlike("^[0-9]+$|[ﬀ-ﬆ]")).withColumn("parts", F.split("word", "-"))
+    # xxhash64 has the seed 42 that near() uses
+    parts = rows.select("word", "n", F.size("parts").alias("k"), F.explode("parts").alias("part")).withColumn("h", F.xxhash64("part"))
+    return parts.join(asked, "h", "left_semi").groupBy("word", "n").agg(F.count("*").alias("there"), F.max("k").alias("k")).where("there = k").select("word", "n")
 
 
-def _vectors(documents: DataFrame, text_col: str, lexicon: dict[str, int]) -> Vectors:
-    """Skip-gram vectors of all words of the lexicon, from all texts."""
-    words = sorted(lexicon, key=lambda w: (-lexicon[w], w))
+class _Unknown(dict):
+    """Numbers of words; -1 for those without."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
+def _pair_blocks(documents: DataFrame, text_col: str, words: list[str]) -> DataFrame:
+    """``block, centre, other, counts, own, totals``: how often words stand near others in all texts, by block of the first word.
+
+    Every pair is there in both directions; ``own`` are the block's words with their ``totals``.
+    """
     size = max(1, len(words))
-    number = documents.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    spark = documents.sparkSession
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     texts = spread(documents.select(F.col(text_col).alias("text")).where("text IS NOT NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keys, held = number.value, [], 0
+        known, keys, held = _Unknown(number.value), [], 0
 
         def counted() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(keys), return_counts=True)
+            k = np.sort(np.concatenate(keys))
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["pair", "n"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                found = _WORD.findall(t.lower())
-                x = np.fromiter((known.get(w, -1) for w in found), np.int64, len(found))
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+            n, k = np.diff(np.r_[first, len(k)]), k[first]
+            a, b = k // size, k % size
+            two = a != b
+            a, b, n = np.r_[a, b[two]], np.r_[b, a[two]], np.r_[n, n[two]]
+            order = np.argsort((a % blocks) * size + a, kind="stable")
+            a, b, n = a[order].astype(np.int32), b[order].astype(np.int32), n[order].astype(np.int32)
+            block = a % blocks
+            edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.empty(0, np.int64)
+            out = [(int(block[i]), _zip(a[i:j], b[i:j], n[i:j])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["block", "pairs"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = tokens(t.lower())
+                x = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
                 for d in range(1, WINDOW + 1):
                     one, other = x[:-d], x[d:]
                     ok = (one >= 0) & (other >= 0)
                     one, other = one[ok], other[ok]
                     keys.append(np.minimum(one, other) * size + np.maximum(one, other))
                     held += len(one)
-                if held > 4_000_000:  # added up after the shuffle
+                if held > 6_000_000:  # added up after the shuffle
                     yield counted()
                     held = 0
         if keys:
             yield counted()
 
-    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pair, n = rows.column("pair").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(pair)
-    pair, n = pair[order], n[order]
-    return Vectors(words, (pair // size).astype(np.int32), (pair % size).astype(np.int32), n)
-
-
-def _reader(documents: DataFrame, id_col: str, text_col: str):
+    def add(table: pa.Table) -> pa.Table:
+        a, b, n = (np.concatenate(x) for x in zip(*(_unzip(p, [np.int32] * 3) for p in table.column("pairs").to_pylist()), strict=True))
+        key = a.astype(np.int64) * size + b
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[first], np.add.reduceat(n, first)
+        centre, other = (key // size).astype(np.int32), (key % size).astype(np.int32)
+        first = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
+        own, totals = centre[first], np.add.reduceat(n, first)
+        weight = float(np.sqrt(n).sum())
+        return pa.table({"block": table.column("block").slice(0, 1), "pairs": pa.array([_zip(centre, other, n)], pa.binary()), "own": pa.array([_zip(own, totals)], pa.binary()), "n": pa.array([len(n)], pa.int64()), "weight": pa.array([weight])})
+
+    return cut_lineage(texts.mapInArrow(run, "block int, pairs binary").groupBy("block").applyInArrow(add, "block int, pairs binary, own binary, n long, weight double"))
+
+
+def _vectors(documents: DataFrame, text_col: str, lexicon: dict[str, int], rounds: int = ROUNDS) -> Vectors:
+    """Skip-gram vectors of all words of the lexicon, from all texts.
+
+    The pairs stay in blocks by their first word.  In a round each block is
+    trained on where it lies: its words' own vectors are moved by it alone; the
+    vectors of words around move by the sum of their movements in all blocks
+    over the root of the number of blocks that moved them.  What comes to the driver is bounded by LEXICON_WORDS.
+    """
+    words = sorted(lexicon, key=lambda w: (-lexicon[w], w))
+    spark = documents.sparkSession
+    pairs = _pair_blocks(documents, text_col, words)
+    totals, met, weight = np.zeros(len(words)), 0, 0.0
+    for r in pairs.select("own", "n", "weight").collect():
+        own, n = _unzip(r[0], [np.int32, np.int64])
+        totals[own] = n
+        met, weight = met + r[1], weight + r[2]
+    state = Training(totals, weight / max(met, 1))
+    n = len(words)
+    kind = "kind int, chunk int, at binary, data binary, n binary"
+    for turn in range(rounds if met else 0):
+        shared = spark.sparkContext.broadcast(state)
+
+        def train(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            moved, squares, touched, any_block = np.zeros((n, DIMENSIONS), np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32), False
+            for batch in batches:
+                for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    before, any_block = shared.value, True
+                    centre, other, counts = _unzip(data, [np.int32, np.int32, np.int64])
+                    inner, outer, far = before.over(block, turn, centre, other, counts)
+                    outer -= before.outer
+                    moved += outer
+                    squares += far[1] - before.squares[1]
+                    touched += outer.any(1)
+                    own = np.unique(centre)
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([inner[own].tobytes()], pa.binary()), pa.array([far[0][own].tobytes()], pa.binary())], names=["kind", "chunk", "at", "data", "n"])
+            if any_block:
+                for c, low in enumerate(range(0, n, CHUNK_ROWS)):
+                    part = slice(low, low + CHUNK_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([c], pa.int32()), pa.array([squares[part].tobytes()], pa.binary()), pa.array([moved[part].tobytes()], pa.binary()), pa.array([touched[part].tobytes()], pa.binary())], names=["kind", "chunk", "at", "data", "n"])
+
+        def added(table: pa.Table) -> pa.Table:
+            if table.column("kind")[0].as_py() == 0:
+                return table
+            sums = [sum(np.frombuffer(x, np.float32) for x in table.column(c).to_pylist()) for c in ("at", "data", "n")]
+            squares, moved, touched = sums
+            touched = np.sqrt(np.maximum(touched, 1))
+            moved = moved.reshape(-1, DIMENSIONS) / touched[:, None]
+            return pa.table({"kind": table.column("kind").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "at": pa.array([(squares / touched).tobytes()], pa.binary()), "data": pa.array([moved.tobytes()], pa.binary()), "n": pa.array([b""], pa.binary())})
+
+        for r in pairs.select("block", "pairs").mapInArrow(train, kind).groupBy("kind", "chunk").applyInArrow(added, kind).toLocalIterator():
+            if r.kind == 0:
+                own = np.frombuffer(r.at, np.int32)
+                state.inner[own] = np.frombuffer(r.data, np.float32).reshape(-1, DIMENSIONS)
+                state.squares[0][own] = np.frombuffer(r.n, np.float32)
+            else:
+                part = slice(r.chunk * CHUNK_ROWS, (r.chunk + 1) * CHUNK_ROWS)
+                state.outer[part] += np.frombuffer(r.data, np.float32).reshape(-1, DIMENSIONS)
+                state.squares[1][part] += np.frombuffer(r.at, np.float32)
+        shared.destroy()
+    return Vectors(words, state.inner, state.outer)
+
+
+def _parts(documents: DataFrame, id_col: str, text_col: str) -> list[tuple[Column, DataFrame, Broadcast]]:
+    """(condition on the id, scanned texts that meet it, their Reader); one part unless the lexicon of all is too large."""
+    spark = documents.sparkSession
     read = _read(documents, id_col, text_col)
-    pages = read.where("text IS NOT NULL").select("id", "text", "furniture")
-    lexicon = _lexicon(read)
-    return pages, documents.sparkSession.sparkContext.broadcast(Reader(lexicon, _vectors(documents, text_col, lexicon)))
+    every = read.where("text IS NOT NULL").select("id", "text", "furniture")
+    out, open_ = [], [(0, 0)]
+    while open_:
+        bits, value = open_.pop()
+        mine = F.pmod(F.xxhash64("id"), F.lit(1 << bits)) == value if bits else F.lit(True)
+        pages = every.where(mine)
+        words = cut_lineage(_lexicon(read, pages))
+        if words.count() > LEXICON_WORDS and bits < MOST_BITS:
+            open_ += [(bits + 1, value), (bits + 1, value + (1 << bits))]
+            continue
+        rows = words.toArrow()
+        lexicon = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+        out.append((mine, pages, spark.sparkContext.broadcast(Reader(lexicon, _vectors(documents, text_col, lexicon)))))
+    return out
 
 
 def noisy_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -669,31 +845,37 @@ def noisy_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null and empty texts neither.  Repeated documents give
     their rows once.
     """
-    pages, reader = _reader(documents, id_col, text_col)
     kind = documents.schema[id_col].dataType.simpleString()
+    found = None
+    for _, pages, reader in _parts(documents, id_col, text_col):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            take, line, kinds = [], [], []
-            for i, (t, gone) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                for n, k in reader.value.lines(t, gone)[0]:
-                    take.append(i), line.append(n), kinds.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(take, pa.int64())), pa.array(line, pa.int32()), pa.array(kinds, pa.string())], names=["id", "line_no", "kind"]
-            )
+        def run(batches: Iterator[pa.RecordBatch], reader=reader) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                take, line, kinds = [], [], []
+                for i, (t, gone) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    for n, k in reader.value.lines(t, gone)[0]:
+                        take.append(i), line.append(n), kinds.append(k)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(take, pa.int64())), pa.array(line, pa.int32()), pa.array(kinds, pa.string())], names=["id", "line_no", "kind"]
+                )
 
-    return spread(pages).mapInArrow(run, f"id {kind}, line_no int, kind string").distinct().withColumnRenamed("id", id_col)
+        one = spread(pages).mapInArrow(run, f"id {kind}, line_no int, kind string")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct().withColumnRenamed("id", id_col)
 
 
 def repaired_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text`` of every row: texts from scanned pages repaired, all others (null and empty ones too) as they are."""
-    _, reader = _reader(documents, id_col, text_col)
     kind = documents.schema[id_col].dataType.simpleString()
     rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    result = None
+    for mine, _, reader in _parts(documents, id_col, text_col):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [reader.value.repair(t) if t else t for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+        def run(batches: Iterator[pa.RecordBatch], reader=reader) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [reader.value.repair(t) if t else t for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return rows.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+        one = rows.where(mine).mapInArrow(run, f"id {kind}, text string")
+        result = one if result is None else result.unionByName(one)
+    return result.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)

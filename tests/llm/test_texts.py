@@ -116,7 +116,17 @@ def test_lexicon_keeps_rare_words(spark):
     rows = [(None, text, scans.scanned(text), None, None), *((None, None, None, w, n) for w, n in [("register", 2), ("supplier", 60_000), ("cornmittee", 1), ("zebra", 9), ("hand-written", 3), ("hand-made", 3)])]
     rows += [(None, None, None, "the", 60_000)] * 2
     read = spark.createDataFrame(rows, "id int, text string, furniture array<int>, word string, n long")
-    assert scans._lexicon(read) == {"register": 2, "supplier": 60_000, "hand-written": 3, "the": 120_000}
+    pages = read.where("text IS NOT NULL").select("text", "furniture")
+    assert dict(map(tuple, scans._lexicon(read, pages).collect())) == {"register": 2, "supplier": 60_000, "hand-written": 3, "the": 120_000}
+
+
+def test_a_large_lexicon_is_held_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([*((i, " ".join(SENTENCES) + f" {i}") for i in range(5)), *((50 + i, page_text()) for i in range(6))], "doc_id int, text string")
+    whole = sorted(map(tuple, scans.noisy_lines(docs).collect()))
+    monkeypatch.setattr(scans, "LEXICON_WORDS", 40)
+    monkeypatch.setattr(scans, "MOST_BITS", 2)
+    assert whole and sorted(map(tuple, scans.noisy_lines(docs).collect())) == whole
+    assert scans.repaired_texts(docs).count() == 11
 
 
 def test_singular_vectors_settle(spark):
