@@ -69,8 +69,17 @@ _DIGITS = re.compile(r"\d+")
 _NUMBER_LAST = re.compile(r"^\s*(\S.{2,70}?)\s{2,}(\d{1,4})\s*$")
 _NUMBER_FIRST = re.compile(r"^\s*(\d{1,4})\s{2,}(\S.{2,70}?)\s*$")
 _WORD = re.compile(r"[^\W_]+(?:[!|(](?=[^\W\d_])[^\W_]+)*")
-_MARKED = re.compile(r"[a-z0-9][!|(][a-z]")
-_TO_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
+class _Blanks(dict):
+    """Translation that leaves letters and digits only."""
+
+    def __missing__(self, code: int):
+        out = self[code] = code if chr(code).isalnum() else " "
+        return out
+
+
+_TO_BLANKS = _Blanks()
 _EDGES = re.compile(r"(?<![^\s(\"'])[!|(][a-zà-ÿ]{2,}(?:[!|(][a-zà-ÿ]+)*|[a-zà-ÿ]{2,}\((?=[\s.,;:?]|$)")
 _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]{2,}-[^\W\d_]{2,}(?![\w-])")
 _BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[!|])*)([{HYPHENS}])[ \t\r]*$")
@@ -131,8 +140,15 @@ def _nearly(a: str, b: str) -> bool:
         return True
     if len(set(a) & set(b)) < 0.6 * min(len(set(a)), len(set(b))):
         return False
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    return m.quick_ratio() >= 0.8 and m.ratio() >= 0.8
+    x, y = _letters(a), _letters(b)
+    if sum(min(n, y[c]) for c, n in x.items() if c in y) < 0.4 * (len(a) + len(b)):
+        return False
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.8
+
+
+@lru_cache(maxsize=20_000)
+def _letters(text: str) -> dict[str, int]:
+    return Counter(text)
 
 
 def furniture(lines: list[str]) -> set[int]:
@@ -235,12 +251,13 @@ def scanned(text: str) -> list[int] | None:
 
 def tokens(low: str) -> list[str]:
     """Words of a lower-case text, as _WORD finds them."""
-    if low.isascii():
-        return _WORD.findall(low) if _MARKED.search(low) else low.translate(_TO_BLANKS).split()
-    out: list[str] = []
-    for line in low.split("\n"):  # no word goes on in the next one
-        out += tokens(line) if line.isascii() else _WORD.findall(line)
-    return out
+    for mark in "(|!":
+        i = low.find(mark, 1)
+        while 0 < i < len(low) - 1:
+            if low[i - 1].isalnum() and low[i + 1].isalpha():
+                return _WORD.findall(low)
+            i = low.find(mark, i + 1)
+    return low.translate(_TO_BLANKS).split()
 
 
 def words_of(text: str) -> set[str]:
@@ -248,7 +265,7 @@ def words_of(text: str) -> set[str]:
     low = text.lower()
     out = set(tokens(low))
     if "-" in low:
-        out.update(_COMPOUND.findall(low))
+        out.update(_COMPOUND.findall(" ".join(w for w in low.split() if "-" in w)))
     return out
 
 
