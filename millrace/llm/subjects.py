@@ -15,21 +15,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_rows, cut_lineage, spread
+from ._shared import cut_lineage, spread, unzipped, zipped
 
-#: Languages have term numbers, rarities and singular vectors of their own.
-LANGUAGES = ["en", "de", "es", "zh"]
+#: Languages have term numbers, rarities and singular vectors of their own; texts without any telling word are "other".
+LANGUAGES = ["en", "de", "es", "zh", "other"]
 #: Terms of a language are hashed to so many numbers.
-LANGUAGE_TERMS = 1 << 13
+LANGUAGE_TERMS = 1 << 15
 TERMS = LANGUAGE_TERMS * len(LANGUAGES)
 #: Singular vectors kept for each language.
 RANK = 32
-#: Columns iterated beside them, so that the last ones settle soon.
-OVERSAMPLE = 16
 #: Passes go on until less than this share of a language's weight on its singular vectors moves; most passes.
 SETTLED = 1e-3
 MOST_PASSES = 30
@@ -45,8 +42,12 @@ LEAST_LEAD = 0.06
 RUN = 3
 #: Terms of a sentence; stretches without an end that are twice as long are cut to this length.
 LONG_SENTENCE = 16
-#: Documents packed together.
+#: Documents packed together, and rows of the matrix that are multiplied together.
 BLOCK_ROWS = 256
+DENSE_ROWS = 32
+#: Rows of a product that are added up together; tables of more partitions are added up in two steps.
+CHUNK_ROWS = 4096
+ONE_STEP = 64
 
 # Frequent function words that tell the languages apart.
 _FUNCTION_WORDS = {
@@ -93,7 +94,7 @@ class Block(NamedTuple):
     language: np.ndarray
 
 
-_ZH = LANGUAGES.index("zh")
+_ZH, _OTHER = LANGUAGES.index("zh"), LANGUAGES.index("other")
 
 
 def read_block(ids: list, texts: list[str], number) -> Block:
@@ -142,27 +143,32 @@ def _with_languages(ids, document, terms, lengths, paragraph, language) -> Block
     n = np.zeros((len(ids), len(LANGUAGES)), np.int64)
     known = language >= 0
     np.add.at(n, (document[known], language[known]), 1)
-    language = np.where(known, language, n.argmax(1)[document]) if len(language) else language
+    text_language = np.where(n.any(1), n.argmax(1), _OTHER)
+    language = np.where(known, language, text_language[document]) if len(language) else language
     return Block(ids, document, terms + np.repeat(language, lengths) * LANGUAGE_TERMS, lengths, paragraph, language)
 
 
-def _pack(b: Block) -> bytes:
-    head = np.array([len(b.terms), len(b.lengths)], np.int64).tobytes()
-    body = [b.terms.astype(np.uint16), b.document.astype(np.int32), b.lengths.astype(np.int32), b.paragraph.astype(np.int32), b.language.astype(np.int32)]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in body))
+def _pack(b: Block) -> tuple[bytes, bytes]:
+    """The sentences' terms, and the rest of a block."""
+    local = (b.terms % LANGUAGE_TERMS).astype(np.uint16)
+    return zipped(local), zipped(b.document.astype(np.int32), b.lengths.astype(np.int32), b.paragraph.astype(np.int32), b.language.astype(np.int32))
 
 
-def _unpack(ids: list, data: bytes) -> Block:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, s = np.frombuffer(raw[:16], np.int64)
-    at = 16 + 2 * n
-    terms = np.frombuffer(raw[16:at], np.uint16).astype(np.int64)
-    document, lengths, paragraph, language = np.frombuffer(raw[at:], np.int32).reshape(4, s).astype(np.int64)
-    return Block(ids, document, terms, lengths, paragraph, language)
+def _unpack(ids: list, terms: bytes, rest: bytes) -> Block:
+    document, lengths, paragraph, language = (x.astype(np.int64) for x in unzipped(rest, [np.int32] * 4))
+    (local,) = unzipped(terms, [np.uint16])
+    return Block(ids, document, local + np.repeat(language, lengths) * LANGUAGE_TERMS, lengths, paragraph, language)
+
+
+def _matrix_rows(b: Block) -> bytes:
+    """Rows of the document-term matrix (one for each language of a document): row, term and count of each entry."""
+    pair, n = np.unique(np.repeat(b.document, b.lengths) * TERMS + b.terms, return_counts=True)
+    edge = np.r_[True, np.diff(pair // LANGUAGE_TERMS) != 0] if len(pair) else np.empty(0, bool)
+    return zipped((np.cumsum(edge) - 1).astype(np.int32), (pair % TERMS).astype(np.int32), n.astype(np.int32))
 
 
 def _sentences(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``ids, packed``: blocks of documents."""
+    """``ids, terms, rest, rows``: blocks of documents, and their rows of the document-term matrix."""
     rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL"))
     kind = documents.schema[id_col].dataType.simpleString()
 
@@ -171,17 +177,17 @@ def _sentences(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_ROWS):
                 b = whole.slice(at, BLOCK_ROWS)
-                packed = _pack(read_block(b.column(0).to_pylist(), b.column(1).to_pylist(), number))
+                block = read_block(b.column(0).to_pylist(), b.column(1).to_pylist(), number)
                 ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([packed], pa.binary())], names=["ids", "packed"])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x], pa.binary()) for x in (*_pack(block), _matrix_rows(block)))], names=["ids", "terms", "rest", "rows"])
 
-    return cut_lineage(rows.mapInArrow(run, f"ids array<{kind}>, packed binary"))
+    return cut_lineage(rows.mapInArrow(run, f"ids array<{kind}>, terms binary, rest binary, rows binary"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for b in batches:
-        for ids, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield _unpack(ids, data)
+        for ids, terms, rest in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            yield _unpack(ids, terms, rest)
 
 
 def _statistics(sentences: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,133 +195,189 @@ def _statistics(sentences: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, TERMS + len(LANGUAGES)))
-        for b in _blocks(batches):
-            owner = np.repeat(b.document, b.lengths)
-            n[0, :TERMS] += np.bincount(np.unique(owner * TERMS + b.terms) % TERMS, minlength=TERMS)
-            n[0, TERMS:] += np.bincount(np.unique(b.document * len(LANGUAGES) + b.language) % len(LANGUAGES), minlength=len(LANGUAGES))
-            n[1, :TERMS] += np.bincount(b.terms, np.repeat(b.lengths**-0.5, b.lengths), TERMS)
-            n[1, TERMS:] += np.bincount(b.language, minlength=len(LANGUAGES))
+        for batch in batches:
+            for terms, rest, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                b = _unpack([], terms, rest)
+                n[0, :TERMS] += np.bincount(unzipped(rows, [np.int32] * 3)[1], minlength=TERMS)
+                n[0, TERMS:] += np.bincount(np.unique(b.document * len(LANGUAGES) + b.language) % len(LANGUAGES), minlength=len(LANGUAGES))
+                n[1, :TERMS] += np.bincount(b.terms, np.repeat(b.lengths**-0.5, b.lengths), TERMS)
+                n[1, TERMS:] += np.bincount(b.language, minlength=len(LANGUAGES))
         at = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["term", "n", "w"])
 
-    rows = sentences.mapInArrow(run, "term long, n double, w double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    rows = sentences.select("terms", "rest", "rows").mapInArrow(run, "term long, n double, w double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
     n = np.zeros((2, TERMS + len(LANGUAGES)))
     n[:, rows.column("term").to_numpy()] = rows.column("n").to_numpy(), rows.column("w").to_numpy()
     return n[0, :TERMS], n[0, TERMS:], n[1, TERMS:], n[1, :TERMS]
 
 
-def _orthonormal(y: np.ndarray) -> np.ndarray:
-    """Orthonormal columns for each language's block of rows."""
-    blocks = y.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1).astype(np.float64)
-    return np.concatenate([np.linalg.qr(b)[0] for b in blocks]).astype(np.float32)
-
-
-def _turned(q: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Products ``y`` of the matrices with ``q``, turned so that the leading singular vectors come first; their squared singular values."""
-    out, values = [], []
-    for a, b in zip(q.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1).astype(np.float64), y.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1).astype(np.float64), strict=True):
-        inner = a.T @ b
-        value, turn = np.linalg.eigh((inner + inner.T) / 2)
-        out.append(b @ turn[:, ::-1])
-        values.append(np.maximum(value[::-1][:RANK], 0))
-    return np.concatenate(out), np.array(values)
+def _product(rows: DataFrame, weight: np.ndarray, place: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'A q over all documents, A the matrix of rows of length 1; ``place`` has each term's row of q and ``weight`` its rarity.
 
+    A task adds up its part of the product; parts are added up by chunk of rows, so
+    that no more than one such matrix reaches the driver.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((weight, place, q))
+    parts_of = rows.rdd.getNumPartitions()
+    salts = 1 if parts_of <= ONE_STEP else int(np.ceil(np.sqrt(parts_of)))
 
-def _moved(before: np.ndarray, after: np.ndarray, values: np.ndarray) -> float:
-    """Largest share, over the languages, of the weight on the leading vectors that lies outside of those before."""
-    shares = []
-    for a, b, v in zip(before.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1)[..., :RANK], after.reshape(len(LANGUAGES), LANGUAGE_TERMS, -1)[..., :RANK], values, strict=True):
-        shares.append(float((v * (1 - ((a.T @ b) ** 2).sum(0))).sum() / max(v.sum(), 1e-9)))
-    return max(shares)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, place, q = shared.value
+        out = np.zeros(q.shape, np.float32)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                row, term, n = unzipped(data, [np.int32] * 3)
+                if not len(row):
+                    continue
+                value = (1 + np.log(n)) * weight[term]
+                value = (value / np.maximum(np.sqrt(np.bincount(row, value * value)), 1e-9)[row]).astype(np.float32)
+                at, last = place[term], int(row[-1])
+                edges = np.searchsorted(row, np.arange(0, last + 1 + DENSE_ROWS, DENSE_ROWS))
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    own, local = np.unique(at[i:j], return_inverse=True)
+                    dense = np.zeros((DENSE_ROWS, len(own)), np.float32)
+                    dense[row[i:j] % DENSE_ROWS, local] = value[i:j]
+                    out[own] += dense.T @ (dense @ q[own])
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % salts
+        for c, low in enumerate(range(0, len(q), CHUNK_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([salt], pa.int32()), pa.array([out[low : low + CHUNK_ROWS].tobytes()], pa.binary())], names=["chunk", "salt", "part"])
+
+    def total(table: pa.Table) -> pa.Table:
+        added = sum(np.frombuffer(p, np.float32) for p in table.column("part").to_pylist())
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "salt": table.column("salt").slice(0, 1), "part": pa.array([added.tobytes()], pa.binary())})
+
+    schema = "chunk int, salt int, part binary"
+    added = rows.mapInArrow(run, schema)
+    for keys in [["chunk"]] if salts == 1 else [["chunk", "salt"], ["chunk"]]:
+        added = added.groupBy(*keys).applyInArrow(total, schema)
+    found = sorted((r[0], r[2]) for r in added.collect())
+    shared.destroy()
+    return np.concatenate([np.frombuffer(p, np.float32).reshape(-1, q.shape[1]) for _, p in found]) if found else np.zeros_like(q)
 
 
-def _singular_vectors(sentences: DataFrame, weight: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of each language's document-term matrix by subspace iteration over all documents.
+def _singular_vectors(sentences: DataFrame, weight: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors of each language's document-term matrix, and each term's row in them.
 
-    Each task adds up its part of the product in blocks of terms; the blocks
-    are added up by term, so no more than one such matrix reaches the driver.
+    Block Krylov iteration over all documents: every pass multiplies by the
+    matrix once and adds RANK columns to a language's basis; the best vectors
+    in it are taken, until they settle.
     """
-    spark = sentences.sparkSession
-    q = _orthonormal(np.random.default_rng(5).standard_normal((TERMS, RANK + OVERSAMPLE)))
-    rows_of_block = 4096
+    terms = np.flatnonzero(df > 0)
+    place = np.zeros(TERMS, np.int64)
+    place[terms] = np.arange(len(terms))
+    cut = np.searchsorted(terms, LANGUAGE_TERMS * np.arange(len(LANGUAGES) + 1))
+    spans = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    rng = np.random.default_rng(5)
+
+    def orthonormal(y: np.ndarray, bases: list[list[np.ndarray]]) -> np.ndarray:
+        """Columns of y made orthonormal to each language's basis and to each other."""
+        out = np.zeros((len(terms), RANK), np.float32)
+        for span, basis in zip(spans, bases, strict=True):
+            own = y[span].astype(np.float64)
+            for _ in range(2):  # twice, for rounding
+                for b in basis:
+                    own -= b @ (b.T @ own)
+            if not len(own):
+                continue
+            columns, size, _ = np.linalg.svd(own, full_matrices=False)
+            keep = size > 1e-9 * max(size[0], 1e-30)  # a small language runs out of directions
+            out[span, : int(keep.sum())] = columns[:, keep]
+        return out
 
+    bases: list[list[np.ndarray]] = [[] for _ in spans]
+    images: list[list[np.ndarray]] = [[] for _ in spans]
+    rows = sentences.select("rows")
+    q = orthonormal(rng.standard_normal((len(terms), RANK)), bases)
+    best = np.zeros((len(terms), RANK), np.float32)
     for _ in range(MOST_PASSES):
-        basis = spark.sparkContext.broadcast(q)
-
-        def run(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
-            q = basis.value
-            out = np.zeros((TERMS, q.shape[1]), np.float32)
-
-            for b in _blocks(batches):
-                pair, n = np.unique(np.repeat(b.document, b.lengths) * TERMS + b.terms, return_counts=True)
-                if not len(pair):
-                    continue
-                term = pair % TERMS
-                value = (1 + np.log(n)) * weight[term]
-                # a row of the matrix: the terms of one language of one document, at length 1
-                edge = np.flatnonzero(np.r_[True, np.diff(pair // LANGUAGE_TERMS) != 0])
-                row = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(pair)]))
-                value = (value / np.maximum(np.sqrt(np.add.reduceat(value * value, edge)), 1e-9)[row]).astype(np.float32)[:, None]
-                image = np.add.reduceat(q[term] * value, edge, axis=0)
-                order = np.argsort(term, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
-                out[term[order][first]] += np.add.reduceat((image[row] * value)[order], first, axis=0)
-            parts = [out[i : i + rows_of_block].astype(np.float16).tobytes() for i in range(0, TERMS, rows_of_block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
-
-        def total(table: pa.Table) -> pa.Table:
-            added = sum(np.frombuffer(p, np.float16).astype(np.float32) for p in table.column("part").to_pylist())
-            return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([added.tobytes()], pa.binary())})
-
-        parts = sentences.mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(total, "block int, part binary")
-        rows = sorted((r[0], r[1]) for r in parts.collect())
-        y = np.concatenate([np.frombuffer(p, np.float32).reshape(-1, RANK + OVERSAMPLE) for _, p in rows]) if rows else q
-        y, values = _turned(q, y)
-        before, q = q, _orthonormal(y)
-        basis.destroy()
-        if _moved(before, q, values) < SETTLED:
+        y = _product(rows, weight, place, q)
+        before, best, moved = best, np.zeros_like(best), 0.0
+        for k, span in enumerate(spans):
+            if not span.stop - span.start or not q[span].any():
+                best[span] = before[span]
+                continue
+            bases[k].append(q[span]), images[k].append(y[span])
+            basis = np.concatenate(bases[k], axis=1).astype(np.float64)
+            inner = basis.T @ np.concatenate(images[k], axis=1)
+            value, turn = np.linalg.eigh((inner + inner.T) / 2)
+            value, turn = np.maximum(value[::-1][:RANK], 0), turn[:, ::-1][:, :RANK]
+            best[span] = basis @ turn
+            outside = 1 - ((before[span].T.astype(np.float64) @ best[span]) ** 2).sum(0)
+            moved = max(moved, float((value * outside).sum() / max(value.sum(), 1e-9)))
+        if moved < SETTLED:
             break
-    return np.ascontiguousarray(q[:, :RANK])
+        q = orthonormal(y, bases)
+    return best, place
 
 
 class Model:
-    """Projection, language means and centroids (language x subject x RANK)."""
+    """Projection of terms and the languages' means."""
 
-    def __init__(self, project: np.ndarray):
-        self.project = project
-        self.mean = np.zeros((len(LANGUAGES), RANK), np.float32)
-        self.centroid: np.ndarray | None = None
-        self.usable: np.ndarray | None = None
+    def __init__(self, project: np.ndarray, place: np.ndarray, mean: np.ndarray):
+        self.project, self.place, self.mean = project, place, mean
 
     def embed(self, b: Block) -> np.ndarray:
+        """Sentences' vectors less their language's mean, at length 1 (or 0)."""
         if not len(b.lengths):
             return np.zeros((0, RANK), np.float32)
-        x = np.add.reduceat(self.project[b.terms], np.cumsum(b.lengths) - b.lengths, axis=0)
-        return x / (b.lengths[:, None] ** 0.5).astype(np.float32)
+        x = np.add.reduceat(self.project[self.place[b.terms]], np.cumsum(b.lengths) - b.lengths, axis=0)
+        x = x / (b.lengths[:, None] ** 0.5).astype(np.float32) - self.mean[b.language]
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norm > 0, norm, 1)
+
+
+class Centroids:
+    """Centroids (language x subject x RANK), and which of them there are."""
+
+    def __init__(self, centroid: np.ndarray, usable: np.ndarray):
+        self.centroid, self.usable = centroid, usable
 
     def score(self, x: np.ndarray, language: np.ndarray) -> np.ndarray:
         """Cosine of each sentence to each subject; -1 where the language has no centroid."""
-        x = x - self.mean[language]
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        c = np.einsum("ik,isk->is", x / np.where(norm > 0, norm, 1), self.centroid[language])
-        return np.where(self.usable[language], c, -1.0)
+        out = np.full((len(x), self.centroid.shape[1]), -1, np.float32)
+        for k in np.unique(language):
+            own = language == k
+            out[own] = np.where(self.usable[k], x[own] @ self.centroid[k].T, -1)
+        return out
 
 
-def _gather(sentences: DataFrame, model: Model, work) -> np.ndarray:
-    """Sum over all blocks of the arrays that ``work`` makes; one small array for each task reaches the driver's sum."""
+def _embedded(sentences: DataFrame, model: Model, kind: str) -> DataFrame:
+    """``ids, rest, x``: the blocks with their sentences' vectors in half precision instead of terms."""
     shared = sentences.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [shared.value.embed(_unpack([], t, r)).astype(np.float16).tobytes() for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], names=["ids", "rest", "x"])
+
+    return cut_lineage(sentences.select("ids", "terms", "rest").mapInArrow(run, f"ids array<{kind}>, rest binary, x binary"))
+
+
+def _vectors_of(rest: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, paragraph, language and vector of a block's sentences."""
+    document, _, paragraph, language = unzipped(rest, [np.int32] * 4)
+    return document, paragraph, language, np.frombuffer(x, np.float16).reshape(-1, RANK).astype(np.float32)
+
+
+def _gather(blocks: DataFrame, shared, work) -> np.ndarray:
+    """Sum over all blocks of the arrays (of rows of RANK + 1) that ``work`` makes, by task and then over the tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = 0
-        for b in _blocks(batches):
-            out = out + work(shared.value, b)
+        for b in batches:
+            for columns in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                out = out + work(shared.value, *columns)
         if not np.isscalar(out):
-            yield pa.RecordBatch.from_arrays([pa.array(range(out.size), pa.int32()), pa.array(out.ravel())], names=["i", "v"])
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.ravel()[at])], names=["i", "v"])
 
-    parts = sentences.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    shared.destroy()
-    out = np.zeros(parts.num_rows)
-    out[parts.column("i").to_numpy()] = parts.column("v").to_numpy()
+    parts = blocks.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    at = parts.column("i").to_numpy()
+    out = np.zeros((int(at.max(initial=0)) // (RANK + 1) + 1) * (RANK + 1))
+    out[at] = parts.column("v").to_numpy()
     return out.reshape(-1, RANK + 1)
 
 
@@ -361,8 +423,11 @@ def subjects_of(
     label in a language is not found in that language.  Ids must be unique;
     rows with the same id and text give the same subjects once.
     """
-    names = sorted({r[0].lower(): r[0] for r in bounded_rows(subjects.select("subject").where("subject IS NOT NULL").distinct(), 10_000) or []}.items())
-    low, proper = [n for n, _ in names], [n for _, n in names]
+    names: dict[str, str] = {}
+    for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect():  # as many as there are centroids
+        names[r[0].lower()] = min(r[0], names.get(r[0].lower(), r[0]))
+    low = sorted(names)
+    proper, number, count = [names[n] for n in low], {n: i for i, n in enumerate(low)}, len(low)
     kind = documents.schema[id_col].dataType.simpleString()
     spark = documents.sparkSession
     sentences = _sentences(documents, id_col, text_col)
@@ -371,74 +436,76 @@ def subjects_of(
         return spark.createDataFrame([], f"{id_col} {kind}, subject string")
     documents_of = np.repeat(np.maximum(total, 2), LANGUAGE_TERMS)
     weight = np.where(df > 0, np.log(documents_of / np.maximum(df, 1)), 0).clip(0).astype(np.float32)
-    model = Model((_singular_vectors(sentences, weight) * weight[:, None]).astype(np.float32))
-    added = (model.project * together[:, None]).reshape(len(LANGUAGES), LANGUAGE_TERMS, RANK).sum(1)
-    model.mean = (added / np.maximum(counted, 1)[:, None]).astype(np.float32)
-    count = len(low)
-
-    usable = labels.select(F.col(id_col).alias("id"), F.lower(F.trim("subject")).alias("s")).where(F.col("id").isNotNull() & F.col("s").isin(low))
+    vectors, place = _singular_vectors(sentences, weight, df)
+    terms = np.flatnonzero(df > 0)
+    project = (vectors * weight[terms, None]).astype(np.float32)
+    mean = np.zeros((len(LANGUAGES), RANK))
+    np.add.at(mean, terms // LANGUAGE_TERMS, project * together[terms, None])
+    blocks = _embedded(sentences, Model(project, place, (mean / np.maximum(counted, 1)[:, None]).astype(np.float32)), kind)
+
+    wanted = subjects.select(F.lower("subject").alias("s")).where("s IS NOT NULL").distinct()
+    usable = labels.select(F.col(id_col).alias("id"), F.lower(F.trim("subject")).alias("s")).where(F.col("id").isNotNull()).join(wanted, "s", "left_semi")
     chosen = usable.groupBy("id").agg(F.collect_set("s").alias("subjects")).orderBy("id").limit(MAX_LABELS).collect()
-    seeds = spark.sparkContext.broadcast({r[0]: [low.index(x) for x in sorted(r[1])] for r in chosen})
+    seeds = spark.sparkContext.broadcast({r[0]: [number[x] for x in sorted(r[1]) if x in number] for r in chosen})
 
-    def first(m: Model, b: Block) -> np.ndarray:
+    def first(seeds: dict, ids: list, rest: bytes, x: bytes) -> np.ndarray:
         out = np.zeros((len(LANGUAGES) * count, RANK + 1))
-        labelled = [d for d, i in enumerate(b.ids) if i in seeds.value]
+        labelled = [d for d, i in enumerate(ids) if i in seeds]
         if labelled:
-            x = m.embed(b) - m.mean[b.language]
+            document, _, language, x = _vectors_of(rest, x)
             for d in labelled:
-                own, subjects = b.document == d, seeds.value[b.ids[d]]
-                for s in subjects:
-                    np.add.at(out, b.language[own] * count + s, np.c_[x[own], np.ones(int(own.sum()))] / len(subjects))
+                own = document == d
+                for s in seeds[ids[d]]:
+                    np.add.at(out, language[own] * count + s, np.c_[x[own], np.ones(int(own.sum()))] / len(seeds[ids[d]]))
         return out
 
-    def nearest(m: Model, b: Block) -> np.ndarray:
-        x = m.embed(b)
-        c = m.score(x, b.language)
+    def nearest(m: Centroids, rest: bytes, x: bytes) -> np.ndarray:
+        _, _, language, x = _vectors_of(rest, x)
+        c = m.score(x, language)
         best = c.argmax(1)
         ok = _certain(c, best, least_cosine, least_lead)
-        v = x[ok] - m.mean[b.language[ok]]
-        v = np.c_[v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), np.ones(len(v))]
         out = np.zeros((len(LANGUAGES) * count, RANK + 1))
-        np.add.at(out, (b.language * count + best)[ok], v)
+        np.add.at(out, (language * count + best)[ok], np.c_[x[ok], np.ones(int(ok.sum()))])
         return out
 
-    def settle(added: np.ndarray, before: np.ndarray | None) -> None:
+    def settled(added: np.ndarray, before: Centroids | None) -> Centroids:
         full = np.zeros((len(LANGUAGES) * count, RANK + 1))
         full[: len(added)] = added
         c = full[:, :RANK] / np.maximum(np.linalg.norm(full[:, :RANK], axis=1, keepdims=True), 1e-9)
         c = c.reshape(len(LANGUAGES), count, RANK)
         filled = full[:, RANK].reshape(len(LANGUAGES), count) > 0
         if before is not None:  # a subject that attracted nothing stays where it was
-            c = np.where(filled[:, :, None], c, before)
-            filled = filled | model.usable
-        model.centroid, model.usable = c.astype(np.float32), filled
+            c = np.where(filled[:, :, None], c, before.centroid)
+            filled = filled | before.usable
+        return Centroids(c.astype(np.float32), filled)
 
-    settle(_gather(sentences, model, first), None)
+    now = settled(_gather(blocks, seeds, first), None)
     for _ in range(MOST_ROUNDS):
-        before = model.centroid
-        settle(_gather(sentences, model, nearest), before)
-        if (1 - (model.centroid * before).sum(2))[model.usable].max(initial=0) < STILL:
+        shared, before = spark.sparkContext.broadcast(now), now
+        now = settled(_gather(blocks.select("rest", "x"), shared, nearest), before)
+        shared.destroy()
+        if (1 - (now.centroid * before.centroid).sum(2))[now.usable].max(initial=0) < STILL:
             break
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(now)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, id_type = shared.value, None
         for batch in batches:
-            id_type = id_type or batch.column(0).type.value_type
-            for b in _blocks(iter([batch])):
-                c = m.score(m.embed(b), b.language)
+            id_type = batch.column(0).type.value_type
+            for ids, rest, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                document, paragraph, language, x = _vectors_of(rest, x)
+                c = shared.value.score(x, language)
                 best = c.argmax(1)
                 label = np.where(_certain(c, best, least_cosine, least_lead), best, -1)
-                edge = np.flatnonzero(np.r_[True, np.diff(b.document) != 0]) if len(label) else []
+                edge = np.flatnonzero(np.r_[True, np.diff(document) != 0]) if len(label) else []
                 found = [
-                    (b.ids[b.document[i]], proper[s])
+                    (ids[document[i]], proper[s])
                     for i, j in zip(edge, [*edge[1:], len(label)], strict=True)
-                    for s in sorted(_shortest_runs(label[i:j], b.paragraph[i:j]))
+                    for s in sorted(_shortest_runs(label[i:j], paragraph[i:j]))
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_type), pa.array([f[1] for f in found], pa.string())], names=["id", "subject"])
 
-    return sentences.mapInArrow(assign, f"id {kind}, subject string").distinct().withColumnRenamed("id", id_col)
+    return blocks.mapInArrow(assign, f"id {kind}, subject string").distinct().withColumnRenamed("id", id_col)
 
 
 def _certain(c: np.ndarray, best: np.ndarray, least_cosine: float, least_lead: float) -> np.ndarray:

@@ -138,12 +138,24 @@ def test_singular_vectors_settle(spark):
     docs = spark.createDataFrame([(i, "The " + " ".join(rng.choices(words, k=40)) + ".") for i in range(400)], "doc_id int, text string")
     packed = subjects._sentences(docs, "doc_id", "text")
     weight = np.ones(subjects.TERMS, np.float32)
-    q = subjects._singular_vectors(packed, weight)
+    df = subjects._statistics(packed)[0]
+    vectors, place = subjects._singular_vectors(packed, weight, df)
+    q = np.where(df[: subjects.LANGUAGE_TERMS, None] > 0, vectors[place[: subjects.LANGUAGE_TERMS]], 0)
     a = np.zeros((400, subjects.LANGUAGE_TERMS))
     for r in packed.collect():
-        b = subjects._unpack(r.ids, bytes(r.packed))
+        b = subjects._unpack(r.ids, bytes(r.terms), bytes(r.rest))
         np.add.at(a, (np.array(r.ids)[np.repeat(b.document, b.lengths)], b.terms), 1)
     a = np.where(a > 0, 1 + np.log(np.maximum(a, 1)), 0)
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     best = (np.linalg.svd(a, compute_uv=False)[: subjects.RANK] ** 2).sum()
-    assert ((a @ q[: subjects.LANGUAGE_TERMS]) ** 2).sum() >= 0.98 * best
+    assert ((a @ q) ** 2).sum() >= 0.98 * best
+
+
+def test_more_subjects_than_fit_a_page(spark):
+    names = [f"{n} {i}" for i in range(5001) for n in NAMES] + NAMES
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(sentence(rng, NAMES[i % 2]) for _ in range(4))) for i in range(60)], "doc_id int, text string")
+    s = spark.createDataFrame([(n,) for n in names], "subject string")
+    lab = spark.createDataFrame([(i, NAMES[i % 2]) for i in range(20)], "doc_id int, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.subjects_of(docs, s, lab).collect()}
+    assert len(got & {(i, NAMES[i % 2]) for i in range(60)}) >= 57
