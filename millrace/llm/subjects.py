@@ -211,51 +211,64 @@ def _statistics(sentences: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return n[0, :TERMS], n[0, TERMS:], n[1, TERMS:], n[1, :TERMS]
 
 
+def _multiply(blocks: Iterator[bytes], weight: np.ndarray, place: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'A q over some blocks, A the matrix of rows of length 1; ``place`` has each term's row of q and ``weight`` its rarity."""
+    out = np.zeros(q.shape, np.float32)
+    for data in blocks:
+        row, term, n = unzipped(data, [np.int32] * 3)
+        if not len(row):
+            continue
+        value = (1 + np.log(n)) * weight[term]
+        value = (value / np.maximum(np.sqrt(np.bincount(row, value * value)), 1e-9)[row]).astype(np.float32)
+        at, last = place[term], int(row[-1])
+        edges = np.searchsorted(row, np.arange(0, last + 1 + DENSE_ROWS, DENSE_ROWS))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own, local = np.unique(at[i:j], return_inverse=True)
+            dense = np.zeros((DENSE_ROWS, len(own)), np.float32)
+            dense[row[i:j] % DENSE_ROWS, local] = value[i:j]
+            out[own] += dense.T @ (dense @ q[own])
+    return out
+
+
 def _product(rows: DataFrame, weight: np.ndarray, place: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'A q over all documents, A the matrix of rows of length 1; ``place`` has each term's row of q and ``weight`` its rarity.
+    """A'A q over all documents.
 
-    A task adds up its part of the product; parts are added up by chunk of rows, so
-    that no more than one such matrix reaches the driver.
+    A task adds up its part of the product, one for each core at most; parts are
+    added up by chunk of rows, so that no more than one such matrix reaches the
+    driver.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((weight, place, q))
-    parts_of = rows.rdd.getNumPartitions()
-    salts = 1 if parts_of <= ONE_STEP else int(np.ceil(np.sqrt(parts_of)))
+    cores = spark.sparkContext.defaultParallelism
+    salts = 1 if cores <= ONE_STEP else int(np.ceil(np.sqrt(cores)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, place, q = shared.value
-        out = np.zeros(q.shape, np.float32)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                row, term, n = unzipped(data, [np.int32] * 3)
-                if not len(row):
-                    continue
-                value = (1 + np.log(n)) * weight[term]
-                value = (value / np.maximum(np.sqrt(np.bincount(row, value * value)), 1e-9)[row]).astype(np.float32)
-                at, last = place[term], int(row[-1])
-                edges = np.searchsorted(row, np.arange(0, last + 1 + DENSE_ROWS, DENSE_ROWS))
-                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    own, local = np.unique(at[i:j], return_inverse=True)
-                    dense = np.zeros((DENSE_ROWS, len(own)), np.float32)
-                    dense[row[i:j] % DENSE_ROWS, local] = value[i:j]
-                    out[own] += dense.T @ (dense @ q[own])
         from pyspark import TaskContext
 
+        weight, place, q = shared.value
+        out = _multiply((data for batch in batches for data in batch.column(0).to_pylist()), weight, place, q)
         salt = TaskContext.get().partitionId() % salts
         for c, low in enumerate(range(0, len(q), CHUNK_ROWS)):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([salt], pa.int32()), pa.array([out[low : low + CHUNK_ROWS].tobytes()], pa.binary())], names=["chunk", "salt", "part"])
+            part = out[low : low + CHUNK_ROWS]
+            at = np.flatnonzero(part.any(1)).astype(np.int32)  # a task meets few of the rare terms
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([salt], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["chunk", "salt", "at", "part"])
 
     def total(table: pa.Table) -> pa.Table:
-        added = sum(np.frombuffer(p, np.float32) for p in table.column("part").to_pylist())
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "salt": table.column("salt").slice(0, 1), "part": pa.array([added.tobytes()], pa.binary())})
-
-    schema = "chunk int, salt int, part binary"
-    added = rows.mapInArrow(run, schema)
+        added = np.zeros((CHUNK_ROWS, columns), np.float32)
+        for at, part in zip(table.column("at").to_pylist(), table.column("part").to_pylist(), strict=True):
+            added[np.frombuffer(at, np.int32)] += np.frombuffer(part, np.float32).reshape(-1, columns)
+        at = np.flatnonzero(added.any(1)).astype(np.int32)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "salt": table.column("salt").slice(0, 1), "at": pa.array([at.tobytes()], pa.binary()), "part": pa.array([added[at].tobytes()], pa.binary())})
+
+    schema, columns = "chunk int, salt int, at binary, part binary", q.shape[1]
+    added = rows.coalesce(cores).mapInArrow(run, schema)
     for keys in [["chunk"]] if salts == 1 else [["chunk", "salt"], ["chunk"]]:
         added = added.groupBy(*keys).applyInArrow(total, schema)
-    found = sorted((r[0], r[2]) for r in added.collect())
+    out = np.zeros_like(q)
+    for r in added.collect():
+        out[r.chunk * CHUNK_ROWS + np.frombuffer(r.at, np.int32)] = np.frombuffer(r.part, np.float32).reshape(-1, columns)
     shared.destroy()
-    return np.concatenate([np.frombuffer(p, np.float32).reshape(-1, q.shape[1]) for _, p in found]) if found else np.zeros_like(q)
+    return out
 
 
 def _singular_vectors(sentences: DataFrame, weight: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,25 +276,32 @@ def _singular_vectors(sentences: DataFrame, weight: np.ndarray, df: np.ndarray)
 
     Block Krylov iteration over all documents: every pass multiplies by the
     matrix once and adds RANK columns to a language's basis; the best vectors
-    in it are taken, until they settle.
+    in it are taken, until they settle.  A language that has settled takes no
+    part in further passes.
     """
     terms = np.flatnonzero(df > 0)
     place = np.zeros(TERMS, np.int64)
     place[terms] = np.arange(len(terms))
     cut = np.searchsorted(terms, LANGUAGE_TERMS * np.arange(len(LANGUAGES) + 1))
     spans = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    rng = np.random.default_rng(5)
+    rows = sentences.select("rows")
+    start = np.random.default_rng(5).standard_normal((len(terms), RANK)).astype(np.float32)
+    return _krylov(lambda q: _product(rows, weight, place, q), start, spans), place
+
+
+def _krylov(multiply, start: np.ndarray, spans: list[slice]) -> np.ndarray:
+    """Leading eigenvectors of each language's span of rows, from products ``multiply``."""
 
     def orthonormal(y: np.ndarray, bases: list[list[np.ndarray]]) -> np.ndarray:
         """Columns of y made orthonormal to each language's basis and to each other."""
-        out = np.zeros((len(terms), RANK), np.float32)
+        out = np.zeros(y.shape, np.float32)
         for span, basis in zip(spans, bases, strict=True):
             own = y[span].astype(np.float64)
+            if not own.any():
+                continue
             for _ in range(2):  # twice, for rounding
                 for b in basis:
                     own -= b @ (b.T @ own)
-            if not len(own):
-                continue
             columns, size, _ = np.linalg.svd(own, full_matrices=False)
             keep = size > 1e-9 * max(size[0], 1e-30)  # a small language runs out of directions
             out[span, : int(keep.sum())] = columns[:, keep]
@@ -289,28 +309,25 @@ def _singular_vectors(sentences: DataFrame, weight: np.ndarray, df: np.ndarray)
 
     bases: list[list[np.ndarray]] = [[] for _ in spans]
     images: list[list[np.ndarray]] = [[] for _ in spans]
-    rows = sentences.select("rows")
-    q = orthonormal(rng.standard_normal((len(terms), RANK)), bases)
-    best = np.zeros((len(terms), RANK), np.float32)
+    q = orthonormal(start, bases)
+    best = np.zeros_like(q)
     for _ in range(MOST_PASSES):
-        y = _product(rows, weight, place, q)
-        before, best, moved = best, np.zeros_like(best), 0.0
+        y = multiply(q)
         for k, span in enumerate(spans):
-            if not span.stop - span.start or not q[span].any():
-                best[span] = before[span]
+            if not q[span].any():
                 continue
             bases[k].append(q[span]), images[k].append(y[span])
-            basis = np.concatenate(bases[k], axis=1).astype(np.float64)
-            inner = basis.T @ np.concatenate(images[k], axis=1)
+            inner = np.block([[b.T @ i for i in images[k]] for b in bases[k]]).astype(np.float64)
             value, turn = np.linalg.eigh((inner + inner.T) / 2)
-            value, turn = np.maximum(value[::-1][:RANK], 0), turn[:, ::-1][:, :RANK]
-            best[span] = basis @ turn
-            outside = 1 - ((before[span].T.astype(np.float64) @ best[span]) ** 2).sum(0)
-            moved = max(moved, float((value * outside).sum() / max(value.sum(), 1e-9)))
-        if moved < SETTLED:
+            value, turn = np.maximum(value[::-1][:RANK], 0), turn[:, ::-1][:, :RANK].astype(np.float32)
+            before, best[span] = best[span].copy(), sum(b @ t for b, t in zip(bases[k], np.split(turn, len(bases[k])), strict=True))
+            outside = 1 - ((before.T @ best[span]) ** 2).sum(0)
+            if (value * outside).sum() <= SETTLED * value.sum():
+                y[span] = 0
+        if not y.any():
             break
         q = orthonormal(y, bases)
-    return best, place
+    return best
 
 
 class Model:
