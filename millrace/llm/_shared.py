@@ -15,15 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors can reach, taken from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a temporary
-    folder is made and set as the session's checkpoint folder.
+    Only where the session names none and runs on a single machine (tests) a
+    temporary folder is made and set as the session's checkpoint folder; on a
+    cluster that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return folder or current.get()
-    folder = folder or tempfile.mkdtemp(prefix="millrace-checkpoint-")
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import spread
@@ -98,8 +98,24 @@ class FragmentEncoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(name: str, folder: str) -> FragmentEncoder:
-    """Encoder of this worker process; ``name`` is a ``.tiktoken`` file of the folder without its ending."""
-    return FragmentEncoder(os.path.join(folder, f"{name}.tiktoken"), PATTERN)
+    """Encoder of this worker process; ``name`` is a ``.tiktoken`` file of the folder without its ending.
+
+    Executors that lack the folder take the file that the driver sent along.
+    """
+    path = os.path.join(folder, f"{name}.tiktoken")
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
+    return FragmentEncoder(path, PATTERN)
+
+
+def _send(spark: SparkSession, path: str) -> None:
+    """Send a file of the driver to the executors, once a session."""
+    sent = spark.sparkContext.__dict__.setdefault("_millrace_sent", set())
+    if path not in sent and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        sent.add(path)
 
 
 def encode_corpus(
@@ -116,6 +132,7 @@ def encode_corpus(
     Empty and null texts have an empty list of ids (0 tokens).  Every row of the
     input gives one row, repeated rows included; other columns are ignored.
     """
+    _send(documents.sparkSession, os.path.join(folder, f"{tokenizer}.tiktoken"))
     docs = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     id_type = documents.schema[id_col].dataType.simpleString()
     value = ("n_tokens", pa.int32()) if counts_only else ("ids", pa.list_(pa.int32()))

@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut_lineage, spread
+from ._shared import cut_lineage, spread, unzipped as _unzip, zipped as _zip
 
 #: Shingles that alike texts have to share near the start of their ordered lists.
 SHARED = 4
@@ -97,21 +96,6 @@ def needed(a, b, similarity: float):
     return np.ceil(np.round((a + b) * (similarity / (1 + similarity)), 9)).astype(np.int64)
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _unzip(data: bytes, kinds: list) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(np.frombuffer(raw[at : at + size], k))
-        at += size
-    return out
-
-
 def _entries(keys: np.ndarray, sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """(shingle, text, size, remaining) of the first shingles of each text in the common order."""
     sizes = np.array([len(s) for s in sets])
@@ -409,3 +393,57 @@ def _long_enough(texts: DataFrame, least_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["key"])
 
     return texts.mapInArrow(run, "key long")
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    """``key, group``: the smallest key that each key of the pairs (key_a, key_b) is connected with.
+
+    Rounds of large and small stars: every key links its larger, then its
+    smaller neighbours to the smallest of them, until nothing changes.  No
+    component meets in one task; a round's links are at most those before.
+    """
+    links = cut_lineage(pairs.select(F.greatest("key_a", "key_b").alias("u"), F.least("key_a", "key_b").alias("v")).where("u != v").distinct())
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        new = cut_lineage(small.where("u != v").distinct())
+        if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
+            break
+        links = new
+    tops = links.select(F.col("v").alias("key")).distinct().join(links.select(F.col("u").alias("key")), "key", "left_anti")
+    return links.select(F.col("u").alias("key"), F.col("v").alias("group")).unionByName(tops.select("key", F.col("key").alias("group")))
+
+
+def alike_groups(
+    records: DataFrame,
+    *,
+    id_col: str = "chunk_id",
+    text_col: str = "text",
+    similarity: float = 0.5,
+    least_words: int = 60,
+    words: int = 3,
+) -> DataFrame:
+    """``id, group_id, links``: one row for each id whose text is alike to that of another one.
+
+    ``group_id`` is the smallest id that it is connected with, directly or by
+    others; ``links`` counts the ids directly alike to it, copies of its own
+    text included.  Pairs are made between distinct texts only.  An id with
+    several texts counts by the smallest group of them and by all its links.
+    """
+    rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    owners = cut_lineage(rows.select(F.xxhash64("text").alias("key"), "id").distinct())
+    classes = alike_classes(records, text_col=text_col, similarity=similarity, least_words=least_words, words=words)
+    copies = owners.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    several = copies.where("n > 1")
+    long = cut_lineage(_long_enough(rows.select(F.xxhash64("text").alias("key"), "text").join(several.select("key"), "key", "left_semi").dropDuplicates(["key"]), least_words))
+    directed = classes.unionByName(classes.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
+    outer = directed.join(copies.select(F.col("key").alias("key_b"), "n"), "key_b").groupBy(F.col("key_a").alias("key")).agg(F.sum("n").alias("links"))
+    inner = several.join(long, "key", "left_semi").select("key", (F.col("n") - 1).alias("links"))
+    links = outer.unionByName(inner).groupBy("key").agg(F.sum("links").alias("links"))
+    groups = links.select("key", "links").join(_components(classes), "key", "left").select("key", "links", F.coalesce("group", "key").alias("group"))
+    named = groups.join(copies.select("key", "first"), "key").groupBy("group").agg(F.min("first").alias("group_id"))
+    each = owners.join(groups, "key").join(named, "group")
+    return each.groupBy("id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links")).withColumnRenamed("id", id_col)

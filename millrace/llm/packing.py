@@ -64,7 +64,7 @@ class _Lengths:
             if two:
                 return list(two)
         firsts = self._firsts(gap)
-        if len(firsts) > 64:  # try some; if their marks are all stale, mark anew before trying every one
+        if len(firsts) > 64:  # try some first; if their marks are all stale, mark anew before trying every one
             found = self._triple(gap, firsts[:64])
             if found:
                 return found

@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_rows, cut_lineage, ship
+from ._shared import cut_lineage, ship
 
 BITS = 16
-#: Values whose ranks one call can ask for; they become literals of the plan.
+#: Values whose ranks one pass over the digests looks up; more take more passes.
 MAX_MARKS = 1000
 #: Leaves per e-fold; the logarithm of the largest double lands below 2**BITS.
 _PER_E = (2**BITS - 1) / 710.0
@@ -151,27 +151,29 @@ def merge(parts: DataFrame, keys: list[str], *, error: float = 0.002) -> DataFra
 def rank_bounds(parts: DataFrame, keys: list[str], at: DataFrame, at_col: str) -> DataFrame:
     """Bounds on how many values of each group are at most a given value.
 
-    ``at`` is a table of up to MAX_MARKS values; returns ``keys..., at's columns, n, surely,
+    ``at`` is a table of values; returns ``keys..., at's columns, n, surely,
     possibly``.  What is sure counts nodes that end before the value's leaf,
-    what is possible those that start at or before it.
+    what is possible those that start at or before it.  Values become literals
+    of the plan, in blocks of MAX_MARKS.
     """
     extra = at.columns
-    marks = bounded_rows(at.withColumn("__leaf", leaf_of(F.col(at_col))), MAX_MARKS)
-    if marks is None:
-        raise ValueError(f"more than {MAX_MARKS} values to look up")
     kinds = at.schema
-    array = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c].dataType).alias(c) for c in extra], F.lit(r["__leaf"]).alias("__leaf")) for r in marks])
     shift = F.expr("shiftleft(1L, level)")
     low, high = F.col("node") * shift, (F.col("node") + 1) * shift - 1
-    each = parts.select(*keys, "count", low.alias("lo"), high.alias("hi"), F.explode(array).alias("__m"))
-    return (
-        each.groupBy(*keys, *[F.col(f"__m.{c}").alias(c) for c in extra])
-        .agg(
+    marks = at.withColumn("__leaf", leaf_of(F.col(at_col))).collect()
+    result = None
+    for first in range(0, max(len(marks), 1), MAX_MARKS):
+        structs = [F.struct(*[F.lit(r[c]).cast(kinds[c].dataType).alias(c) for c in extra], F.lit(r["__leaf"]).alias("__leaf")) for r in marks[first : first + MAX_MARKS]]
+        kind = "struct<" + ",".join(f"`{c}`:{kinds[c].dataType.simpleString()}" for c in extra) + ",__leaf:int>"
+        array = F.array(*structs).cast(f"array<{kind}>")
+        each = parts.select(*keys, "count", low.alias("lo"), high.alias("hi"), F.explode(array).alias("__m"))
+        one = each.groupBy(*keys, *[F.col(f"__m.{c}").alias(c) for c in extra]).agg(
             F.sum("count").alias("n"),
             F.sum(F.when(F.col("hi") < F.col("__m.__leaf"), F.col("count")).otherwise(0)).alias("surely"),
             F.sum(F.when(F.col("lo") <= F.col("__m.__leaf"), F.col("count")).otherwise(0)).alias("possibly"),
         )
-    )
+        result = one if result is None else result.unionByName(one)
+    return result
 
 
 def percentiles(parts: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:

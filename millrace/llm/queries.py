@@ -25,6 +25,24 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.pieces_table(cut)
 
 
+def p1_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces of each text: they reach from its start to its end, are short enough and say what it says."""
+    documents, profiles = _table(spark, folder, "documents").select("doc_id", "collection", "text").distinct(), _table(spark, folder, "split_profiles")
+    pieces = split.split_oversized(documents, profiles).select("doc_id", "pieces")
+    rules = profiles.where("max_chars >= 1").groupBy("collection").agg(F.min("max_chars").alias("most"))
+    texts = documents.join(rules, "collection", "left")
+    default = rules.where("collection = 'default'").first()["most"]
+    both = pieces.join(texts, "doc_id").withColumn("most", F.coalesce("most", F.lit(default)))
+    count = lambda test: F.size(F.filter("pieces", test))
+    before = F.concat(F.array(F.lit(0)), F.transform("pieces", lambda p: p.end_offset))
+    return both.select(
+        "doc_id", F.element_at("pieces", -1).end_offset.cast("long").alias("n_chars"),
+        F.size(F.filter(F.zip_with(F.transform("pieces", lambda p: p.start_offset), before, lambda a, b: a > b), lambda x: x)).alias("gaps"),
+        count(lambda p: F.length(p.text) > F.col("most")).alias("too_long"),
+        count(lambda p: p.text != F.substring("text", p.start_offset + 1, p.end_offset - p.start_offset)).alias("other_text"),
+    ).distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.noisy_lines(_table(spark, folder, "documents"))
 
@@ -45,6 +63,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.alike_pairs(_table(spark, folder, "chunks"))
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.alike_groups(_table(spark, folder, "chunks"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.slow_weeks(_table(spark, folder, "query_results"), _table(spark, folder, "latency_targets"))
 
@@ -80,7 +102,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_neighbours, p4_found, p5_found, p5_quantiles, p6_ids, p7_containers, p8_found, p8_shares]
+    own = [p1_found, p1_pieces, p1_covered, p2_found, p2_texts, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_quantiles, p6_ids, p7_containers, p8_found, p8_shares]
     return {f.__name__: f for f in own}
 
 

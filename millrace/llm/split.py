@@ -23,8 +23,8 @@ CHARACTER, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
 KINDS = ["character", "word", "sentence", "line", "paragraph"]
 #: Pieces are at least this share of max_chars long if a boundary allows it.
 MIN_FILL = 0.5
-#: Profiles up to this number travel with the task; more are joined.
-MAX_PROFILES = 10_000
+#: Profiles up to this number become literals of the plan; more are joined.
+MAX_PROFILES = 64
 
 _CUT = re.compile(r"[ \t\r\n]+|[。！？](?![ \t\r\n])")
 _WHITE = " \t\r\n"
@@ -77,28 +77,42 @@ class BoundaryIndex:
         best = int(max(level[i], level[j - (1 << k)])) % (len(self.strengths) + 1)
         return int(self.starts[best]), int(self.strengths[best])
 
-    def longest(self, strength: int, text_start: int, text_end: int) -> int:
-        """Length of the longest stretch between boundaries of at least ``strength``, white space at its ends not counted."""
-        keep = (self.strengths >= strength) & (self.starts > text_start) & (self.ends < text_end)
-        a = np.concatenate([[text_start], self.starts[keep]])
-        b = np.concatenate([self.ends[keep], [text_end]])
-        return int((b - a).max())
+    def reached(self, max_chars: int, text_start: int, text_end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Strengths of the places that stretches start at (the text's own start first), and of the strongest boundary in reach of each.
+
+        In reach is what ends a stretch of at most ``max_chars``; the text's end is as good as a paragraph's.
+        """
+        keep = np.flatnonzero((self.starts > text_start) & (self.ends < text_end))
+        low, high = (int(keep[0]), int(keep[-1]) + 1) if len(keep) else (0, 0)
+        at = np.r_[text_start, self.starts[low:high]]
+        i = np.r_[low, np.arange(low, high) + 1]
+        j = np.searchsorted(self.ends[low:high], at + max_chars, "right") + low
+        best = np.full(len(at), -1)
+        some = np.flatnonzero(j > i)
+        if len(some):
+            k = np.frexp(j[some] - i[some])[1] - 1
+            for width in np.unique(k):
+                level, own = self._levels()[width], some[k == width]
+                best[own] = np.maximum(level[i[own]], level[j[own] - (1 << int(width))]) // (len(self.strengths) + 1)
+        best[text_end - at <= max_chars] = PARAGRAPH
+        return np.r_[PARAGRAPH, self.strengths[low:high]], best
 
 
 def finest_cut(index: BoundaryIndex, text: str, max_chars: int) -> int:
-    """Coarsest kind of boundary whose stretches all fit into ``max_chars``."""
+    """Coarsest kind of boundary whose stretches all fit into ``max_chars``, by range maxima: from each of them the next one is in reach."""
     start = len(text) - len(text.lstrip(_WHITE))
     end = len(text.rstrip(_WHITE))
     if start >= end:
         return PARAGRAPH
+    own, best = index.reached(max_chars, start, end)
     for strength in (PARAGRAPH, LINE, SENTENCE, WORD):
-        if index.longest(strength, start, end) <= max_chars:
+        if (best[own >= strength] >= strength).all():
             return strength
     return CHARACTER
 
 
 def cut_pieces(index: BoundaryIndex, max_chars: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, kind of the cut at the end) of consecutive pieces covering the text."""
+    """(start, end, kind of the cut at the end) of consecutive pieces covering the text; an overlap of more than half of max_chars counts as half."""
     overlap = min(overlap, max_chars // 2)
     pieces, start, n = [], 0, index.length
     while n - start > max_chars:
@@ -136,7 +150,8 @@ def split_oversized(
 
     Null and empty texts, and texts that fit, give no row.  A collection that is
     null or has no profile uses the row ``default``; max_chars that is null or
-    below 1 does too, overlap that is null or negative counts as 0.  Of several
+    below 1 does too, overlap that is null or negative counts as 0, one of more
+    than half of max_chars as half, so that pieces get on.  Of several
     rows for one collection the smallest max_chars holds.  Repeated documents
     give repeated rows; other columns are ignored.
     """

@@ -69,3 +69,9 @@ WITH spaced AS (
 SELECT DISTINCT least(a.chunk_id, b.chunk_id) AS chunk_id_a, greatest(a.chunk_id, b.chunk_id) AS chunk_id_b
 FROM alike JOIN words a ON a.text = x JOIN words b ON b.text = y WHERE a.chunk_id <> b.chunk_id""",
 }
+_PAIRS = SQL["p4_found"].replace("WITH spaced", "WITH RECURSIVE spaced").replace("SELECT DISTINCT least(", ", pairs AS (SELECT DISTINCT least(") + ")"
+SQL["p4_groups"] = f"""{_PAIRS}, edges AS (SELECT chunk_id_a AS x, chunk_id_b AS y FROM pairs UNION SELECT chunk_id_b, chunk_id_a FROM pairs),
+reached AS (SELECT x, x AS y FROM edges UNION SELECT r.x, e.y FROM reached r JOIN edges e ON e.x = r.y)
+SELECT r.x AS chunk_id, min(r.y) AS group_id, any_value(n.links) AS links FROM reached r JOIN (SELECT x, count(*) AS links FROM edges GROUP BY x) n ON n.x = r.x GROUP BY r.x"""
+SQL["p1_covered"] = f"""{SQL["p1_found"][: SQL["p1_found"].index("), big AS")]})
+SELECT DISTINCT doc_id, length(text) AS n_chars, 0 AS gaps, 0 AS too_long, 0 AS other_text FROM docs WHERE length(text) > m"""

@@ -121,3 +121,10 @@ def test_triples_behind_stale_marks():
     for a in [1, *range(399, 499)]:
         items.left[a] = 0
     assert sorted(items.exact(1500) or []) == [250, 250, 1000]
+
+
+def test_more_targets_than_a_pass_takes(spark):
+    rows = [(f"q{i}", "a", float(i), 17532 * 86400.0 + i) for i in range(40)]
+    targets = spark.createDataFrame([(f"t{i}", 0.5, float(i)) for i in range(1001)], "quantile_name string, quantile double, limit_ms double")
+    got = {r.quantile_name for r in quantiles.slow_weeks(results(spark, rows), targets).collect()}
+    assert got == {f"t{i}" for i in range(19)}

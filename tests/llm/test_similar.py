@@ -120,3 +120,19 @@ def test_probes_grow_with_the_lists(spark):
     for r in knn.nearest(df, list_rows=50).collect():
         got.setdefault(r.id, set()).add(r.neighbour)
     assert sum(len(got[i] & set(want[i])) for i in ids) / (10 * len(ids)) >= 0.9
+
+
+def test_groups_of_connected_texts(spark):
+    rng = random.Random(12)
+    chain = [[f"w{rng.randrange(10**6)}" for _ in range(90)]]
+    for i in range(5):  # each alike to the next one only
+        words = list(chain[-1])
+        words[i * 15 : i * 15 + 15] = [f"v{rng.randrange(10**6)}" for _ in range(15)]
+        chain.append(words)
+    texts = [" ".join(w) for w in chain] + [" ".join(chain[0])] * 2 + [" ".join(f"x{rng.randrange(10**6)}" for _ in range(80)), "short", "short", None]
+    df = spark.createDataFrame([(f"c{i:02d}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    pairs = [tuple(r) for r in neardup.alike_pairs(df).collect()]
+    links = {i: sum(i in p for p in pairs) for p in pairs for i in p}
+    got = {r.chunk_id: (r.group_id, r.links) for r in neardup.alike_groups(df).collect()}
+    assert got == {f"c{i:02d}": ("c00", links[f"c{i:02d}"]) for i in range(8)}
+    assert neardup.alike_groups(df.where("false")).count() == 0
