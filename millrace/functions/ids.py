@@ -15,8 +15,8 @@ def sha256(c: Column, digits: int = 64) -> Column:
 
 
 def chunk_id(document: Column, index: Column, text: Column) -> Column:
-    """``document_index_hash``: the index with four digits, eight of the text's hash."""
-    return F.concat_ws("_", document, F.lpad(index.cast("string"), 4, "0"), sha256(text, 8))
+    """``document_index_hash``: the index with four digits at least, eight of the text's hash; null if any of them is."""
+    return F.when(document.isNotNull() & index.isNotNull() & text.isNotNull(), F.format_string("%s_%04d_%s", document, index, sha256(text, 8)))
 
 
 def record_id(path: Column, index: Column, text: Column) -> Column:
@@ -61,3 +61,8 @@ def wire_time(epoch: Column) -> Column:
     """UTC time of epoch seconds with (truncated) milliseconds and ``Z``."""
     whole = F.floor(epoch * 1000).cast("long")
     return F.concat(F.date_format(F.timestamp_millis(whole), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
+def event_id(provider: Column, request: Column) -> Column:
+    """``provider:request``, or a random UUID where there is no request id."""
+    return F.coalesce(F.concat(provider, F.lit(":"), F.nullif(request, F.lit(""))), F.uuid())

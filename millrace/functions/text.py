@@ -121,3 +121,23 @@ def changed_enough(before: Column, after: Column, least: float) -> Column:
     """Whether cleaning changed a text's length by at least a share of it."""
     share = F.abs(F.length(after) - F.length(before)) / F.greatest(F.length(before), F.lit(1))
     return (after != before) & (after != "") & (share >= least)
+
+
+def json_object(text: Column, schema: str) -> Column:
+    """The object between the first ``{`` and the last ``}`` of a model's answer, by a schema; null if it can't be read or lacks a field."""
+    found = F.from_json(F.regexp_extract(strip_code_fence(text), r"(?s)\{.*\}", 0), schema)
+    names = [f.split()[0] for f in schema.split(",")]
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & found[n].isNotNull()
+    return F.when(whole, found)
+
+
+def json_list(text: Column, schema: str) -> Column:
+    """The array between the first ``[`` and the last ``]`` of a model's answer; null if it can't be read."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit("")), f"array<{schema}>")
+
+
+def says_decorative(text: Column) -> Column:
+    """Whether an answer calls an image decoration."""
+    return F.contains(F.lower(text), F.lit("decorative")) | F.contains(text, F.lit("装饰"))

@@ -34,6 +34,10 @@ def score_of_distance(d: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - d)
 
 
+#: Distances by name.
+METRICS = ["cosine", "ip", "l2sq"]
+
+
 def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
     kinds = {"l2sq": squared_distance, "cosine": lambda x, y: 1 - cosine(x, y), "ip": lambda x, y: 1 - dot(x, y)}
     if metric not in kinds:

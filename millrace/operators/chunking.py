@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from ..sources import store
 from .tables import spread
 
 SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -26,12 +28,12 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: list[str] |
     """
     seps = separators or SEPARATORS
 
-    def parts(a: int, b: int, level: int) -> tuple[list[tuple[int, int]], int]:
+    def parts(a: int, b: int, level: int) -> tuple[list[tuple[int, int]] | None, int]:
         while level < len(seps) - 1 and text.find(seps[level], a, b) < 0:
             level += 1
         sep = seps[level]
         if not sep:
-            return [(i, i + 1) for i in range(a, b)], level
+            return None, level
         edges, at = [a], text.find(sep, a, b)
         while at >= 0:
             if at > a:
@@ -45,18 +47,21 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: list[str] |
             yield a, b
             return
         pieces, level = parts(a, b, level)
-        held: list[tuple[int, int]] = []
+        if pieces is None:  # single characters: every piece is full, and starts an overlap before the last one's end
+            yield from ((x, min(x + size, b)) for x in range(a, max(a + 1, b - overlap), size - overlap))
+            return
+        held: deque[tuple[int, int]] = deque()
         for x, y in pieces:
             if y - x > size:
                 if held:
                     yield held[0][0], held[-1][1]
-                    held = []
+                    held.clear()
                 yield from cut(x, y, level + 1)
                 continue
             if held and y - held[0][0] > size:
                 yield held[0][0], held[-1][1]
                 while held and (held[-1][1] - held[0][0] > overlap or y - held[0][0] > size):
-                    held.pop(0)
+                    held.popleft()
             held.append((x, y))
         if held:
             yield held[0][0], held[-1][1]
@@ -74,6 +79,7 @@ def split_recursive(documents: DataFrame, *, size: int = 1024, overlap: int = 20
     """``doc_hash, collection, source_path, doc_type, start_offset, end_offset, text`` of the pieces of ``documents``."""
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap in [0, size)")
+    store.ship(documents.sparkSession)
     docs = spread(documents.select("doc_hash", "collection", "source_path", "doc_type", "text").where("text IS NOT NULL"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,5 +114,7 @@ def fixed_length(documents: DataFrame, *, size: int = 1000, overlap: int = 100)
         raise ValueError("size must be positive and overlap in [0, size)")
     last = F.greatest(F.length("text") - overlap - 1, F.lit(0))
     starts = F.sequence(F.lit(0), last, F.lit(size - overlap))
-    rows = documents.where(F.length("text") > 0).select("doc_id", "text", F.posexplode(starts).alias("piece_no", "start_offset"))
-    return rows.select("doc_id", "piece_no", "start_offset", F.substring("text", F.col("start_offset") + 1, F.lit(size)).alias("text"))
+    # cut inside the row: the text itself is not repeated for its pieces
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start_offset"), F.substring("text", s + 1, F.lit(size)).alias("text")))
+    rows = documents.where(F.length("text") > 0).select("doc_id", F.posexplode(pieces).alias("piece_no", "p"))
+    return rows.select("doc_id", "piece_no", "p.start_offset", "p.text")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from . import blocks
 from .index import Index, weights
 
 RESULT = ["query_id", "chunk_id", "rank", "score", "source"]
@@ -35,11 +36,7 @@ def sparse(index: Index, queries: DataFrame, top_k: int, stop_words: list[str] |
         .agg(F.count("*").alias("qtf"))
     )
     # postings get their weights before they meet the queries: a posting is weighted once, not once a query
-    asked = terms.select("collection", "term").distinct()
-    weighted = weights(index, asked)
-    part = F.col("weight") * F.col("qtf")
-    hits = weighted.join(terms, ["collection", "term"])
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 8).alias("score")).where("score > 0")
+    scored = blocks.sparse_products(weights(index, terms.select("collection", "term").distinct()), index.lengths, terms, queries, top_k)
     return _top(scored, top_k, "sparse").select(*RESULT)
 
 
@@ -51,22 +48,30 @@ def dense(vectors: DataFrame, queries: DataFrame, top_k: int, metric: str = "l2s
     """
     for name, value in (where or {}).items():
         vectors = vectors.where(F.col(name) == value)
-    pairs = vectors.join(queries, "collection").where(F.size("dense_vector") == F.size("query_vector"))
-    d = F.round(V.distance(F.col("dense_vector"), F.col("query_vector"), metric), 8) + 0.0  # no negative zero
-    scored = pairs.select("query_id", "chunk_id", d.alias("distance")).withColumn("score", V.score_of_distance(F.col("distance")))
+    if metric not in V.METRICS:
+        raise ValueError(f"metric must be one of {sorted(V.METRICS)}")
+    items = vectors.select("collection", "chunk_id", F.col("dense_vector").alias("v")).where("v IS NOT NULL")
+    asked = queries.select("collection", "query_id", F.col("query_vector").alias("v")).where("v IS NOT NULL")
+    scored = blocks.dense_products(items, asked, max(top_k, 0), metric) if top_k > 0 else queries.sparkSession.createDataFrame([], "query_id string, chunk_id string, distance double")
+    scored = scored.withColumn("score", V.score_of_distance(F.col("distance")))
     return _top(scored, top_k, "dense", [F.col("distance"), F.col("chunk_id")]).select(*RESULT, "distance")
 
 
+def _positions(rankings: list[DataFrame]) -> DataFrame:
+    """The lists one after the other, with the number of the list and the position in it."""
+    every = None
+    for leg, r in enumerate(rankings):
+        one = r.select(*RESULT, F.lit(leg).alias("leg"))
+        every = one if every is None else every.unionByName(one)
+    w = Window.partitionBy("query_id", "leg").orderBy("rank")
+    return every.withColumn("position", F.row_number().over(w))
+
+
 def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion by position in each list."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    every = None
-    for r in rankings:
-        w = Window.partitionBy("query_id").orderBy("rank")
-        one = r.select("query_id", "chunk_id", F.row_number().over(w).alias("position"))
-        every = one if every is None else every.unionByName(one)
-    scored = every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("position"))), 8).alias("score"))
+    scored = _positions(rankings).groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("position"))), 8).alias("score"))
     return _top(scored, 2**31 - 1, "fusion").select(*RESULT)
 
 
@@ -76,20 +81,44 @@ def hybrid(
     top_k: int,
     k: int = 60,
     post_filter: Callable[[DataFrame], DataFrame] | None = None,
+    fusion: Callable[[list[DataFrame], int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Fusion where both legs found something; where one did, its results as they are. Filtered after fusion, ranks kept."""
-    s, d = sparse_hits.select(*RESULT), dense_hits.select(*RESULT)
-    legs = s.select("query_id").distinct().withColumn("s", F.lit(1)).join(d.select("query_id").distinct().withColumn("d", F.lit(1)), "query_id", "full_outer")
-    both = legs.where("s = 1 AND d = 1").select("query_id")
-    fused = fuse([s.join(both, "query_id", "left_semi"), d.join(both, "query_id", "left_semi")], k)
-    single = s.unionByName(d).join(both, "query_id", "left_anti")
-    out = fused.unionByName(single)
+    """Fusion where both legs found something; where one did, its results as they are. Filtered after fusion, ranks kept.
+
+    Each leg is used once: rows are fused by query and chunk in one aggregate,
+    and a query with one leg keeps what that leg said.  Another ``fusion`` of
+    lists takes the place of reciprocal ranks.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    both = F.max("leg").over(Window.partitionBy("query_id")) > F.min("leg").over(Window.partitionBy("query_id"))
+    rows = _positions([sparse_hits, dense_hits]).withColumn("both", both)
+    if fusion:
+        fused = fusion([rows.where(F.col("both") & (F.col("leg") == leg)).select(*RESULT) for leg in (0, 1)], k)
+        out = fused.unionByName(rows.where(~F.col("both")).select(*RESULT))
+    else:
+        fused = F.round(F.sum(1 / (k + F.col("position"))), 8)
+        each = rows.groupBy("query_id", "chunk_id", "both").agg(fused.alias("fused"), *[F.min(c).alias(c) for c in ("rank", "score", "source")])
+        score = F.when(F.col("both"), F.col("fused")).otherwise(F.col("score"))
+        order = [F.when(F.col("both"), F.lit(0)).otherwise(F.col("rank")), score.desc(), F.col("chunk_id")]
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")
+        out = each.select("query_id", "chunk_id", F.when(F.col("both"), place).otherwise(F.col("rank")).alias("rank"), score.alias("score"), F.when(F.col("both"), "fusion").otherwise(F.col("source")).alias("source"))
     if post_filter:
         out = post_filter(out)
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
     return out.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top_k).select(*RESULT)
 
 
+def leg_counts(sparse_hits: DataFrame, dense_hits: DataFrame, fused: DataFrame) -> DataFrame:
+    """``query_id, sparse_count, dense_count, fused_count, degraded``: what each leg and the fusion found; degraded where one leg found nothing."""
+    every = None
+    for name, hits in (("sparse", sparse_hits), ("dense", dense_hits), ("fused", fused)):
+        one = hits.select("query_id", F.lit(name).alias("leg"))
+        every = one if every is None else every.unionByName(one)
+    n = {name: F.count_if(F.col("leg") == name) for name in ("sparse", "dense", "fused")}
+    return every.groupBy("query_id").agg(*[v.alias(f"{k}_count") for k, v in n.items()], ((n["sparse"] == 0) | (n["dense"] == 0)).alias("degraded"))
+
+
 def metadata_filter(results: DataFrame, chunks: DataFrame, where: dict[str, str]) -> DataFrame:
     """Results whose chunk's metadata has all the values; a missing key is no match."""
     ok = chunks
@@ -111,16 +140,22 @@ def query_filters(text: Column) -> tuple[Column, Column]:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e.k, e.v))), F.filter(tokens, lambda x: ~x.rlike(pattern))
 
 
+def merged_filters(found: Column, given: Column) -> Column:
+    """Filters found in a query with those the caller gives, who wins."""
+    return F.map_concat(F.map_filter(found, lambda k, v: ~F.array_contains(F.map_keys(given), k)), given)
+
+
 def rerank(results: DataFrame, scores: DataFrame, top_m: int) -> DataFrame:
     """Results with their first ``top_m`` ordered by new scores (query_id, chunk_id, new_score); ranks start at 0.
 
-    Scores are clamped to [0, 1]; ties keep their order. Rows of the head
+    Of several scores for one chunk the greatest holds. Scores are clamped to [0, 1]; ties keep their order. Rows of the head
     without a score follow the scored ones, then the tail, both as they were.
     """
     if top_m <= 0:
         raise ValueError("top_m must be positive")
     w = Window.partitionBy("query_id").orderBy("rank")
-    placed = results.withColumn("__at", F.row_number().over(w)).join(scores.select("query_id", "chunk_id", "new_score"), ["query_id", "chunk_id"], "left")
+    best = scores.groupBy("query_id", "chunk_id").agg(F.max("new_score").alias("new_score"))
+    placed = results.withColumn("__at", F.row_number().over(w)).join(best, ["query_id", "chunk_id"], "left")
     head = F.col("__at") <= top_m
     part = F.when(head & F.col("new_score").isNotNull(), 0).when(head, 1).otherwise(2)
     new = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("new_score"))), 8)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids
+from ..sources import store
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan with fewer partitions than cores (a single file with one row group)."""
@@ -59,9 +62,40 @@ def page(df: DataFrame, order: list[Column], cursor: str | None, size: int) -> t
         offset = max(0, int(base64.b64decode(cursor or "", validate=True).decode()))
     except (binascii.Error, ValueError):
         offset = 0
-    rows = df.orderBy(*order).offset(offset).limit(size + 1)
-    more = rows.count() > size
-    return rows.limit(size), base64.b64encode(str(offset + size).encode()).decode() if more else None
+    # one sort: the page and the row after it come to the driver, which hands them on
+    rows = df.orderBy(*order).offset(offset).limit(size + 1).collect()
+    page_rows = df.sparkSession.createDataFrame(rows[:size], df.schema)
+    return page_rows, base64.b64encode(str(offset + size).encode()).decode() if len(rows) > size else None
+
+
+def page_size(asked: int | None, default: int = 20, most: int = 100) -> int:
+    """Rows of a page: the default if none are asked for, never below 1 or above ``most``."""
+    return max(1, min(most, default if asked is None else asked))
+
+
+def after(df: DataFrame, column: str, last, size: int) -> DataFrame:
+    """The page of rows whose key follows ``last`` (null: the first page): no row before it is sorted."""
+    rows = df if last is None else df.where(F.col(column) > F.lit(last))
+    return rows.orderBy(column).limit(size)
+
+
+def newest(df: DataFrame, time_col: str, tie: str, most: int, **equal) -> DataFrame:
+    """The latest rows, the smaller ``tie`` first; columns equal to values that are not None."""
+    for name, value in equal.items():
+        if value is not None:
+            df = df.where(F.col(name) == value)
+    return df.orderBy(F.desc_nulls_last(time_col), tie).limit(most)
+
+
+def lookup(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with one of the keys, and the keys that no row has (their other columns null)."""
+    return keys.select(*columns).distinct().join(df, columns, "left").select(*df.columns)
+
+
+def name_search(df: DataFrame, column: str, word: str) -> DataFrame:
+    """Rows whose name contains a word, whatever its case; a blank word finds all."""
+    word = word.strip().lower()
+    return df.where(F.contains(F.lower(column), F.lit(word))) if word else df
 
 
 def documents_overview(history: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -70,6 +104,48 @@ def documents_overview(history: DataFrame, chunks: DataFrame) -> DataFrame:
     return history.join(n, ["collection", "source_path"], "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
+def document_detail(documents: DataFrame, chunks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents with one of the keys (uuid), with their natural key and numbers of chunks; the UUID is computed and joined, not searched."""
+    named = documents.withColumn("uuid", document_uuid(F.col("collection"), F.col("source_path"))).join(keys.select("uuid").distinct(), "uuid", "left_semi")
+    return documents_overview(named, chunks)
+
+
+def document_uuid(collection: Column, path: Column) -> Column:
+    return ids.uuid5(ids.NAMESPACE_URL, F.concat(F.lit("document:"), collection, F.lit(":"), path))
+
+
+def cascade(chunks: DataFrame, postings: DataFrame, vectors: DataFrame, history: DataFrame, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables without some documents (collection, source_path, doc_hash), and what was deleted of each document.
+
+    Chunks are found by path or hash; postings and vectors (collection,
+    chunk_id) go with them, history rows (collection, file_hash) with the document.
+    """
+    path = F.col("metadata")["source_path"]
+    by_path = chunks.select("chunk_id", "collection", path.alias("source_path")).join(doomed, ["collection", "source_path"]).select("chunk_id", "collection", "doc_hash")
+    by_hash = chunks.select("chunk_id", "collection", F.col("source_ref").alias("doc_hash")).join(doomed.select("collection", "doc_hash"), ["collection", "doc_hash"]).select("chunk_id", "collection", "doc_hash")
+    hits = store.cut_lineage(by_path.unionByName(by_hash).distinct())  # used by all that follows
+    gone = hits.select("collection", "chunk_id").distinct()
+    left = {
+        "chunks": chunks.join(gone, ["collection", "chunk_id"], "left_anti").select(*chunks.columns),
+        "postings": postings.join(gone, ["collection", "chunk_id"], "left_anti").select(*postings.columns),
+        "vectors": vectors.join(gone, ["collection", "chunk_id"], "left_anti").select(*vectors.columns),
+        "history": history.join(doomed.select("collection", F.col("doc_hash").alias("file_hash")).distinct(), ["collection", "file_hash"], "left_anti").select(*history.columns),
+    }
+    count = lambda t, name: hits.join(t.select("collection", "chunk_id"), ["collection", "chunk_id"]).groupBy("collection", "doc_hash").agg(F.count("*").alias(name))
+    totals = hits.groupBy("collection", "doc_hash").agg(F.count("*").alias("chunks"))
+    for t, name in ((postings, "postings"), (vectors, "vectors")):
+        totals = totals.join(count(t, name), ["collection", "doc_hash"], "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "postings", "vectors")]
+    return left, totals.select("collection", "doc_hash", *zero).withColumn("total", F.col("chunks") + F.col("postings") + F.col("vectors"))
+
+
+def marked(history: DataFrame, files: DataFrame, status: str, at: float) -> DataFrame:
+    """History (collection, file_hash, status, updated_at) with files (collection, file_hash) marked; rows without a collection move to ``_default``."""
+    moved = history.withColumn("collection", F.coalesce("collection", F.lit("_default")))
+    fresh = files.select(F.coalesce("collection", F.lit("_default")).alias("collection"), "file_hash", F.lit(status).alias("status"), F.lit(at).alias("updated_at")).distinct()
+    return upsert(moved.select("collection", "file_hash", "status", "updated_at"), fresh, ["collection", "file_hash"])
+
+
 def delete_documents(chunks: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks left after deleting documents (collection, source_path, doc_hash), and the number deleted of each.
 
@@ -90,10 +166,10 @@ def new_files(incoming: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def merged_names(indexed: DataFrame, configured: DataFrame) -> DataFrame:
-    """Names in either table (``name``) with where they come from."""
-    a, b = indexed.select("name", F.lit(1).alias("a")).distinct(), configured.select("name", F.lit(1).alias("b")).distinct()
+    """Names in either table (``name``) with where they come from and how many rows of the first have them."""
+    a, b = indexed.groupBy("name").agg(F.lit(1).alias("a"), F.count("*").alias("n")), configured.select("name", F.lit(1).alias("b")).distinct()
     source = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "both").when(F.col("a").isNotNull(), "index").otherwise("store")
-    return a.join(b, "name", "full_outer").select("name", source.alias("source"))
+    return a.join(b, "name", "full_outer").select("name", source.alias("source"), F.coalesce("n", F.lit(0)).alias("rows"))
 
 
 def allowed_rows(df: DataFrame, grants: DataFrame, principal: str | None) -> DataFrame:
@@ -104,6 +180,19 @@ def allowed_rows(df: DataFrame, grants: DataFrame, principal: str | None) -> Dat
     return df.join(mine, "collection", "left_semi")
 
 
+def query_collection(requested: Column, allowed: Column) -> Column:
+    """Collection that a query asks: the one requested if it is allowed (null allows all), ``default`` if all are, else the only one allowed; null if none can be told."""
+    free = allowed.isNull()
+    chosen = F.when(free | F.array_contains(allowed, requested), requested)
+    return F.when(requested.isNotNull(), chosen).when(free, F.lit("default")).when(F.size(allowed) == 1, F.element_at(allowed, 1))
+
+
+def batch_limits(files: DataFrame, keys: list[str], most_files: int = 100, most_bytes: int = 2 << 30) -> DataFrame:
+    """``keys..., files, bytes, ok`` of batches of uploads (size_bytes)."""
+    n = files.groupBy(*keys).agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    return n.withColumn("ok", (F.col("files") <= most_files) & (F.col("bytes") <= most_bytes))
+
+
 def sanitised_metadata(metadata: Column) -> Column:
     """Map entries with a value that is not null or empty."""
     return F.map_filter(metadata, lambda k, v: v.isNotNull() & (v != ""))

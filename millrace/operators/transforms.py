@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def refine(chunks: DataFrame, model: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Text cleaned by rules (and by a model's column function, where it returns something), with ``refined_by``."""
+def refine(chunks: DataFrame, model: Callable[[Column], Column] | None = None, least_change: float = 0.0) -> DataFrame:
+    """Text cleaned by rules (and by a model's column function, where that changes enough of it), with ``refined_by`` and ``refine_reason``."""
     blank = F.col("text").isNull() | (T.strip(F.col("text")) == "")
     by_rule = T.clean(F.col("text"))
-    better = model(by_rule) if model else F.lit(None).cast("string")
+    said = model(by_rule) if model else F.lit(None).cast("string")
+    better = F.when(T.changed_enough(by_rule, said, least_change), said)
+    reason = F.when(blank, "blank").when(said.isNull(), "no answer" if model else "rules only").when(better.isNull(), "too little changed")
     return chunks.withColumns(
         {
+            "refine_reason": reason,
             "refined_by": F.when(blank, "skipped").when(better.isNotNull(), "llm").otherwise("rule"),
             "text": F.when(blank, F.col("text")).otherwise(F.coalesce(better, by_rule)),
         }
@@ -51,6 +54,13 @@ def image_reasons(images: DataFrame, least: int = 40, least_share: float = 0.005
     return images.withColumn("reason", F.when(small, "size").when(F.row_number().over(w) > 1, "duplicate"))
 
 
+def caption(images: DataFrame, model: Callable[[Column], Column] | None = None, most: int = 500) -> DataFrame:
+    """Images (image_id) with a ``caption`` (at most ``most`` characters) and why there is none (``skipped``)."""
+    said = model(F.col("image_id")) if model else F.lit(None).cast("string")
+    text = F.when(F.trim(said) != "", T.truncate(said, most))
+    return images.withColumn("caption", text).withColumn("skipped", F.when(text.isNull(), "no answer" if model else "no model"))
+
+
 def content_images(images: Column) -> Column:
     """Images of an array of structs that are not marked as decoration."""
     return F.filter(images, lambda x: F.coalesce(x.is_content, F.lit(True)))

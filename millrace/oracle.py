@@ -48,10 +48,11 @@ def _sparse(asked: str, k: int, name: str = "sparse") -> str:
 )"""
 
 
-_VECTORS = """v AS (
+_FIFTIETH = "CAST('0x' || substring(md5(chunk_id), 1, 8) AS BIGINT) % 50 = 0"
+_VECTORS = f"""v AS (
   SELECT chunk_id, any_value(collection) AS collection, any_value(CAST(dense_vector AS DOUBLE[])) AS dense_vector FROM chunk_records
   WHERE dense_vector IS NOT NULL AND len(dense_vector) = 64 AND len(list_filter(dense_vector, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY chunk_id
-), vq AS (SELECT collection AS query_id, collection, arg_min(dense_vector, chunk_id) AS query_vector FROM v GROUP BY collection)"""
+), vq AS (SELECT chunk_id AS query_id, collection, dense_vector AS query_vector FROM v WHERE {_FIFTIETH})"""
 
 
 def _dense(k: int, distance: str) -> str:
@@ -63,7 +64,7 @@ def _dense(k: int, distance: str) -> str:
 
 _L2 = "list_sum(list_transform(list_zip(dense_vector, query_vector), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _COS = "CASE WHEN list_dot_product(dense_vector, dense_vector) > 0 AND list_dot_product(query_vector, query_vector) > 0 THEN 1 - list_dot_product(dense_vector, query_vector) / (sqrt(list_dot_product(dense_vector, dense_vector)) * sqrt(list_dot_product(query_vector, query_vector))) END"
-_LEGS = f"""{_IDX}, {_VECTORS}, firsts AS (SELECT collection AS query_id, collection, arg_min(text, chunk_id) AS query_text FROM c GROUP BY collection),
+_LEGS = f"""{_IDX}, {_VECTORS}, firsts AS (SELECT chunk_id AS query_id, collection, text AS query_text FROM c WHERE {_FIFTIETH}),
 {_sparse('firsts', 20)}, {_dense(20, _L2)}"""
 _FUSED = f"""{_LEGS}, fused_s AS (
   SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT query_id, chunk_id, rank FROM dense) GROUP BY ALL
@@ -86,7 +87,7 @@ _CITED = f"""{_IDX}, {_ASKED}, {_sparse('asked', 5)}, cited AS (
 _TASKS = "t AS (SELECT DISTINCT * FROM tasks)"
 _DECODED = """d AS (
   SELECT query_id, collection, created_at, source, coalesce(latency_ms, 0.0) AS latency_ms, coalesce(CAST(result_json->>'n_chunks' AS INTEGER), 0) AS n_chunks,
-    result_json->>'error' IS NULL AS succeeded, coalesce(CAST(result_json->>'degraded' AS BOOLEAN), FALSE) AS degraded, CAST(result_json->'degraded_reasons' AS VARCHAR[]) AS reasons
+    coalesce(result_json->>'error', '') = '' AS succeeded, coalesce(CAST(result_json->>'degraded' AS BOOLEAN), FALSE) AS degraded, CAST(result_json->'degraded_reasons' AS VARCHAR[]) AS reasons
   FROM query_results WHERE json_valid(result_json)
 )"""
 _VALID = _DECODED.replace("WHERE json_valid(result_json)", "WHERE json_valid(result_json) AND NOT isnan(coalesce(latency_ms, 0))")
@@ -98,16 +99,22 @@ SQL = {
     "term_freq": f"WITH {_IDX} SELECT chunk_id, term, tf FROM post",
     "term_statistics": f"WITH {_IDX} SELECT collection, term, df, round(idf, 6) AS idf FROM terms",
     "corpus_stats": f"WITH {_IDX} SELECT collection, n_docs, round(avgdl, 6) AS avgdl FROM corpus",
-    "sparse_vectors": f"WITH {_IDX} SELECT p.chunk_id, p.term, round({_PART}, 6) AS weight FROM post p JOIN terms t USING (collection, term) JOIN corpus USING (collection)",
+    "sparse_vectors": f"""WITH {_index().replace('tok AS (', 'tok AS MATERIALIZED (').replace('post AS (', 'post AS MATERIALIZED (').replace('terms AS (', 'terms AS MATERIALIZED (')}, w AS (
+  SELECT p.collection, p.chunk_id, p.term, round({_PART}, 6) AS weight FROM post p JOIN terms t ON t.collection = p.collection AND t.term = p.term JOIN corpus o ON o.collection = p.collection)
+SELECT l.chunk_id, count(w.term) AS n_terms, coalesce(CAST(sum(CAST(round(weight * 1e6) AS BIGINT)) AS BIGINT), 0) AS millionths, min(w.term) AS first_term, coalesce(arg_max(w.weight, w.term), 0) AS last_weight FROM len l LEFT JOIN w ON w.chunk_id = l.chunk_id AND w.collection = l.collection GROUP BY l.chunk_id""",
     "bm25_topk": f"WITH {_IDX}, {_ASKED}, {_sparse('asked', 10)} {_PICK} sparse",
     "index_remove": f"WITH {_IDX.replace('FROM c WHERE TRUE', 'FROM c WHERE chunk_index <> 0')} SELECT collection, term, df, round(idf, 6) AS idf FROM terms",
     "index_add": f"WITH {_IDX} SELECT collection, term, df, round(idf, 6) AS idf FROM terms",
+    "index_saved": f"WITH {_IDX} SELECT collection, term, df, round(idf, 6) AS idf FROM terms",
     "dense_topk": f"WITH {_VECTORS}, {_dense(10, _L2)} SELECT query_id, chunk_id, rank, score, source, distance FROM dense",
     "dense_topk_cosine": f"WITH {_VECTORS}, {_dense(10, _COS).replace('ORDER BY distance,', 'ORDER BY distance NULLS FIRST,')} SELECT query_id, chunk_id, rank, score, source, distance FROM dense",
     "rrf_fusion": f"WITH {_FUSED} {_PICK} fused",
     "hybrid_search": f"WITH {_HYBRID} {_PICK} every WHERE rank <= 10",
     "hybrid_postfilter": f"""WITH {_HYBRID}, ok AS (SELECT chunk_id FROM c WHERE metadata['doc_type'] = 'md'),
 kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS n FROM every WHERE chunk_id IN (SELECT chunk_id FROM ok)) {_PICK} kept WHERE n <= 10""",
+    "leg_counts": f"""WITH {_HYBRID}, h AS (SELECT query_id FROM every WHERE rank <= 10), q AS (SELECT query_id FROM sparse UNION SELECT query_id FROM dense),
+n AS (SELECT query_id, (SELECT count(*) FROM sparse s WHERE s.query_id = q.query_id) AS sparse_count, (SELECT count(*) FROM dense x WHERE x.query_id = q.query_id) AS dense_count, (SELECT count(*) FROM h WHERE h.query_id = q.query_id) AS fused_count FROM q)
+SELECT *, sparse_count = 0 OR dense_count = 0 AS degraded FROM n""",
     "lexical_rerank": f"""WITH {_IDX}, {_ASKED}, {_sparse('asked', 10)}, scored AS (
   SELECT s.*, coalesce(len(list_intersect(list_distinct({_terms('a.query_text')}), list_distinct({_terms('c.text')})))::DOUBLE / nullif(len(list_distinct({_terms('a.query_text')})), 0), 0) AS new
   FROM sparse s JOIN asked a USING (query_id) JOIN c USING (chunk_id)
@@ -116,7 +123,7 @@ SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY ran
   round(CASE WHEN rank <= 5 THEN new ELSE score END, 8) AS score, CASE WHEN rank <= 5 THEN 'rerank' ELSE source END AS source FROM scored""",
     "citations": f"WITH {_CITED} SELECT query_id, number, chunk_id, rank, score, source, cited, page, excerpt FROM cited",
     "markdown_references": f"WITH {_CITED} SELECT query_id, string_agg('[' || number || '] ' || cited || ' (score: ' || CAST(floor(score * 10000 + 0.5) / 10000 AS DECIMAL(20, 4)) || ')', chr(10) ORDER BY number) AS body FROM cited GROUP BY query_id",
-    "chunk_ids": f"""WITH {_CHUNKS} SELECT chunk_id, source_ref || '_' || lpad(CAST(chunk_index AS VARCHAR), 4, '0') || '_' || substring(sha256(text), 1, 8) AS computed,
+    "chunk_ids": f"""WITH {_CHUNKS} SELECT chunk_id, source_ref || '_' || format('{{:04d}}', chunk_index) || '_' || substring(sha256(text), 1, 8) AS computed,
   substring(sha256(concat_ws('|', metadata['source_path'], chunk_index, substring(sha256(text), 1, 8))), 1, 16) AS record_id FROM c""",
     "marker_filter": r"SELECT doc_id, coalesce(regexp_matches(text, '(?i)^\s*doc_id\s*:\s*\S+\s*$'), FALSE) AS marker FROM documents",
     "filter_tokens": f"""WITH {_ASKED} SELECT query_id, 'last' AS collection, 1 + CAST(len(list_distinct(list_transform(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*:.+$')), lambda x: string_split(x, ':')[1]))) AS INTEGER) AS n,
@@ -144,16 +151,16 @@ SELECT doc_id, d.collection, d.source_path, coalesce(n, 0) AS n_chunks FROM docu
 SELECT collection, doc_hash, count(*) AS deleted FROM h GROUP BY ALL""",
     "latest_task": f"""WITH {_TASKS} SELECT collection_id, source_path, task_id, status FROM (
   SELECT *, row_number() OVER (PARTITION BY collection_id, source_path ORDER BY created_at DESC, attempt DESC, updated_at DESC, task_id, status) AS rn FROM t) WHERE rn = 1""",
-    "merged_collections": """SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL THEN 'both' WHEN a.name IS NOT NULL THEN 'index' ELSE 'store' END AS source
-FROM (SELECT DISTINCT collection AS name FROM chunks) a FULL JOIN (SELECT DISTINCT collection AS name FROM split_profiles) b ON a.name = b.name""",
+    "merged_collections": """SELECT coalesce(a.name, b.name) AS name, coalesce(a.n, 0) AS rows, CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL THEN 'both' WHEN a.name IS NOT NULL THEN 'index' ELSE 'store' END AS source
+FROM (SELECT collection AS name, count(*) AS n FROM chunks GROUP BY collection) a FULL JOIN (SELECT DISTINCT collection AS name FROM split_profiles) b ON a.name = b.name""",
     "query_metrics": f"""WITH {_VALID} SELECT collection, count(*) AS queries, {_RATE.format('count(*) FILTER (succeeded AND n_chunks > 0 AND NOT degraded)', 'count(*)')} AS effective_rate,
   {_RATE.format('count(*) FILTER (succeeded AND n_chunks = 0)', 'count(*)')} AS no_result_rate, {_RATE.format('count(*) FILTER (degraded)', 'count(*)')} AS degraded_rate, quantile_disc(latency_ms, 0.95) AS p95_ms FROM d GROUP BY collection""",
     "kb_attention": f"""WITH {_VALID} SELECT collection, count(*) AS queries, quantile_disc(latency_ms, 0.95) AS p95_ms, quantile_disc(latency_ms, 0.95) > 2000 AS attention FROM d GROUP BY collection
 ORDER BY attention DESC, p95_ms DESC, queries DESC, collection LIMIT 5""",
     "ingestion_metrics": f"""WITH {_TASKS} SELECT collection_id, count(*) AS tasks, {_RATE.format("count(*) FILTER (status = 'succeeded')", "count(*) FILTER (status IN ('succeeded', 'failed', 'cancelled'))")} AS success_rate,
   count(*) FILTER (status IN ('failed', 'cancelled')) AS failed FROM t GROUP BY collection_id""",
-    "trend_buckets": f"""WITH {_VALID}, b AS (SELECT CAST(least(6, greatest(0, floor((created_at - {START}) / (({END} - {START}) / 7)))) AS INTEGER) AS bucket, latency_ms FROM d WHERE created_at >= {START} AND created_at < {END})
-SELECT CAST(r.range AS INTEGER) AS bucket, count(b.bucket) AS queries, quantile_disc(latency_ms, 0.95) AS p95_ms FROM range(7) r LEFT JOIN b ON b.bucket = r.range GROUP BY r.range""",
+    "trend_buckets": f"""WITH {_VALID}, b AS (SELECT CAST(least(6, greatest(0, floor((created_at - {START}) / (({END} - {START}) / 7)))) AS INTEGER) AS bucket, latency_ms, succeeded AND n_chunks > 0 AND NOT degraded AS ok FROM d WHERE created_at >= {START} AND created_at < {END})
+SELECT CAST(r.range AS INTEGER) AS bucket, count(b.bucket) AS queries, {_RATE.format('count(*) FILTER (ok)', 'count(b.bucket)')} AS effective_rate, quantile_disc(latency_ms, 0.95) AS p95_ms FROM range(7) r LEFT JOIN b ON b.bucket = r.range GROUP BY r.range""",
     "usage_summary": f"""WITH {_EVENTS} SELECT coalesce(CAST(sum(token_count) AS BIGINT), 0) AS total, coalesce(CAST(sum(token_count) FILTER (operation = 'query') AS BIGINT), 0) AS query, coalesce(CAST(sum(token_count) FILTER (operation = 'ingestion') AS BIGINT), 0) AS ingestion
 FROM e WHERE occurred_at >= {START} AND occurred_at < {END} AND operation IN ('query', 'ingestion')""",
     "period_over_period": f"""SELECT collection, count(*) FILTER (created_at >= {END - 604800} AND created_at < {END}) AS now, count(*) FILTER (created_at >= {END - 1209600} AND created_at < {END - 604800}) AS before

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import ids
 from .functions import text as T
 from .functions import vectors as V
-from .operators import chunking, evaluate, index, metrics, retrieval, tables, transforms
+from .operators import blocks, chunking, evaluate, index, metrics, retrieval, tables, transforms
 from .oracle import END, START, SQL
+from .sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,22 +46,19 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.dropDuplicates(["chunk_id"])
 
 
-def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    """The vector of the first chunk (by id) of each collection asks."""
-    v = _vectors(spark, d)
-    first = v.groupBy("collection").agg(F.min_by("dense_vector", "chunk_id").alias("query_vector"))
-    return first.select(F.col("collection").alias("query_id"), "collection", "query_vector")
-
-
 def _every_fiftieth(df: DataFrame) -> DataFrame:
-    """Rows whose chunk_id has a CRC-32 divisible by 50: queries in proportion to the data."""
-    return df.where(F.crc32(F.col("chunk_id").cast("binary")) % 50 == 0).withColumn("query_id", F.col("chunk_id"))
+    """Rows whose chunk_id has a number (of its MD5) divisible by 50: queries in proportion to the data."""
+    return df.where(blocks.spread_out("chunk_id") % 50 == 0).withColumn("query_id", F.col("chunk_id"))
 
 
-def _every_vector_query(spark: SparkSession, d: str) -> DataFrame:
+def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
     return _every_fiftieth(_vectors(spark, d)).select("query_id", "collection", F.col("dense_vector").alias("query_vector"))
 
 
+def _index(chunks: DataFrame) -> index.Index:
+    return index.build(chunks, hold=True)
+
+
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "tasks").distinct()
 
@@ -91,12 +89,25 @@ def corpus_stats(spark, d):
 
 @_query
 def sparse_vectors(spark, d):
-    return _r(index.weights(index.build(_chunks(spark, d))).select("chunk_id", "term", "weight"), "weight")
+    """What the sparse vector of each chunk holds."""
+    v = index.sparse_vectors(_index(_chunks(spark, d))).withColumn("e", F.transform(F.map_entries("sparse_vector"), lambda x: F.struct(x.key.alias("k"), F.round(x.value, 6).alias("v"))))
+    total = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + F.round(x.v * 1e6).cast("long"))
+    ends = F.array_sort("e")
+    return v.select("chunk_id", F.size("e").cast("long").alias("n_terms"), total.alias("millionths"), F.try_element_at(ends, F.lit(1)).k.alias("first_term"), F.coalesce(F.try_element_at(ends, F.lit(-1)).v, F.lit(0.0)).alias("last_weight"))
+
+
+@_query
+def index_saved(spark, d):
+    """Statistics of an index that was built of the first chunks, stored, and merged with the others at its place."""
+    c, path = _chunks(spark, d), store.fresh_path(spark)
+    index.merge_or_build(spark, path, c.where("chunk_index = 0"))
+    index.merge_or_build(spark, path, c.where("chunk_index > 0"))
+    return _r(index.load(spark, path).terms, "idf")
 
 
 @_query
 def bm25_topk(spark, d):
-    return retrieval.sparse(index.build(_chunks(spark, d)), _asked(spark, d), TOP_K)
+    return retrieval.sparse(_index(_chunks(spark, d)), _asked(spark, d), TOP_K)
 
 
 @_query
@@ -123,52 +134,15 @@ def dense_topk_cosine(spark, d):
 
 
 def _legs(spark, d):
-    """Both legs: each collection is asked for by the text and the vector of its first chunk."""
-    c, v = _chunks(spark, d), _vector_queries(spark, d)
-    first = c.groupBy("collection").agg(F.min_by("text", "chunk_id").alias("query_text"))
-    text = first.select(F.col("collection").alias("query_id"), "collection", "query_text")
-    return retrieval.sparse(index.build(c), text, 2 * TOP_K), retrieval.dense(_vectors(spark, d), v, 2 * TOP_K)
-
-
-def _every_legs(spark, d):
     """Both legs: every fiftieth chunk asks with its text and its vector."""
     c = _chunks(spark, d)
     text = _every_fiftieth(c).select("query_id", "collection", F.col("text").alias("query_text"))
-    return retrieval.sparse(index.build(c), text, 2 * TOP_K), retrieval.dense(_vectors(spark, d), _every_vector_query(spark, d), 2 * TOP_K)
-
-
-@_query
-def dense_topk_every(spark, d):
-    return retrieval.dense(_vectors(spark, d), _every_vector_query(spark, d), TOP_K)
-
-
-@_query
-def dense_topk_cosine_every(spark, d):
-    return retrieval.dense(_vectors(spark, d), _every_vector_query(spark, d), TOP_K, "cosine")
-
-
-@_query
-def rrf_fusion_every(spark, d):
-    return retrieval.fuse(list(_every_legs(spark, d)))
-
-
-@_query
-def hybrid_search_every(spark, d):
-    s, v = _every_legs(spark, d)
-    return retrieval.hybrid(s, v, TOP_K)
-
-
-@_query
-def hybrid_postfilter_every(spark, d):
-    s, v = _every_legs(spark, d)
-    c = _chunks(spark, d)
-    return retrieval.hybrid(s, v, TOP_K, post_filter=lambda r: retrieval.metadata_filter(r, c, {"doc_type": "md"}))
+    return store.cut_lineage(retrieval.sparse(_index(c), text, 2 * TOP_K)), store.cut_lineage(retrieval.dense(_vectors(spark, d), _vector_queries(spark, d), 2 * TOP_K))
 
 
 @_query
 def rrf_fusion(spark, d):
-    s, v = _legs(spark, d)
-    return retrieval.fuse([s, v])
+    return retrieval.fuse(list(_legs(spark, d)))
 
 
 @_query
@@ -180,28 +154,34 @@ def hybrid_search(spark, d):
 @_query
 def hybrid_postfilter(spark, d):
     s, v = _legs(spark, d)
-    c = _chunks(spark, d)
+    c = _t(spark, d, "chunks")
     return retrieval.hybrid(s, v, TOP_K, post_filter=lambda r: retrieval.metadata_filter(r, c, {"doc_type": "md"}))
 
 
+@_query
+def leg_counts(spark, d):
+    s, v = _legs(spark, d)
+    return retrieval.leg_counts(s, v, retrieval.hybrid(s, v, TOP_K))
+
+
 @_query
 def lexical_rerank(spark, d):
     c = _chunks(spark, d)
     asked = _asked(spark, d)
-    hits = retrieval.sparse(index.build(c), asked, TOP_K)
+    hits = retrieval.sparse(_index(c), asked, TOP_K)
     return retrieval.rerank(hits, retrieval.lexical_scores(hits, asked, c), 5)
 
 
 @_query
 def citations(spark, d):
     c = _chunks(spark, d)
-    return retrieval.citations(retrieval.sparse(index.build(c), _asked(spark, d), 5), c)
+    return retrieval.citations(retrieval.sparse(_index(c), _asked(spark, d), 5), c)
 
 
 @_query
 def markdown_references(spark, d):
     c = _chunks(spark, d)
-    return retrieval.markdown_references(retrieval.citations(retrieval.sparse(index.build(c), _asked(spark, d), 5), c))
+    return retrieval.markdown_references(retrieval.citations(retrieval.sparse(_index(c), _asked(spark, d), 5), c))
 
 
 @_query
@@ -210,12 +190,6 @@ def chunk_ids(spark, d):
     return c.select("chunk_id", ids.chunk_id(F.col("source_ref"), F.col("chunk_index"), F.col("text")).alias("computed"), ids.record_id(F.col("metadata")["source_path"], F.col("chunk_index"), F.col("text")).alias("record_id"))
 
 
-@_query
-def uuid5_ids(spark, d):
-    c = _t(spark, d, "collections").select("collection")
-    return c.select("collection", ids.uuid5(ids.NAMESPACE_URL, F.concat(F.lit("collection:"), F.col("collection"))).alias("uuid"), ids.store_name(F.col("collection")).alias("store"))
-
-
 @_query
 def safe_names(spark, d):
     t = _tasks(spark, d)
@@ -240,11 +214,6 @@ def tags_topn(spark, d):
     return transforms.tags(_chunks(spark, d))
 
 
-@_query
-def first_lines(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.truncate(T.first_line(F.col("text")), 80).alias("title"))
-
-
 @_query
 def refined_texts(spark, d):
     return transforms.refine(_chunks(spark, d)).select("chunk_id", "refined_by", "text")
@@ -393,10 +362,10 @@ def batch_admission(spark, d):
 
 @_query
 def access_filter(spark, d):
-    """Documents that the keys of query results may see: those of collections they asked in."""
-    q = _t(spark, d, "query_results")
-    grants = q.where("api_key_id IS NOT NULL").select(F.col("api_key_id").alias("key_id"), "collection").distinct()
-    return _t(spark, d, "documents").select("collection").join(grants, "collection").groupBy("key_id").agg(F.count("*").alias("documents"))
+    """How many documents the keys of query results may see: those of collections they asked in."""
+    grants = _t(spark, d, "query_results").where("api_key_id IS NOT NULL").select(F.col("api_key_id").alias("key_id"), "collection").distinct()
+    n = _t(spark, d, "documents").groupBy("collection").agg(F.count("*").alias("n"))  # counted before the join
+    return grants.join(n, "collection").groupBy("key_id").agg(F.sum("n").alias("documents"))
 
 
 @_query
@@ -406,7 +375,7 @@ def eval_batch(spark, d):
     asked = _asked(spark, d)
     codes = lambda x: F.explode(F.array_distinct(F.regexp_extract_all(x, F.lit("[A-Z]{2}-[0-9]+"), F.lit(0)))).alias("code")
     golden = asked.select("query_id", "collection", codes(F.col("query_text"))).join(c.select("chunk_id", "collection", codes(F.col("text"))), ["collection", "code"])
-    return _r(evaluate.evaluate(retrieval.sparse(index.build(c), asked, TOP_K), golden.select("query_id", "chunk_id")), "mrr", "precision", "recall")
+    return _r(evaluate.evaluate(retrieval.sparse(_index(c), asked, TOP_K), golden.select("query_id", "chunk_id")), "mrr", "precision", "recall")
 
 
 @_query
@@ -419,10 +388,8 @@ def image_filter(spark, d):
 @_query
 def stage_elapsed(spark, d):
     """Events of a user as stages of a trace."""
-    e = _t(spark, d, "events")
-    stage = F.struct(F.col("event_type").alias("name"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    traces = e.groupBy(F.col("user_id").alias("trace_id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", stage.alias("s")))).alias("a"))
-    return _r(metrics.stage_times(traces.select("trace_id", F.transform("a", lambda x: x.s).alias("stages"))), "elapsed")
+    e = _t(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_type").alias("stage"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "event_id")
+    return _r(metrics.entry_times(e, "ts", ["ts", "event_id"]), "elapsed")
 
 
 @_query
@@ -442,8 +409,12 @@ def tumbling_events(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import service
+
+    return {**_QUERIES, **service.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    from . import service
+
+    return {**{k: v for k, v in SQL.items() if k in _QUERIES}, **service.SQL}

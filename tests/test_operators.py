@@ -110,7 +110,7 @@ def test_metrics_edges(spark):
     ).withColumns({"created_at": F.lit(5.0), "source": F.lit("mcp")})
     r = metrics.query_metrics(metrics.decoded(q), ["collection"]).first()
     assert (r.queries, r.effective_rate, r.no_result_rate, r.degraded_rate, r.p95_ms) == (2, 50.0, 50.0, 50.0, 10.0)
-    assert rows(metrics.trend(metrics.decoded(q), "created_at", 0.0, 10.0, 2), "bucket") == [(0, 0, None), (1, 2, 10.0)]
+    assert rows(metrics.trend(metrics.decoded(q), "created_at", 0.0, 10.0, 2), "bucket") == [(0, 0, None, None), (1, 2, 50.0, 10.0)]
 
 
 def test_chunk_invariants(spark):
@@ -162,24 +162,120 @@ def test_streams(spark, tmp_path):
     q = streams.deduplicated(events, "id", "ts").writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("dedup").count() == 2
-    u = streams.upsert_stream(events, str(tmp_path / "out"), ["id"], str(tmp_path / "cp"))
-    u.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out" / "v0")).count() == 2
+    more = [("a", "2024-01-01 00:00:09"), ("c", "2024-01-01 00:00:02")], [("b", "2024-01-01 00:30:00"), ("d", "2024-01-01 00:00:03")]
+    for rows in (*more, more[0]):  # three batches, the last one a repeat
+        spark.createDataFrame(rows, "id string, ts string").select("id", F.to_timestamp("ts").alias("ts")).write.mode("append").parquet(src)
+        streams.upsert_stream(events, str(tmp_path / "out"), ["id"], [F.desc("ts")], str(tmp_path / "cp")).awaitTermination(60)
+    got = {(r.id, str(r.ts)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", "2024-01-01 00:00:09"), ("b", "2024-01-01 01:00:00"), ("c", "2024-01-01 00:00:02"), ("d", "2024-01-01 00:00:03")}
 
 
 def test_every_fiftieth_chunk_asks(spark):
     """The queries grow with the data; each has the nearest vectors of its collection."""
-    from zlib import crc32
+    from hashlib import md5
 
     from millrace import queries
 
     d = "/root/testdata/sf0.001"
     v = {r.chunk_id: r for r in queries._vectors(spark, d).collect()}
-    asked = {i for i in v if crc32(i.encode()) % 50 == 0}
+    asked = {i for i in v if int(md5(i.encode()).hexdigest()[:8], 16) % 50 == 0}
     got = {}
-    for r in queries.queries()["dense_topk_every"](spark, d).collect():
+    for r in queries.queries()["dense_topk"](spark, d).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
     assert asked and set(got) == asked
     for q in asked:
         near = sorted((round(sum((a - b) ** 2 for a, b in zip(v[q].dense_vector, x.dense_vector, strict=True)), 5), i) for i, x in v.items() if x.collection == v[q].collection)
         assert {i for _, i in got[q]} == {i for _, i in near[:10]}
+
+
+def test_places_in_order_against_plain_version(spark):
+    import random
+
+    rng = random.Random(7)
+    groups = {g: [rng.choice([rng.lognormvariate(4, 2), 5.0, 0.0, -3.5, 1e300]) for _ in range(rng.randint(1, 300))] for g in ("a", "b", None)}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)], "g string, v double")
+    got = {r.g: (r.p50, r.p95, r.p100) for r in metrics.exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    assert got == {g: tuple(sorted(vs)[max(1, math.ceil(round(q * len(vs), 9))) - 1] for q in (0.5, 0.95, 1.0)) for g, vs in groups.items()}
+
+
+def test_products_of_blocks_against_plain_version(spark, monkeypatch):
+    import random
+
+    from millrace.operators import blocks
+
+    monkeypatch.setattr(blocks, "ITEMS", 7)
+    monkeypatch.setattr(blocks, "QUERIES", 3)
+    rng = random.Random(5)
+    items = [(rng.choice("cd"), f"i{n:02d}", [float(rng.randint(-2, 2)) for _ in range(3 if n else 2)]) for n in range(40)]
+    asked = [(rng.choice("cd"), f"q{n}", [float(rng.randint(-2, 2)) for _ in range(3)]) for n in range(8)]
+    v = spark.createDataFrame(items, "collection string, chunk_id string, dense_vector array<float>")
+    q = spark.createDataFrame(asked, "collection string, query_id string, query_vector array<float>")
+    got = {}
+    for r in retrieval.dense(v, q, 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, r.distance))
+    for c, i, x in asked:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), n) for k, n, y in items if k == c and len(y) == 3)[:4]
+        assert sorted(got.get(i, [])) == [(k, n, d) for k, (d, n) in enumerate(near, 1)]
+    assert retrieval.dense(v.where("false"), q, 4).count() == 0 and retrieval.dense(v, q, 0).count() == 0
+
+
+def test_index_stored_and_loaded(spark, chunks, tmp_path):
+    path = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, path)
+    index.stored(index.build(chunks.where("chunk_id < 'c'"), k1=1.2, b=0.5), path)
+    merged = index.merge_or_build(spark, path, chunks.where("chunk_id > 'a'"))
+    assert (merged.k1, merged.b) == (1.2, 0.5)
+    assert rows(merged.terms, "term") == rows(index.build(chunks).terms, "term")
+
+
+def test_ingest_into_stores(spark, tmp_path):
+    docs = spark.createDataFrame([("h", "c", "p", "md", "Some text. More text."), ("e", None, "q", "md", "")], "doc_hash string, collection string, source_path string, doc_type string, text string")
+    folder = str(tmp_path / "stores")
+    model = lambda c: c.select("chunk_id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("dense_vector"))
+    assert ingest.ingest_into(docs, folder, at=1.0, embedding=model, width=2) == {"documents": 2, "chunks": 1}
+    assert ingest.ingest_into(docs, folder, at=2.0) == {"documents": 0, "chunks": 0}
+    other = docs.withColumn("doc_hash", F.concat("doc_hash", F.lit("2"))).where("text <> ''")
+    with pytest.raises(Exception, match="no usable vector"):
+        ingest.ingest_into(other, folder, at=3.0, embedding=model, width=3)
+    history = {(r.collection, r.file_hash): r.status for r in spark.read.parquet(f"{folder}/history").collect()}
+    assert history == {("c", "h"): "success", ("default", "e"): "success", ("c", "h2"): "failed"}
+    assert ingest.ingest_into(other, folder, at=4.0)["documents"] == 1  # what failed is tried again
+    assert index.load(spark, f"{folder}/index").corpus.where("collection = 'c'").first().n_docs == 2
+    with pytest.raises(ValueError):
+        ingest.provider("splitter", "semantic")
+
+
+def test_markdown_rejects_and_page_lines(spark, tmp_path):
+    for name, data in {"bin.md": b"a\x00b", "bad.md": b"\xff\xfe\xfa", "empty.md": b" \n", "ok.md": b"# T\nx"}.items():
+        (tmp_path / name).write_bytes(data)
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in files.markdown_rejects(spark, str(tmp_path)).collect()} == {"bin.md": "binary", "bad.md": "not UTF-8", "empty.md": "empty"}
+    assert [r.title for r in files.read_documents(spark, str(tmp_path), str(tmp_path / "ok.md")).collect()] == ["T", "T"]
+    (tmp_path / "x.pages").write_bytes(b"b|a")
+    lines = lambda data: [(1, float(-i), 0.0, "text", t) for i, t in enumerate(data.decode().split("|"))]
+    assert [r.text for r in files.read_page_lines(spark, str(tmp_path), ".pages", lines).collect()] == ["a\nb"]
+
+
+def test_rerank_takes_the_best_of_several_scores(spark):
+    r = spark.createDataFrame([("q", c, i, 1.0, "fusion") for i, c in enumerate("ab", 1)], "query_id string, chunk_id string, rank int, score double, source string")
+    s = spark.createDataFrame([("q", "b", 0.1), ("q", "b", 0.9), ("q", "a", 0.5)], "query_id string, chunk_id string, new_score double")
+    assert rows(retrieval.rerank(r, s, 2).select("rank", "chunk_id", "score"), "rank") == [(0, "b", 0.9), (1, "a", 0.5)]
+
+
+def test_traces_are_searched_by_values(spark):
+    stage = "array<struct<name:string,ts:double,event:string>>"
+    t = spark.createDataFrame([("a", [("dense", 1.0, "Store_Error")]), ("b", [("sparse", 1.0, None)]), ("c", None)], f"trace_id string, stages {stage}")
+    assert [r.trace_id for r in metrics.trace_search(t, "STORE").collect()] == ["a"] and metrics.trace_search(t, "event").count() == 0
+
+
+def test_model_answers(spark):
+    from millrace.functions import text as T
+
+    df = spark.createDataFrame([('```json\n{"title": "x", "n": 1}\n```', "so: [1, 2] ok"), ('{"title": "x"}', "none")], "a string, b string")
+    got = df.select(T.json_object(F.col("a"), "title string, n int").alias("o"), T.json_list(F.col("b"), "int").alias("l")).collect()
+    assert (got[0].o.title, got[0].o.n, got[0].l) == ("x", 1, [1, 2]) and got[1].o is None and got[1].l is None
+    c = spark.createDataFrame([("a", "one two"), ("b", None)], "chunk_id string, text string")
+    r = {x.chunk_id: (x.refined_by, x.refine_reason, x.text) for x in transforms.refine(c, lambda t: F.concat(t, F.lit("!")), 0.5).collect()}
+    assert r == {"a": ("rule", "too little changed", "one two"), "b": ("skipped", "blank", None)}
+    i = spark.createDataFrame([("i",)], "image_id string")
+    assert transforms.caption(i).first().skipped == "no model" and len(transforms.caption(i, lambda x: F.repeat(x, 900)).first().caption) == 500
