@@ -2,7 +2,9 @@
 
 A bounded sample fits coarse centroids and, on what is left after subtracting
 the nearest one, a product quantiser.  Every vector is stored in the list of
-its nearest centroid and searched for in its nearest few lists.  In a list the
+its nearest centroid and searched for in its nearest few lists.  Equal vectors
+are stored and searched for once, under the smallest id that holds them; what
+is found is handed to all of these at the end.  In a list the
 codes are scored with asymmetric distance tables (the query is not quantised),
 and what scores high enough is reranked with the exact vectors.
 """
@@ -14,13 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import bounded_rows, cut_lineage, spread
 
-#: Vectors that centroids and codebooks are fitted on.
+#: Vectors that centroids and codebooks are fitted on, and for each list at least.
 SAMPLE_ROWS = 20_000
+SAMPLE_OF_LIST = 8
+#: More lists than this are fitted in two steps: groups, then the lists of each group.
+FLAT_LISTS = 4096
 #: Vectors a list is meant to hold; the number of lists follows the input.
 LIST_ROWS = 6_000
 #: A list with more than this many times LIST_ROWS is cut into slices.
@@ -56,16 +61,27 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit:
     return centre.astype(np.float32)
 
 
+def _coarse(x: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """Centroids of the lists."""
+    if lists <= FLAT_LISTS:
+        return _kmeans(x, lists, 8, rng, unit=True)
+    top = _kmeans(x, round(lists**0.5), 8, rng, unit=True)
+    near = np.concatenate([(x[i : i + 65_536] @ top.T).argmax(1) for i in range(0, len(x), 65_536)])
+    parts = [(x[near == t], round(lists * float((near == t).mean()))) for t in range(len(top))]
+    return np.concatenate([_kmeans(part, max(1, k), 8, rng, unit=True) for part, k in parts if len(part)])
+
+
 class Model:
     """Coarse centroids and the codebooks of residuals."""
 
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.centroids = _kmeans(sample, lists, 8, rng, unit=True)
-        near = (sample @ self.centroids.T).argmax(1)
-        self.share = np.bincount(near, minlength=lists) / len(sample)
+        self.centroids = _coarse(sample, lists, rng)
+        near = np.concatenate([(sample[i : i + 8192] @ self.centroids.T).argmax(1) for i in range(0, len(sample), 8192)])
+        self.share = np.bincount(near, minlength=len(self.centroids)) / len(sample)
         rest = sample - self.centroids[near]
         width = sample.shape[1] // SUBSPACES
+        rest = rest[:: max(1, len(rest) // SAMPLE_ROWS)]
         self.books = np.stack([_kmeans(rest[:, m * width : (m + 1) * width], CODES, 5, rng, unit=False) for m in range(SUBSPACES)])
 
     def encode(self, x: np.ndarray, near: int) -> np.ndarray:
@@ -213,23 +229,27 @@ def nearest(
     similar come out, each with the rank it has among all: those that outrank it
     are more similar still, so the rest need not be shuffled.
 
-    Centroids and codebooks are fitted on ``sample_rows`` vectors.  Lists hold
+    Centroids and codebooks are fitted on ``sample_rows`` vectors, or
+    SAMPLE_OF_LIST for each list if these are more.  Lists hold
     about ``list_rows``; ``probes`` of them are searched, or as many as a sample
-    of queries needs, see :func:`_probes`. Longer ones (one vector repeated by a third of all
-    rows) are cut into slices which every query of the list visits.
+    of queries needs, see :func:`_probes`.  Longer ones are cut into slices which
+    every query of the list visits.  A vector that a third of all rows hold is
+    one row of the index.
     """
     spark = records.sparkSession
     vectors = usable_vectors(spread(records.select(*dict.fromkeys([id_col, vector_col, *([time_col] if time_col else [])]))), id_col=id_col, vector_col=vector_col, time_col=time_col, width=width)
     kind = records.schema[id_col].dataType.simpleString()
     total = records.count()
+    vectors, members = _once(vectors)
     out_schema = f"id {kind}, neighbour {kind}, similarity float, rank int"
+    lists = max(1, round(total / list_rows))
+    sample_rows = max(sample_rows, SAMPLE_OF_LIST * lists)
     share = min(1.0, 1.5 * sample_rows / max(total, 1))
     picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select("vec").limit(sample_rows).toArrow()
     if picked.num_rows == 0:
         return spark.createDataFrame([], out_schema)
     sample = _matrix(picked.column("vec").combine_chunks(), width)
-    lists = max(1, round(total / list_rows))
-    model = Model(sample, min(lists, max(1, len(sample) // 8)))
+    model = Model(sample, min(lists, max(1, len(sample) // SAMPLE_OF_LIST)))
     slices = np.maximum(1, np.ceil(model.share * total / (SLICE_FACTOR * list_rows))).astype(np.int64)
     first_slice = np.concatenate([[0], np.cumsum(slices)])
     asked = min(probes, len(model.centroids))
@@ -331,9 +351,45 @@ def nearest(
     merged = local.groupBy("id").agg(
         F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k).alias("best")
     )
+    if members is not None:
+        merged = _handed_out(merged, members, k)
     return merged.select("id", F.posexplode("best").alias("p", "b")).select("id", F.col("b.n").alias("neighbour"), (-F.col("b.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
 
 
+def _once(vectors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Each vector once, under the smallest id that holds it, and ``id, rep`` of all ids whose vector others hold too (None if there are none).
+
+    Vectors are told apart by 128 bits of hashes.
+    """
+    keyed = vectors.withColumns({"a": F.xxhash64("vec"), "b": F.xxhash64("vec", F.lit(1))})
+    shared = cut_lineage(keyed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select("a", "b", "rep"))
+    n = shared.count()
+    if not n:
+        return vectors, None
+    small = F.broadcast(shared) if n <= _MAX_CONFLICTS else shared
+    members = cut_lineage(keyed.select("id", "a", "b").join(small, ["a", "b"]).select("id", "rep").distinct())
+    return keyed.join(small, ["a", "b"], "left").where("rep IS NULL OR id = rep").select("id", "vec"), members
+
+
+def _handed_out(merged: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """``id, best`` of all ids, from those of the vectors: a vector stands for the smallest ids that hold it, and its holders are most similar to each other.
+
+    No more than k + 1 ids of a vector are brought together.
+    """
+    salted = Window.partitionBy("rep", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    first = members.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1)
+    first = cut_lineage(first.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    each = merged.select("id", F.explode("best").alias("e")).select(F.col("id").alias("rep"), F.col("e.s").alias("s"), F.col("e.n").alias("n"))
+    held = first.select(F.col("rep").alias("n"), "ids")
+    others = each.join(held, "n", "left").select("rep", "s", F.explode(F.coalesce("ids", F.array("n"))).alias("n"))
+    own = first.select("rep", F.lit(-1.0).cast(each.schema["s"].dataType).alias("s"), F.explode("ids").alias("n"))
+    # a holder itself may be among them, hence one more
+    best = others.unionByName(own).groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("s", "n"))), 1, k + 1).alias("best"))
+    asked = members.join(best, "rep").select("id", "best").unionByName(best.join(first, "rep", "left_anti").select(F.col("rep").alias("id"), "best"))
+    return asked.select("id", F.slice(F.filter("best", lambda e: e.n != F.col("id")), 1, k).alias("best"))
+
+
 def _probes(vectors: DataFrame, model: Model, queries: np.ndarray, k: int) -> int:
     """Lists to search so that LIST_RECALL of the k nearest of the queries, found among all vectors, are in them.
 

@@ -57,8 +57,30 @@ def test_a_third_of_all_rows_alike(spark):
     got = {}
     for r in knn.nearest(df, list_rows=300).where("id like 'h%'").collect():
         got.setdefault(r.id, []).append(r.neighbour)
-    # all are equally similar: which ten of them come out is a matter of rounding between slices
-    assert len(got) == 2000 and all(len(set(n)) == 10 and i not in n and all(x[0] == "h" for x in n) for i, n in got.items())
+    ids = [f"h{i:05d}" for i in range(11)]
+    assert len(got) == 2000 and all(n == [x for x in ids if x != i][:10] for i, n in got.items())
+
+
+def test_equal_vectors_stand_for_all_their_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 64)).round(1)
+    x = np.concatenate([x, x[:20], x[:20], x[:3]])
+    ids = [f"c{i:03d}" for i in rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)], "chunk_id string, dense_vector array<float>, embedded_at int")
+    want = brute(ids, (x / np.linalg.norm(x, axis=1, keepdims=True)), 10)
+    got = {}
+    for r in knn.nearest(df, list_rows=10_000).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert set(got) == set(ids) and sum(len(set(got[i]) & set(want[i])) for i in ids) >= 0.98 * 10 * len(ids)
+    assert all(len(n) == 10 and i not in n for i, n in got.items())
+
+
+def test_many_lists_are_fitted_in_two_steps(monkeypatch):
+    monkeypatch.setattr(knn, "FLAT_LISTS", 20)
+    x = np.random.default_rng(9).standard_normal((2000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = knn.Model(x, 100)
+    assert 80 <= len(model.centroids) <= 120 and abs(model.share.sum() - 1) < 1e-6
 
 
 def shingles(text, n=3):
