@@ -344,6 +344,8 @@ def nearest(
             {"id": pa.array(asked_names[q].tolist(), ids.type), "neighbour": pa.array(order[r].tolist() if len(d) else [], ids.type), "similarity": pa.array(s.astype(np.float32))}
         )
 
+    # a partition for each slice: what a task reads does not grow with the input
+    routed = routed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(list_of)), "slice")
     local = routed.groupBy("slice").applyInArrow(search, f"id {kind}, neighbour {kind}, similarity float")
     if least_similarity is not None:
         local = _exact_similarity(cut_lineage(local), vectors, kind, width).where(F.col("similarity") >= least_similarity)

@@ -38,14 +38,16 @@ BLOCK_PAIRS = 300
 BITS = 1024
 FANOUT = 8
 
-_WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
-_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
+_WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
+_TO_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
 def words_of(text: str) -> list[str]:
     low = text.lower()
-    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
+    return low.translate(_TO_BLANKS).split() if low.isascii() else _WORD.findall(low)
 
 
 class _Hashes(dict):
