@@ -2,59 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors can reach, taken from ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on a single machine (tests) a
-    temporary folder is made and set as the session's checkpoint folder; on a
-    cluster that is an error.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return folder or current.get()
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as a columnar table and read it back.
-
-    The result does not depend on any executor's memory or local disk, so the
-    stages after it survive the loss of executors without recomputing those
-    before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pyspark.sql import DataFrame
 
+from ..sources.store import cut_lineage, ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once a session, so that they need no copy of it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    place = tempfile.mkdtemp(prefix="millrace-package-")
-    name = os.path.basename(package)
-    sc.addPyFile(shutil.make_archive(os.path.join(place, name), "zip", os.path.dirname(package), name))
-    sc._millrace_shipped = True
+__all__ = ["bounded_rows", "cut_lineage", "ship", "spread", "unzipped", "zipped"]
 
 
 def spread(df: DataFrame) -> DataFrame:
