@@ -217,7 +217,7 @@ def furniture(lines: list[str]) -> set[int]:
             if 0 <= k < len(filled):
                 sides.add(filled[k])
     if not chains:
-        sides |= {i for i in filled if _looks_like_title(lines, i) or lines[i].count("|") == 2}
+        sides |= {i for i in filled if _looks_like_title(lines, i) or _in_parts(lines[i])}
     candidates = sorted(i for i in sides if i not in out and len(lines[i].strip()) <= 80)
     groups: list[list[int]] = []
     for i in candidates:
@@ -235,6 +235,12 @@ def furniture(lines: list[str]) -> set[int]:
     return out
 
 
+def _in_parts(line: str) -> bool:
+    """Whether a line has a few parts set apart by bars, as headers do and rows of tables, which have bars at their ends, don't."""
+    line = line.strip()
+    return 1 <= line.count("|") <= 3 and "|" not in (line[0], line[-1])
+
+
 def _looks_like_title(lines: list[str], i: int) -> bool:
     words = lines[i].split()
     return 1 < len(words) <= 6 and len(lines[i]) < 48 and not lines[i].rstrip().endswith((".", ",", ";", ":", "?", "!", "-")) and words[0][:1].isupper() and words[-1][:1].isupper() and all(w.isalpha() for w in words[1:-1])
@@ -411,8 +417,6 @@ class Reader:
             elif not out:
                 odd = [i for i, c in enumerate(low) if c in "!|"]
                 out = [("", odd[0])] if odd else None
-                if out is None and len(low) > 3 and self._foreign(low):
-                    out = [("", self._foreign(low) - 1)]
         if len(self._known) > 200_000:
             self._known.clear()
         self._known[word] = out
@@ -466,13 +470,6 @@ class Reader:
         bare = word.strip("!|(").lower()
         return bare not in self.lexicon and (word[0] in "!|" or bool(edits(word.lower(), self.lexicon)))
 
-    def _foreign(self, low: str) -> int:
-        """1-based position of a letter that takes an accent no word of the lexicon with that name's other letters has."""
-        for i, c in enumerate(low):
-            if c in "éèêëáàâåíìîïóòôøúùç":
-                return i + 1
-        return 0
-
     def best(self, word: str, choices: list[tuple[str, int]], around: list[str]) -> str:
         """The most plausible reading in its context, in the letter case of the word."""
         choices = [c for c in choices if c[0]]

@@ -159,3 +159,12 @@ def test_more_subjects_than_fit_a_page(spark):
     lab = spark.createDataFrame([(i, NAMES[i % 2]) for i in range(20)], "doc_id int, subject string")
     got = {(r.doc_id, r.subject) for r in subjects.subjects_of(docs, s, lab).collect()}
     assert len(got & {(i, NAMES[i % 2]) for i in range(60)}) >= 57
+
+
+def test_unknown_accented_words_are_no_misreads():
+    import numpy as np
+
+    none = scans.Vectors([], np.zeros((0, 32), np.float32), np.zeros((0, 32), np.float32))
+    reader = scans.Reader({"winter": 5, "coffee": 4}, none)
+    assert reader.readings("Café") is None and reader.readings("wintér") == [("winter", 4)]
+    assert scans._in_parts("Plant | Manual | 2020") and not scans._in_parts("| a | b |")
