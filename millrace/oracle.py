@@ -191,3 +191,39 @@ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN small THEN 'size' WHEN row_n
 SELECT 'tasks' AS part, count(*) AS n FROM (SELECT h FROM a EXCEPT SELECT h FROM b) UNION ALL SELECT 'chunks', count(*) FROM (SELECT h FROM b EXCEPT SELECT h FROM a) UNION ALL SELECT 'both', count(*) FROM (SELECT h FROM a INTERSECT SELECT h FROM b)""",
     "tumbling_events": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+_WS = r"[\s\x0b\x{85}\p{Z}]"
+
+
+def _cut(text: str, most: int) -> str:
+    return f"CASE WHEN length({text}) <= {most} THEN {text} ELSE regexp_replace(substring({text}, 1, {most - 1}), '{_WS}+$', '') || '…' END"
+
+
+_BARE = f"lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')"
+#: Title, summary and tags: sentences end after a mark and white space, and at line ends.
+SQL["enriched_chunks"] = f"""{SQL['tags_topn'][: SQL['tags_topn'].index('SELECT chunk_id, list(term ORDER BY r) AS tags')].rstrip()}, tg AS (SELECT chunk_id, list(term ORDER BY r) AS tags FROM r WHERE r <= 5 GROUP BY chunk_id),
+s AS (SELECT chunk_id, list_filter(list_transform(string_split(text, chr(10)), {_BARE}), lambda x: x <> '')[1] AS title,
+  array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？]){_WS}+', '\\1' || chr(1), 'g'), '\\n{_WS}*', chr(1), 'g'), chr(1)), {_BARE}), lambda x: x <> '')[1:2], ' ') AS summary FROM c)
+SELECT s.chunk_id, coalesce({_cut('title', 80)}, '') AS title, coalesce({_cut('summary', 200)}, '') AS summary, coalesce(tags, []) AS tags FROM s LEFT JOIN tg ON tg.chunk_id = s.chunk_id"""
+
+_DIGIT, _WORDLIKE = r"\p{Nd}", r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_SIDE = r"[ \t\r\f\x0b\x{85}\p{Z}]"  # white space within a line
+_FENCE = r"(?s)```[A-Za-z0-9_+-]*\n.*?```"
+_NOISE = [
+    (r"(?s)<!--.*?-->", ""),
+    (r"!\[[^\n]*?\]\([^)]*\)", ""),
+    (rf"(?m)^{_WS}*[-*_]{{3,}}{_WS}*$", ""),
+    (rf"(?mi)^{_WS}*(?:[-–—]{_WS}*{_DIGIT}+{_WS}*[-–—]|{_DIGIT}+|Page{_WS}+{_DIGIT}+(?:{_WS}+of{_WS}+{_DIGIT}+)?){_WS}*$", ""),
+    (rf"(?m)^[A-Z][{_WORDLIKE} \-,&|]{{2,80}}$", ""),
+    (r"(?m)[ \t]+$", ""),
+    (r"[ \t]+", " "),
+    (rf"(?m)^{_SIDE}+|{_SIDE}+$", ""),
+    (r"\n{3,}", "\n\n"),
+]
+_CLEANED = f"regexp_replace(text, '{_FENCE}', chr(1), 'g')"
+for _pattern, _to in _NOISE:
+    _CLEANED = f"regexp_replace({_CLEANED}, '{_pattern}', '{_to}', 'g')"
+#: The rules of noise one after the other; fenced code is put back at the end.
+SQL["refined_texts"] = f"""WITH {_CHUNKS}, p AS (SELECT chunk_id, text, string_split({_CLEANED}, chr(1)) AS parts, regexp_extract_all(text, '{_FENCE}') AS kept, text IS NULL OR {_TRIM.format('text')} = '' AS blank FROM c),
+j AS (SELECT *, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(kept[i], '')), '') AS whole FROM p)
+SELECT chunk_id, CASE WHEN blank THEN 'skipped' ELSE 'rule' END AS refined_by, CASE WHEN blank THEN text ELSE {_TRIM.format('whole')} END AS text FROM j"""
