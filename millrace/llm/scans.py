@@ -31,6 +31,8 @@ from ._shared import cut_lineage, spread, unzipped as _unzip, zipped as _zip
 HYPHENS = "-­¬‐"
 #: A word is in the lexicon if so many unscanned documents have it.
 LEAST_DOCUMENTS = 2
+#: A word with so small a share of the documents of a word one glyph edit away counts as that word misread: about as often a page has one given glyph edit of a word.
+MISREAD_SHARE = 1 / 200
 #: Words a lexicon holds at most; the pages of a larger one are read in two halves, each with a lexicon of its own.
 LEXICON_WORDS = 250_000
 #: Halvings at most.
@@ -82,9 +84,14 @@ class _Blanks(dict):
 _TO_BLANKS = _Blanks()
 _EDGES = re.compile(r"(?<![^\s(\"'])[!|(][a-zà-ÿ]{2,}(?:[!|(][a-zà-ÿ]+)*|[a-zà-ÿ]{2,}\((?=[\s.,;:?]|$)")
 _COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]{2,}-[^\W\d_]{2,}(?![\w-])")
+#: Stretches of encoded data, and what their letters make at least one word of.
+_DATA = re.compile(r"[A-Za-z0-9+/]{60,}")
+LONG_WORD = 24
 _BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[!|])*)([{HYPHENS}])[ \t\r]*$")
 #: Identifiers, whose letters are spelt by no dictionary; one may end its line after the hyphen.
 _IDENTIFIER = re.compile(r"(?<![^\W_])[^\W\d_]+-(?:\d+(?![^\W_])|[ \t\r]*$)")
+#: A plain hyphen at a line's end before a letter.
+_PERHAPS_BROKEN = re.compile(r"-[ \t\r]*\n\s*[^\W\d_]")
 _GOES_ON = re.compile(r"\s*([^\W_](?:[^\W_]|[!|])*)")
 
 
@@ -151,11 +158,11 @@ def _letters(text: str) -> dict[str, int]:
     return Counter(text)
 
 
-def furniture(lines: list[str]) -> set[int]:
+def furniture(lines: list[str], laid_out: bool | None = None) -> set[int]:
     """Numbers (from 0) of running headers, footers and page numbers; empty if the text shows none.
 
     They are found by page numbers that count up or, where words are broken at
-    line ends, by titles that come again.
+    line ends (``laid_out``, if that is known), by titles that come again.
     """
     plain: dict[str, list[tuple[int, int]]] = {}
     beside: list[tuple[int, int]] = []
@@ -184,14 +191,14 @@ def furniture(lines: list[str]) -> set[int]:
         if m:
             beside.append((i, int(m[1])))
     chains = [_chain(beside, 4), *(_chain(v, 4) for v in plain.values())]
-    if column and not (any(len(c) >= 3 and column & set(c) for c in chains) and _laid_out(lines)):
+    if column and not (any(len(c) >= 3 and column & set(c) for c in chains) and (laid_out or _laid_out(lines))):
         plain["#"] = [x for x in plain["#"] if x[0] not in column]
         chains = [_chain(beside, 4), *(_chain(v, 4) for v in plain.values())]
     chains = [c for c in chains if len(c) >= 2]
     filled = [i for i, x in enumerate(lines) if x.strip()]
     if not chains:
         ends = {filled[0], filled[-1]} if filled else set()
-        laid_out = _laid_out(lines)
+        laid_out = laid_out or _laid_out(lines)
         one = [i for s, v in plain.items() if s != "#" for i, n in v if n < 2000 and (laid_out or (i in ends and s != "roman"))]
         if len(filled) < 4 or not (one or laid_out):
             return set()
@@ -266,10 +273,19 @@ def tokens(low: str) -> list[str]:
     return low.translate(_TO_BLANKS).split()
 
 
+def _undata(m: re.Match) -> str:
+    """Blank for encoded data, which has digits and letters of both cases; a long path or rule stays."""
+    x = m[0]
+    return " " if not x.islower() and not x.isupper() and any(map(str.isdigit, x)) and any(map(str.isupper, x)) else x
+
+
 def words_of(text: str) -> set[str]:
-    """Words of a text as the lexicon counts them, with the compounds spelt with a hyphen."""
+    """Words of a text as the lexicon counts them, with the compounds spelt with a hyphen. Encoded data has no words."""
     low = text.lower()
     out = set(tokens(low))
+    if max(map(len, out), default=0) > LONG_WORD and (bare := _DATA.sub(_undata, text)) != text:
+        low = bare.lower()
+        out = set(tokens(low))
     if "-" in low:
         out.update(_COMPOUND.findall(" ".join(w for w in low.split() if "-" in w)))
     return out
@@ -500,6 +516,23 @@ class Reader:
         low = part.lower()
         return [low, *(low[:i] + t + low[i + n :] for i in range(len(low)) for n in (1, 2) for t in GLYPHS.get(low[i : i + n], ()))]
 
+    def scanned(self, text: str) -> list[int] | None:
+        """As :func:`scanned`, also where only the lexicon tells that a word is broken by layout: it has the whole, and not as a compound."""
+        found = scanned(text)
+        return self.broken(text) if found is None and _PERHAPS_BROKEN.search(text) else found
+
+    def broken(self, text: str) -> list[int] | None:
+        """Numbers (from 0) of the furniture's lines if a word at a line's end is broken by layout as the lexicon has it."""
+        lines = text.split("\n")
+        for a, b in zip(lines, lines[1:], strict=False) if len(lines) >= 4 else ():
+            tail = _BROKEN.search(a) if a.rstrip()[-1:] == "-" else None
+            head = _GOES_ON.match(b) if tail and tail[1][-1].islower() else None
+            if head and head[1][0].islower():
+                apart, whole = (self.lexicon.get(f"{tail[1]}{h}{head[1]}".lower(), 0) for h in ("-", ""))
+                if whole * MISREAD_SHARE > apart:
+                    return sorted(furniture(lines, True))
+        return None
+
     def lines(self, text: str, furniture_lines: list[int], kinds_only: bool = True) -> tuple[list[tuple[int, str]], list[str], set[int], dict[int, bool]]:
         """((line from 1, kind), corrected lines, furniture, which lines end in a layout hyphen)."""
         lines = text.split("\n")
@@ -576,7 +609,7 @@ class Reader:
 
     def repair(self, text: str) -> str:
         """The text as continuous paragraphs; a text that is not from scanned pages stays as it is."""
-        furniture_lines = scanned(text)
+        furniture_lines = self.scanned(text)
         if furniture_lines is None:
             return text
         _, fixed, gone, hyphen = self.lines(text, furniture_lines, kinds_only=False)
@@ -606,7 +639,8 @@ class Reader:
 def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over all texts: ``id, text, furniture`` of those from scanned pages, ``word, n`` counted in the others.
 
-    Words are counted by task here.
+    Others of which a word may be broken by layout are there too, with null for
+    furniture: the lexicon decides.  Words are counted by task here.
     """
     kind = documents.schema[id_col].dataType.simpleString()
     rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL"))
@@ -631,6 +665,8 @@ def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     take.append(i), lines.append(found)
                 elif t:
                     counts.update(words_of(t))
+                    if _PERHAPS_BROKEN.search(t):
+                        take.append(i), lines.append(None)
             at = pa.array(take, pa.int64())
             k = len(take)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lines, pa.list_(pa.int32())), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
@@ -642,9 +678,9 @@ def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, f"id {kind}, text string, furniture array<int>, word string, n long"))
 
 
-def sought(text: str, furniture_lines: list[int]) -> set[str]:
+def sought(text: str, furniture_lines: list[int] | None) -> set[str]:
     """Words of a scanned text, with those its line ends may make, whose glyph edits a Reader looks up."""
-    gone = set(furniture_lines)
+    gone = set(furniture_lines or ())
     lines = [x for i, x in enumerate(text.lower().split("\n")) if i not in gone and x.strip()]
     body = "\n".join(lines)
     out = set(tokens(body))
@@ -702,6 +738,16 @@ def _lexicon(read: DataFrame, pages: DataFrame) -> DataFrame:
     return parts.join(asked, "h", "left_semi").groupBy("word", "n").agg(F.count("*").alias("there"), F.max("k").alias("k")).where("there = k").select("word", "n")
 
 
+def trusted(lexicon: dict[str, int]) -> dict[str, int]:
+    """The lexicon without words that are rather a much more frequent word misread, in scanned texts that were not seen to be.
+
+    It goes by shares, so that the more documents there are the misread words
+    do not come to count as known.
+    """
+    most = max(lexicon.values(), default=0) * MISREAD_SHARE
+    return {w: n for w, n in lexicon.items() if n >= most or not any(lexicon[r] * MISREAD_SHARE > n for r, _ in edits(w, lexicon))}
+
+
 class _Unknown(dict):
     """Numbers of words; -1 for those without."""
 
@@ -833,7 +879,7 @@ def _vectors(documents: DataFrame, text_col: str, lexicon: dict[str, int], round
 
 
 def _parts(documents: DataFrame, id_col: str, text_col: str) -> list[tuple[Column, DataFrame, Broadcast]]:
-    """(condition on the id, scanned texts that meet it, their Reader); one part unless the lexicon of all is too large."""
+    """(condition on the id, scanned texts and others that may be, if they meet it, their Reader); one part unless the lexicon of all is too large."""
     spark = documents.sparkSession
     read = _read(documents, id_col, text_col)
     every = read.where("text IS NOT NULL").select("id", "text", "furniture")
@@ -847,7 +893,7 @@ def _parts(documents: DataFrame, id_col: str, text_col: str) -> list[tuple[Colum
             open_ += [(bits + 1, value), (bits + 1, value + (1 << bits))]
             continue
         rows = words.toArrow()
-        lexicon = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+        lexicon = trusted(dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True)))
         out.append((mine, pages, spark.sparkContext.broadcast(Reader(lexicon, _vectors(documents, text_col, lexicon)))))
     return out
 
@@ -867,7 +913,8 @@ def noisy_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for b in batches:
                 take, line, kinds = [], [], []
                 for i, (t, gone) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                    for n, k in reader.value.lines(t, gone)[0]:
+                    gone = reader.value.broken(t) if gone is None else gone
+                    for n, k in reader.value.lines(t, gone)[0] if gone is not None else ():
                         take.append(i), line.append(n), kinds.append(k)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(take, pa.int64())), pa.array(line, pa.int32()), pa.array(kinds, pa.string())], names=["id", "line_no", "kind"]

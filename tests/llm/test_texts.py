@@ -168,3 +168,29 @@ def test_unknown_accented_words_are_no_misreads():
     reader = scans.Reader({"winter": 5, "coffee": 4}, none)
     assert reader.readings("Café") is None and reader.readings("wintér") == [("winter", 4)]
     assert scans._in_parts("Plant | Manual | 2020") and not scans._in_parts("| a | b |")
+
+
+def test_a_common_misread_is_not_known_however_often_it_is_met(spark):
+    assert scans.trusted({"supplier": 600_000, "supp1ier": 90, "modern": 900, "modem": 40}) == {"supplier": 600_000, "modern": 900, "modem": 40}
+    clean = [(i, " ".join(SENTENCES) + f" {i}") for i in range(600)]
+    missed = [(1000 + i, "Nobody could exp1ain why the supp1ier moved.") for i in range(2)]  # scanned, but nothing shows it
+    docs = spark.createDataFrame([*clean, *missed, (50, page_text())], "doc_id int, text string")
+    got = {r.line_no for r in scans.noisy_lines(docs).where("doc_id = 50 AND kind = 'misread'").collect()}
+    assert got == {4, 5, 10, 11, 16, 17}
+
+
+def test_encoded_data_has_no_words():
+    data = "blJw3SQQeEPqBsfAsD23Jr+3C6Al/CWZYvRQeXgINbJhWGddZNBo8riS9Y7K9A0FdDEeMPyUNJ/fo/CgaWBntvIMX+2KvYnlN"
+    assert scans.words_of(f"the data:image/png;base64,{data} winter") == {"the", "data", "image", "png", "base64", "winter"}
+    path = "/".join(["winter", "report", "supplier", "register", "notice", "transformer", "kilograms"])
+    assert scans.words_of(path) == set(path.split("/"))
+
+
+def test_one_broken_word_tells_a_scanned_text_if_the_lexicon_knows_it(spark):
+    clean = [(i, " ".join(SENTENCES) + f" {i}") for i in range(5)]
+    broken = "Every transformer carries the mark and the gen-\nerator can transmit again.\nA register was kept for the supp1ier\nand the national network."
+    compound = "Every transformer carries the mark and a hand-\nwritten register was kept.\nThe generator can transmit for the 5upplier\nand the national network."
+    docs = spark.createDataFrame([*clean, (50, broken), (51, compound)], "doc_id int, text string")
+    assert {tuple(r) for r in scans.noisy_lines(docs).collect()} == {(50, 1, "hyphen"), (50, 3, "misread")}
+    texts = {r.doc_id: r.text for r in scans.repaired_texts(docs).collect()}
+    assert texts[51] == compound and "the generator can transmit again. A register was kept for the supplier and" in texts[50]
