@@ -34,6 +34,9 @@ SLICE_FACTOR = 3
 PROBES = 4
 LIST_RECALL = 0.97
 SAMPLE_QUERIES = 256
+#: The same where only neighbours at least so similar come out: most queries have none.
+LIMIT_RECALL = 0.99
+LIMIT_QUERIES = 1024
 SUBSPACES = 16
 CODES = 256
 #: Steps of a distance table's entries for 1. Residuals are at most 2 long, so sums stay below 2**15.
@@ -232,7 +235,7 @@ def nearest(
     Centroids and codebooks are fitted on ``sample_rows`` vectors, or
     SAMPLE_OF_LIST for each list if these are more.  Lists hold
     about ``list_rows``; ``probes`` of them are searched, or as many as a sample
-    of queries needs, see :func:`_probes`.  Longer ones are cut into slices which
+    of queries needs for what comes out, see :func:`_probes`.  Longer ones are cut into slices which
     every query of the list visits.  A vector that a third of all rows hold is
     one row of the index.
     """
@@ -254,7 +257,7 @@ def nearest(
     first_slice = np.concatenate([[0], np.cumsum(slices)])
     asked = min(probes, len(model.centroids))
     if asked < len(model.centroids):
-        asked = max(asked, _probes(vectors, model, sample[:SAMPLE_QUERIES], k))
+        asked = max(asked, _probes(vectors, model, sample[: SAMPLE_QUERIES if least_similarity is None else LIMIT_QUERIES], k, least_similarity))
     shared = spark.sparkContext.broadcast(model)  # a function of sample_rows and the number of lists
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,9 +395,11 @@ def _handed_out(merged: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return asked.select("id", F.slice(F.filter("best", lambda e: e.n != F.col("id")), 1, k).alias("best"))
 
 
-def _probes(vectors: DataFrame, model: Model, queries: np.ndarray, k: int) -> int:
+def _probes(vectors: DataFrame, model: Model, queries: np.ndarray, k: int, least_similarity: float | None = None) -> int:
     """Lists to search so that LIST_RECALL of the k nearest of the queries, found among all vectors, are in them.
 
+    With ``least_similarity`` it is LIMIT_RECALL of those at least so similar:
+    they lie in nearer lists than the k nearest do.
     Vectors equal to a query are in its own list anyhow and don't count.
     """
     shared = vectors.sparkSession.sparkContext.broadcast((model.centroids, queries))
@@ -407,10 +412,16 @@ def _probes(vectors: DataFrame, model: Model, queries: np.ndarray, k: int) -> in
             for at in range(0, whole.num_rows, 4096):
                 x = _matrix(whole.slice(at, 4096).column(0), width)
                 s = q @ x.T
-                s = np.concatenate([best, np.where(s > 1 - 1e-5, -2, s)], axis=1)
-                own = np.concatenate([home, np.broadcast_to((x @ centroids.T).argmax(1), (len(q), len(x)))], axis=1)
+                s[s > 1 - 1e-5] = -2
+                row = np.arange(len(q)) if least_similarity is None else np.flatnonzero(s.max(1) >= least_similarity)
+                if not len(row):
+                    continue
+                own = np.concatenate([home[row], np.broadcast_to((x @ centroids.T).argmax(1), (len(row), len(x)))], axis=1)
+                s = np.concatenate([best[row], s[row]], axis=1)
+                if least_similarity is not None:
+                    s[s < least_similarity] = -2
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                best, home = np.take_along_axis(s, top, 1), np.take_along_axis(own, top, 1)
+                best[row], home[row] = np.take_along_axis(s, top, 1), np.take_along_axis(own, top, 1)
         i, j = np.nonzero(best > -2)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[i, j].astype(np.float64)), pa.array(home[i, j])], names=["q", "s", "list"])
 
@@ -418,7 +429,8 @@ def _probes(vectors: DataFrame, model: Model, queries: np.ndarray, k: int) -> in
     rows = top.select("q", F.explode("best.list").alias("list")).toArrow()
     order = np.argsort(np.argsort(-(queries @ model.centroids.T), axis=1), axis=1)
     places = np.sort(order[rows.column("q").to_numpy(), rows.column("list").to_numpy()])
-    return int(places[max(0, int(np.ceil(LIST_RECALL * len(places))) - 1)]) + 1 if len(places) else 1
+    share = LIST_RECALL if least_similarity is None else LIMIT_RECALL
+    return int(places[max(0, int(np.ceil(share * len(places))) - 1)]) + 1 if len(places) else 1
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -158,3 +158,19 @@ def test_groups_of_connected_texts(spark):
     got = {r.chunk_id: (r.group_id, r.links) for r in neardup.alike_groups(df).collect()}
     assert got == {f"c{i:02d}": ("c00", links[f"c{i:02d}"]) for i in range(8)}
     assert neardup.alike_groups(df.where("false")).count() == 0
+
+
+def test_a_limit_needs_fewer_lists_and_loses_no_pair(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 64))
+    x = np.concatenate([x, x + 0.3 * rng.standard_normal(x.shape)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], "chunk_id string, dense_vector array<float>, embedded_at int")
+    vectors = knn.usable_vectors(df, id_col="chunk_id", vector_col="dense_vector", time_col=None, width=64)
+    model = knn.Model(x, 60)
+    assert knn._probes(vectors, model, x[:400], 10, 0.9) < knn._probes(vectors, model, x[:400], 10) / 2
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)), strict=True)}
+    got = {tuple(r) for r in knn.similar_pairs(df, list_rows=50).collect()}
+    assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
