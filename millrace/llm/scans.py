@@ -16,8 +16,8 @@ import difflib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from collections.abc import Callable, Iterator
+from functools import cache, cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -39,6 +39,7 @@ LEXICON_WORDS = 250_000
 MOST_BITS = 30
 DIMENSIONS = 32
 WINDOW = 3
+_BESIDE = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
 #: Rounds over the counted pairs, pairs a step, least steps of a block in a round, negatives that a step shares, size of the first steps.
 ROUNDS = 4
 STEP_PAIRS = 4096
@@ -73,17 +74,14 @@ _NUMBER_FIRST = re.compile(r"^\s*(\d{1,4})\s{2,}(\S.{2,70}?)\s*$")
 _WORD = re.compile(r"[^\W_]+(?:[!|(](?=[^\W\d_])[^\W_]+)*")
 
 
-class _Blanks(dict):
-    """Translation that leaves letters and digits only."""
-
-    def __missing__(self, code: int):
-        out = self[code] = code if chr(code).isalnum() else " "
-        return out
-
-
-_TO_BLANKS = _Blanks()
+#: Characters and bytes of plain text, of which all but letters, digits and the ends of lines become blanks.
+_KEPT = np.array([c if chr(c).isalnum() or c == 10 else 32 for c in range(1 << 16)], "<u4")
+_KEPT_BYTES = bytes(_KEPT[:128].tolist()) + bytes(128)
+#: Characters whose words are told apart in one go.
+COUNT_CHARACTERS = 4_000_000
 _EDGES = re.compile(r"(?<![^\s(\"'])[!|(][a-zà-ÿ]{2,}(?:[!|(][a-zà-ÿ]+)*|[a-zà-ÿ]{2,}\((?=[\s.,;:?]|$)")
-_COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]{2,}-[^\W\d_]{2,}(?![\w-])")
+#: The second word of a compound with the hyphen before it.
+_SECOND = re.compile(r"-[^\W\d_]{2,}(?![\w-])")
 #: Stretches of encoded data, and what their letters make at least one word of.
 _DATA = re.compile(r"[A-Za-z0-9+/]{60,}")
 LONG_WORD = 24
@@ -95,6 +93,19 @@ _PERHAPS_BROKEN = re.compile(r"-[ \t\r]*\n\s*[^\W\d_]")
 _GOES_ON = re.compile(r"\s*([^\W_](?:[^\W_]|[!|])*)")
 
 
+def _tail(line: str) -> re.Match | None:
+    """What _BROKEN finds in a line, looked for from its end."""
+    end = len(line.rstrip(" \t\r")) - 1
+    if end < 1 or line[end] not in HYPHENS:
+        return None
+    first = end
+    while first and (line[first - 1].isalnum() or line[first - 1] in "!|"):
+        first -= 1
+    while first < end and line[first] in "!|":
+        first += 1
+    return _BROKEN.match(line, first)
+
+
 def _chain(found: list[tuple[int, int]], least_gap: int) -> list[int]:
     """Longest run of lines whose numbers go up by one, each at least ``least_gap`` lines after the last."""
     best: dict[int, tuple[int, int, int]] = {}  # number -> (length, line, position of the entry before)
@@ -145,10 +156,9 @@ def _nearly(a: str, b: str) -> bool:
         return False
     if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 0.1 * len(a):
         return True
-    if len(set(a) & set(b)) < 0.6 * min(len(set(a)), len(set(b))):
-        return False
     x, y = _letters(a), _letters(b)
-    if sum(min(n, y[c]) for c, n in x.items() if c in y) < 0.4 * (len(a) + len(b)):
+    both = x.keys() & y.keys()
+    if len(both) < 0.6 * min(len(x), len(y)) or sum(map(min, map(x.get, both), map(y.get, both))) < 0.4 * (len(a) + len(b)):
         return False
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.8
 
@@ -158,16 +168,16 @@ def _letters(text: str) -> dict[str, int]:
     return Counter(text)
 
 
-def furniture(lines: list[str], laid_out: bool | None = None) -> set[int]:
+def furniture(lines: list[str], laid_out: Callable[[], bool]) -> set[int]:
     """Numbers (from 0) of running headers, footers and page numbers; empty if the text shows none.
 
     They are found by page numbers that count up or, where words are broken at
-    line ends (``laid_out``, if that is known), by titles that come again.
+    line ends (``laid_out`` tells), by titles that come again.
     """
     plain: dict[str, list[tuple[int, int]]] = {}
     beside: list[tuple[int, int]] = []
     column: set[int] = set()
-    numeric = [len(x) < 24 and bool(_NUMERIC.fullmatch(x)) for x in lines]
+    numeric = lambda x: len(x) < 24 and bool(_NUMERIC.fullmatch(x))
     for i, line in enumerate(lines):
         if len(line) < 12 and (m := _ROMAN_LINE.match(line)):
             plain.setdefault(re.sub(r"[ivxl]+", "roman", line.strip()), []).append((i, _roman(m[1])))
@@ -179,7 +189,7 @@ def furniture(lines: list[str], laid_out: bool | None = None) -> set[int]:
         m = _NUMBER_LINE.match(line) if len(line.strip()) < 24 else None
         if m:
             style = re.sub(r"\d+", "#", line.strip())
-            if style == "#" and (i and numeric[i - 1] or i + 1 < len(lines) and numeric[i + 1]):
+            if style == "#" and (i and numeric(lines[i - 1]) or i + 1 < len(lines) and numeric(lines[i + 1])):
                 column.add(i)  # perhaps only a column of numbers
             plain.setdefault(style, []).append((i, int(m[1])))
             continue
@@ -191,16 +201,15 @@ def furniture(lines: list[str], laid_out: bool | None = None) -> set[int]:
         if m:
             beside.append((i, int(m[1])))
     chains = [_chain(beside, 4), *(_chain(v, 4) for v in plain.values())]
-    if column and not (any(len(c) >= 3 and column & set(c) for c in chains) and (laid_out or _laid_out(lines))):
+    if column and not (any(len(c) >= 3 and column & set(c) for c in chains) and laid_out()):
         plain["#"] = [x for x in plain["#"] if x[0] not in column]
         chains = [_chain(beside, 4), *(_chain(v, 4) for v in plain.values())]
     chains = [c for c in chains if len(c) >= 2]
     filled = [i for i, x in enumerate(lines) if x.strip()]
     if not chains:
         ends = {filled[0], filled[-1]} if filled else set()
-        laid_out = laid_out or _laid_out(lines)
-        one = [i for s, v in plain.items() if s != "#" for i, n in v if n < 2000 and (laid_out or (i in ends and s != "roman"))]
-        if len(filled) < 4 or not (one or laid_out):
+        one = [i for s, v in plain.items() if s != "#" for i, n in v if n < 2000 and (laid_out() or (i in ends and s != "roman"))]
+        if len(filled) < 4 or not (one or laid_out()):
             return set()
         if one:  # a single page: a decorated page number at its very end or start
             chains = [one[:1]]
@@ -226,15 +235,15 @@ def furniture(lines: list[str], laid_out: bool | None = None) -> set[int]:
     if not chains:
         sides |= {i for i in filled if _looks_like_title(lines, i) or _in_parts(lines[i])}
     candidates = sorted(i for i in sides if i not in out and len(lines[i].strip()) <= 80)
-    groups: list[list[int]] = []
+    groups: dict[str, list[int]] = {}  # by the first line of a group
+    group_of: dict[str, list[int]] = {}
     for i in candidates:
-        for g in groups:
-            if _alike(lines[g[0]], lines[i]):
-                g.append(i)
-                break
-        else:
-            groups.append([i])
-    for g in groups:
+        own = lines[i].strip().casefold()
+        if own not in group_of:
+            low, high = 0.75 * len(own), len(own) / 0.75 + 1
+            group_of[own] = next((g for head, g in groups.items() if low <= len(head) <= high and _nearly(head, own)), None) or groups.setdefault(own, [])
+        group_of[own].append(i)
+    for g in groups.values():
         i = g[0]
         edge = i == filled[0] or not lines[i - 1].strip() or (i + 1 < len(lines) and not lines[i + 1].strip()) or i - 1 in out or i + 1 in out
         if len(g) >= 2 or ((edge or not chains) and _looks_like_title(lines, i)):
@@ -258,19 +267,54 @@ def scanned(text: str) -> list[int] | None:
     lines = text.split("\n")
     if len(lines) < 4:
         return None
-    gone = furniture(lines)
-    return sorted(gone) if gone or _laid_out(lines) else None
+    laid_out = cache(lambda: _laid_out(lines))
+    gone = furniture(lines, laid_out)
+    return sorted(gone) if gone or laid_out() else None
+
+
+def _spaced(text: str) -> bytes:
+    """A text in UTF-8 whose words, as _WORD finds them, have blanks and ends of lines between them only."""
+    inner = []  # marks within words
+    for mark in "(|!":
+        i = text.find(mark, 1)
+        while 0 < i < len(text) - 1:
+            if text[i - 1].isalnum() and text[i + 1].isalnum() and not text[i + 1].isdecimal():
+                inner.append(i)
+            i = text.find(mark, i + 1)
+    if text.isascii():
+        out = bytearray(text.encode().translate(_KEPT_BYTES))
+        for i in inner:
+            out[i] = ord(text[i])
+        return bytes(out)
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    kept = _KEPT.take(codes, mode="clip")
+    for i in [*inner, *(i for i in np.flatnonzero(codes >= len(_KEPT)).tolist() if text[i].isalnum())]:
+        kept[i] = codes[i]
+    return kept.tobytes().decode("utf-32-le").encode()
 
 
 def tokens(low: str) -> list[str]:
     """Words of a lower-case text, as _WORD finds them."""
-    for mark in "(|!":
-        i = low.find(mark, 1)
-        while 0 < i < len(low) - 1:
-            if low[i - 1].isalnum() and low[i + 1].isalpha():
-                return _WORD.findall(low)
-            i = low.find(mark, i + 1)
-    return low.translate(_TO_BLANKS).split()
+    return _spaced(low).decode().split()
+
+
+def _numbered(texts: list[str]) -> Iterator[tuple[list[str], list[str], np.ndarray, np.ndarray]]:
+    """Words of texts in lower case, some texts after the others: these texts, the distinct words, the number among them of every word, the number of words by text."""
+    begin, held = 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= COUNT_CHARACTERS or end == len(texts):
+            data = np.frombuffer(b"\r".join(_spaced(t.lower()) for t in texts[begin:end]), np.uint8)
+            inside = np.zeros(len(data) + 2, bool)
+            np.greater(data, 32, out=inside[1:-1])
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
+            first, size = edges[::2], edges[1::2] - edges[::2]
+            offsets = np.zeros(len(first) + 1, np.int32)
+            np.cumsum(size, out=offsets[1:])
+            found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data[inside[1:-1]])).dictionary_encode()
+            limits = np.r_[0, np.searchsorted(first, np.flatnonzero(data == 13)), len(first)]
+            yield texts[begin:end], found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.diff(limits)
+            begin, held = end, 0
 
 
 def _undata(m: re.Match) -> str:
@@ -286,11 +330,44 @@ def words_of(text: str) -> set[str]:
     if max(map(len, out), default=0) > LONG_WORD and (bare := _DATA.sub(_undata, text)) != text:
         low = bare.lower()
         out = set(tokens(low))
-    if "-" in low:
-        out.update(_COMPOUND.findall(" ".join(w for w in low.split() if "-" in w)))
+    return out | _compounds(low)
+
+
+def _compounds(low: str) -> set[str]:
+    """Compounds spelt with a hyphen: two words of letters, at least two each, that nothing else is joined to."""
+    out = set()
+    for m in _SECOND.finditer(low):
+        first = hyphen = m.start()
+        while first and low[first - 1].isalnum() and not low[first - 1].isdecimal():
+            first -= 1
+        if hyphen - first >= 2 and not (first and (low[first - 1].isalnum() or low[first - 1] in "_-")):
+            out.add(low[first : m.end()])
     return out
 
 
+def _count_words(counts: Counter[str], texts: list[str]) -> None:
+    """Add for each word, as :func:`words_of` finds them, how many of the texts have it; numbers are left out."""
+    for part, words, number, sizes in _numbered(texts):
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        long = np.fromiter(map(len, words), np.int64, len(words)) > LONG_WORD
+        apart = np.zeros(len(sizes), bool)  # texts with encoded data
+        for i in np.unique(text[long[number]]).tolist():
+            apart[i] = _DATA.sub(_undata, part[i]) != part[i]
+        for t, own in zip(part, apart.tolist(), strict=True):
+            if own or "-" in t:
+                counts.update((w for w in words_of(t) if not _is_number(w)) if own else _compounds(t.lower()))
+        key = np.sort((text * len(words) + number)[~apart[text]])
+        times = np.bincount(key[_starts(key)] % max(1, len(words)), minlength=len(words))
+        for w, n in zip(words, times.tolist(), strict=True):
+            if n and not _is_number(w):
+                counts[w] += n
+
+
+def _is_number(word: str) -> bool:
+    """Whether a word is a number, which is right as it is and in no lexicon."""
+    return word.isdigit() and word.isascii()
+
+
 def edits(word: str, lexicon, depth: int = 1) -> list[tuple[str, int]]:
     """(word of the lexicon, position of its first edit) reached by one plausible glyph edit, else (up to ``depth``) by more."""
     layer, seen = {word: -1}, {word}
@@ -313,15 +390,36 @@ def edits(word: str, lexicon, depth: int = 1) -> list[tuple[str, int]]:
     return []
 
 
-def _step(rows: np.ndarray, squares: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
-    """Move rows along the sum of their gradients, by less the more they have moved already."""
-    if len(at) > 1 and (at[1:] < at[:-1]).any():
-        order = np.argsort(at, kind="stable")
-        at, gradient = at[order], gradient[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    total, row = np.add.reduceat(gradient, first, axis=0), at[first]
-    squares[row] += (total * total).mean(1)
-    rows[row] += RATE * total / np.sqrt(squares[row])[:, None]
+def _starts(at: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    change = np.empty(len(at), bool)
+    change[:1] = True
+    np.not_equal(at[1:], at[:-1], out=change[1:])
+    return np.flatnonzero(change)
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat(values, first, axis=0)``, to the last bit; that takes long over many short runs, so these are added up by length."""
+    size = np.diff(first, append=len(values))
+    out = values[first]
+    for n in (2, 3, 4):
+        run = np.flatnonzero(size == n)
+        at = first[run]
+        rest = values[at + 1]
+        for k in range(2, n):
+            rest += values[at + k]
+        out[run] += rest
+    run = np.flatnonzero(size > 4)
+    if len(run):
+        out[run] = np.add.reduceat(values, np.stack([first[run], first[run] + size[run]], 1).ravel()[: -1 if first[run[-1]] + size[run[-1]] == len(values) else None], axis=0)[::2]
+    return out
+
+
+def _step(rows: np.ndarray, squares: np.ndarray, row: np.ndarray, total: np.ndarray) -> None:
+    """Move rows along the sums of their gradients, by less the more they have moved already."""
+    far = squares[row] + (total * total).mean(1)
+    squares[row] = far
+    rows[row] += RATE * total / np.sqrt(far)[:, None]
 
 
 class Training:
@@ -350,11 +448,15 @@ class Training:
             x, y, z = inner[a], outer[b], outer[away]
             g = w / (1 + np.exp(np.clip(np.einsum("ij,ij->i", x, y), -15, 15)))[:, None]
             # negatives meet each centre once, as if each of its pairs had four of its own
-            first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            first = _starts(a)
             mine, own = np.add.reduceat(w, first, axis=0), x[first]
             h = (-4 / NEGATIVES) * mine / (1 + np.exp(-np.clip(own @ z.T, -15, 15)))
-            move = np.add.reduceat(g * y, first, axis=0) + h @ z
-            _step(outer, squares[1], np.r_[b, away], np.concatenate([g * x, h.T @ own]))
+            move = _sums(g * y, first) + h @ z
+            moved = np.concatenate([b, away])
+            order = np.argsort(moved, kind="stable")
+            moved = moved[order]
+            starts = _starts(moved)
+            _step(outer, squares[1], moved[starts], _sums(np.concatenate([g * x, h.T @ own])[order], starts))
             _step(inner, squares[0], a[first], move)
         return inner, outer, squares
 
@@ -372,6 +474,11 @@ class Vectors:
         near = [self.number[w] for w in around if w in self.number]
         return float((self.outer[near] @ self.inner[i]).mean()) if i is not None and near else 0.0
 
+    @cached_property
+    def padded(self) -> np.ndarray:
+        """Vectors of words around; the last one, at -1, stands for words that have none."""
+        return np.concatenate([self.outer, np.zeros((1, DIMENSIONS), np.float32)])
+
     @cached_property
     def most(self) -> float:
         """Length of the longest vector of a word around."""
@@ -402,7 +509,7 @@ class Reader:
     def __init__(self, lexicon: dict[str, int], vectors: Vectors):
         self.lexicon, self.vectors = lexicon, vectors
         self._known: dict[str, list[tuple[str, int]] | None] = {}
-        self._right, self._single, self._number = _Memo(self._is_right), _Memo(self._is_single), _Memo(self._number_of)
+        self._right, self._single, self._codes = _Memo(self._is_right), _Memo(self._is_single), _Memo(self._code_of)
         self._rivals: dict[str, tuple[list[tuple[str, int]], np.ndarray, np.ndarray] | None] = {}
 
     def _is_right(self, word: str) -> bool:
@@ -411,8 +518,14 @@ class Reader:
     def _is_single(self, word: str) -> bool:
         return self.rivals(word.lower()) is None
 
-    def _number_of(self, word: str) -> int:
-        return self.vectors.number.get(word.lower(), -1)
+    def _code_of(self, word: str) -> int:
+        """Four times the number of a word's vector, plus 2 if it is not as it should be and 1 if no glyph edit may fit better."""
+        return 4 * self.vectors.number.get(word.lower(), -1) + 2 * (not self._is_right(word)) + self._is_single(word)
+
+    def codes(self, words: list[list[str]]) -> np.ndarray:
+        """Codes of the words of all lines."""
+        flat = list(chain.from_iterable(words))
+        return np.fromiter(map(self._codes.__getitem__, flat), np.int64, len(flat))
 
     def readings(self, word: str) -> list[tuple[str, int]] | None:
         """None if the word is as it should be, else what it may have been (perhaps nothing known) with the edit's position."""
@@ -457,28 +570,29 @@ class Reader:
         self._rivals[word] = out
         return out
 
-    def misfits(self, words: list[list[str]]) -> list[dict[int, list[tuple[str, int]]]]:
+    def misfits(self, words: list[list[str]], codes: np.ndarray | None = None) -> list[dict[int, list[tuple[str, int]]]]:
         """For the words of each line, by place: those one glyph edit away from a word of the lexicon that fit clearly better there."""
         out: list[dict[int, list[tuple[str, int]]]] = [{} for _ in words]
-        flat = list(chain.from_iterable(words))
-        tried = np.flatnonzero(~np.fromiter(map(self._single.__getitem__, flat), bool, len(flat)))
+        codes = self.codes(words) if codes is None else codes
+        tried = np.flatnonzero(~codes & 1)
         if not len(tried):
             return out
-        sizes = np.array([len(w) for w in words])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         line = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(flat)) + WINDOW * (line + 1)  # a gap between lines
-        at = np.full(len(flat) + WINDOW * (len(words) + 1), -1)
-        at[place] = np.fromiter(map(self._number.__getitem__, flat), np.int64, len(flat))
-        rivals = [self.rivals(flat[i].lower()) for i in tried.tolist()]
-        n = np.array([len(r[0]) for r in rivals])
-        around = at[place[tried][:, None] + np.array([d for d in range(-WINDOW, WINDOW + 1) if d])]
-        near = (self.vectors.outer[around] * (around >= 0)[:, :, None]).sum(1)
+        place = np.arange(len(codes)) + WINDOW * (line + 1)  # a gap between lines
+        at = np.full(len(codes) + WINDOW * (len(words) + 1), -1)
+        at[place] = codes >> 2
+        start = np.cumsum(sizes) - sizes
+        of = line[tried]
+        inside = tried - start[of]
+        rivals = [self.rivals(words[i][k].lower()) for i, k in zip(of.tolist(), inside.tolist(), strict=True)]
+        n = np.fromiter((len(r[0]) for r in rivals), np.int64, len(rivals))
+        near = self.vectors.padded[at[place[tried][:, None] + _BESIDE]].sum(1)
         lead = np.einsum("ij,ij->i", np.concatenate([r[1] for r in rivals]), np.repeat(near, n, axis=0))
         better = (lead > 0) & (lead + np.concatenate([r[2] for r in rivals]) >= LEAST_LEAD)
-        first, start = np.cumsum(n) - n, np.cumsum(sizes) - sizes
+        first = np.cumsum(n) - n
         for k in np.unique(np.repeat(np.arange(len(tried)), n)[better]).tolist():
-            i = int(line[tried[k]])
-            out[i][int(tried[k] - start[i])] = [r for r, ok in zip(rivals[k][0], better[first[k] : first[k] + n[k]], strict=True) if ok]
+            out[of[k]][int(inside[k])] = [r for r, ok in zip(rivals[k][0], better[first[k] : first[k] + n[k]], strict=True) if ok]
         return out
 
     def edge(self, word: str) -> bool:
@@ -525,12 +639,12 @@ class Reader:
         """Numbers (from 0) of the furniture's lines if a word at a line's end is broken by layout as the lexicon has it."""
         lines = text.split("\n")
         for a, b in zip(lines, lines[1:], strict=False) if len(lines) >= 4 else ():
-            tail = _BROKEN.search(a) if a.rstrip()[-1:] == "-" else None
+            tail = _tail(a) if a.rstrip()[-1:] == "-" else None
             head = _GOES_ON.match(b) if tail and tail[1][-1].islower() else None
             if head and head[1][0].islower():
                 apart, whole = (self.lexicon.get(f"{tail[1]}{h}{head[1]}".lower(), 0) for h in ("-", ""))
                 if whole * MISREAD_SHARE > apart:
-                    return sorted(furniture(lines, True))
+                    return sorted(furniture(lines, lambda: True))
         return None
 
     def lines(self, text: str, furniture_lines: list[int], kinds_only: bool = True) -> tuple[list[tuple[int, str]], list[str], set[int], dict[int, bool]]:
@@ -544,11 +658,15 @@ class Reader:
         special = any(lines[i].rstrip()[-1:] in HYPHENS[1:] for i in body)
         bad: set[int] = set()
         skip: dict[int, int] = {}  # characters at a line's start that belong to the line before
-        words, right = [_WORD.findall(lines[i]) for i in body], self._right.__getitem__
-        misfits = self.misfits(words)
+        right = self._right.__getitem__
+        rows = _spaced(text).decode().split("\n")
+        words = [rows[i].split() for i in body]
+        codes = self.codes(words)
+        misfits = self.misfits(words, codes)
+        odd = {int(k) for k in np.repeat(np.arange(len(words)), [len(w) for w in words])[codes & 2 > 0]}  # lines with words that are not as they should be
         for k, i in enumerate(body):
             line = lines[i]
-            tail = _BROKEN.search(line) if line.rstrip()[-1:] in HYPHENS else None
+            tail = _tail(line)
             end, word_end = len(line), None
             if tail and k + 1 < len(body):
                 nxt = body[k + 1]
@@ -572,7 +690,7 @@ class Reader:
                         end = len(line)
             start = skip.get(i, 0)
             wrong = []
-            if misfits[k] or not all(map(right, words[k] if not start and end == len(line) else _WORD.findall(line, start, end))):
+            if misfits[k] or (k in odd if not start and end == len(line) else not all(map(right, _WORD.findall(line, start, end)))):
                 skipped = len(_WORD.findall(line, 0, start)) if start else 0
                 for place, m in enumerate(_WORD.finditer(line, start, end), skipped):
                     choices = self.readings(m[0])
@@ -603,6 +721,7 @@ class Reader:
                     fixed[nxt] = lines[nxt]
                     words[k + 1] = _WORD.findall(lines[nxt])
                     misfits[k + 1] = self.misfits([words[k + 1]])[0]
+                    odd.add(k + 1)
                     skip[nxt] = head.start(1) + len(new) - cut
         found += [(i + 1, "misread") for i in sorted(bad)]
         return found, fixed, gone, hyphen
@@ -658,15 +777,16 @@ def _read(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for b in batches:
             id_type = b.column(0).type
-            take, lines = [], []
+            take, lines, others = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 found = scanned(t) if "\n" in t else None
                 if found is not None:
                     take.append(i), lines.append(found)
                 elif t:
-                    counts.update(words_of(t))
+                    others.append(t)
                     if _PERHAPS_BROKEN.search(t):
                         take.append(i), lines.append(None)
+            _count_words(counts, others)
             at = pa.array(take, pa.int64())
             k = len(take)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(lines, pa.list_(pa.int32())), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
@@ -689,7 +809,7 @@ def sought(text: str, furniture_lines: list[int] | None) -> set[str]:
             for m in _EDGES.finditer(line):
                 out |= {m[0], m[0].strip("!|(")}
     for line, after in zip(lines, lines[1:], strict=False):
-        if line.rstrip()[-1:] in HYPHENS and (tail := _BROKEN.search(line)) and (head := _GOES_ON.match(after)):
+        if (tail := _tail(line)) and (head := _GOES_ON.match(after)):
             out |= {tail[1], head[1], tail[1] + head[1]}
     return out
 
@@ -785,9 +905,9 @@ def _pair_blocks(documents: DataFrame, text_col: str, words: list[str]) -> DataF
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["block", "pairs"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = tokens(t.lower())
-                x = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            for _, found, number_of, sizes in _numbered(batch.column(0).to_pylist()):
+                x = np.full(len(number_of) + WINDOW * len(sizes), -1)  # a gap between texts
+                x[np.arange(len(number_of)) + WINDOW * np.repeat(np.arange(len(sizes)), sizes)] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))[number_of]
                 for d in range(1, WINDOW + 1):
                     one, other = x[:-d], x[d:]
                     ok = (one >= 0) & (other >= 0)

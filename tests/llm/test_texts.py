@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import numpy as np
 
 from millrace.llm import scans, subjects
 
@@ -194,3 +197,36 @@ def test_one_broken_word_tells_a_scanned_text_if_the_lexicon_knows_it(spark):
     assert {tuple(r) for r in scans.noisy_lines(docs).collect()} == {(50, 1, "hyphen"), (50, 3, "misread")}
     texts = {r.doc_id: r.text for r in scans.repaired_texts(docs).collect()}
     assert texts[51] == compound and "the generator can transmit again. A register was kept for the supplier and" in texts[50]
+
+
+def test_words_are_counted_together_as_text_by_text():
+    texts = ["A hand-written note, a-b-cd 12 and 12 x1", "", "Über-all (é!a) b|c d!5 q(r \U0001f600 𐐨b_c", "-ab ab-cd", f"{'aB3' * 30} long-word", "Donaudampfschifffahrtsgesellschaft 7", "a\nnote\rx\x00y"]
+    counts, one_by_one = Counter(), Counter()
+    scans._count_words(counts, texts)
+    for t in texts:
+        low = t.lower()
+        assert scans.tokens(low) == scans._WORD.findall(low)
+        one_by_one.update(w for w in scans.words_of(t) if not w.isdigit())
+    assert counts == one_by_one and counts["hand-written"] == counts["ab-cd"] == 1 and counts["note"] == 2
+
+
+def test_numbers_are_not_counted(spark):
+    docs = spark.createDataFrame([(i, f"note {i} of 2024 by x{i}") for i in range(20)], "id int, text string")
+    words = {r.word for r in scans._read(docs, "id", "text").where("word IS NOT NULL").collect()}
+    assert words == {"note", "of", "by"} | {f"x{i}" for i in range(20)}
+
+
+def test_layout_of_a_text_is_looked_at_once(monkeypatch):
+    seen, real = [], scans._laid_out
+    monkeypatch.setattr(scans, "_laid_out", lambda lines: seen.append(1) or real(lines))
+    assert scans.scanned("one line\nand another\nof plain text\nwithout pages") is None
+    assert len(seen) == 1
+
+
+def test_sums_are_those_of_reduceat():
+    rng = np.random.default_rng(1)
+    for most in (1, 2, 5, 40):
+        size = rng.integers(1, most + 1, 200)
+        values = rng.standard_normal((int(size.sum()), 8)).astype(np.float32)
+        first = np.cumsum(size) - size
+        assert np.array_equal(scans._sums(values, first), np.add.reduceat(values, first, axis=0))
